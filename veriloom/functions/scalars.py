@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -91,3 +91,12 @@ def title_case(c: str | Column) -> Column:
     pieces = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
     joined = F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), "")
     return F.regexp_replace(joined, r"\s+", " ")
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table built in the JVM from literals."""
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    structs = [
+        F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields)]) for row in rows
+    ]
+    return spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*")

@@ -151,7 +151,7 @@ def histogram_of(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], shares: list[float], small_distinct: int | None = None, splits: int = 2000
+    df: DataFrame, columns: list[str], shares: list[float], small_distinct: int | None = None, splits: int = 1024
 ) -> DataFrame:
     """Exact linear-interpolated quantiles: ``(column_name, share, q)``.
 
@@ -177,6 +177,13 @@ def exact_quantiles(
     return _quantiles_by_brackets(hist, shares, splits)
 
 
+def _cut_index(cuts: str, value: str, step: int = 32) -> Column:
+    """Number of sorted cuts below the value: whole steps first, then inside one."""
+    whole = F.size(F.filter(F.col(cuts), lambda c, i: (i % step == step - 1) & (c < F.col(value))))
+    part = F.filter(F.slice(F.col(cuts), whole * step + 1, F.lit(step)), lambda c: c < F.col(value))
+    return whole * step + F.size(part)
+
+
 def _quantiles_by_brackets(hist: DataFrame, shares: list[float], splits: int) -> DataFrame:
     """Brackets carry their own value range and exact offset, so the split
     points only steer balance and can never change the result."""
@@ -184,9 +191,7 @@ def _quantiles_by_brackets(hist: DataFrame, shares: list[float], splits: int) ->
         F.percentile_approx("value", F.array(*[F.lit(i / splits) for i in range(1, splits)]), 10_000).alias("cuts")
     )
     # one row per profiled column, each with a fixed number of cut points
-    placed = hist.join(F.broadcast(cuts), "column_name").withColumn(
-        "b", F.size(F.filter("cuts", lambda c: c < F.col("value")))
-    )
+    placed = hist.join(F.broadcast(cuts), "column_name").withColumn("b", _cut_index("cuts", "value"))
     ranges = placed.groupBy("column_name", "b").agg(
         F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("rows")
     )

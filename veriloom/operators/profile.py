@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import any_of, flag
+from ..functions.scalars import any_of, flag, literal_rows
 from .ordered import exact_quantiles, singleton, top_k
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
@@ -43,7 +43,7 @@ def missing_counts(df: DataFrame) -> DataFrame:
 def type_summary(df: DataFrame) -> DataFrame:
     numeric = set(numeric_columns(df))
     rows = [(i, c, t, "numeric" if c in numeric else "categorical") for i, (c, t) in enumerate(df.dtypes)]
-    return df.sparkSession.createDataFrame(rows, "position int, column_name string, dtype string, kind string")
+    return literal_rows(df.sparkSession, rows, "position int, column_name string, dtype string, kind string")
 
 
 def cardinality(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -55,15 +55,23 @@ def cardinality(df: DataFrame, approximate: bool = False) -> DataFrame:
     if approximate:
         wide = df.agg(*[F.approx_count_distinct(c).alias(f"n_{i}") for i, c in enumerate(df.columns)])
         return _per_column(wide, df.columns, {"n_unique": "n"})
-    values = value_frequencies(df, df.columns)
+    values = value_frequencies(df, df.columns, digest=True)
     found = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
-    names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column_name string")
+    names = literal_rows(df.sparkSession, [(c,) for c in df.columns], "column_name string")
     return names.join(found, "column_name", "left").select("column_name", F.coalesce("n", F.lit(0)).alias("n_unique"))
 
 
-def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
+def _short(c: str):
+    """Text form of a value; long texts are replaced by a digest."""
+    text = F.col(c).cast("string")
+    return F.when(F.length(text) > 64, F.md5(text)).otherwise(text)
+
+
+def value_frequencies(df: DataFrame, columns: list[str], digest: bool = False) -> DataFrame:
     """``(column_name, value, n)`` over non-null values as text."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("column_name"), (_short(c) if digest else F.col(c).cast("string")).alias("value")) for c in columns]
+    )
     return (
         df.select(F.explode(pairs).alias("p"))
         .select("p.*")
@@ -146,17 +154,41 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def table_profiles(tables: dict[str, DataFrame]) -> DataFrame:
-    """Column profile of several tables: type, nulls and distinct values by name."""
-    out = None
+    """Column profile of several tables: type, nulls and distinct values.
+
+    All columns of all tables become (table, column, value) triples that are
+    counted in one shuffle; the types join on names, never on position.
+    """
+    values, kinds = None, []
     for name, df in tables.items():
-        part = (
-            type_summary(df)
-            .join(missing_counts(df), "column_name")
-            .join(cardinality(df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])), "column_name")
-            .select(F.lit(name).alias("table_name"), "column_name", "position", "dtype", "kind", "n_missing", "pct_missing", "n_unique")
+        numeric = set(numeric_columns(df))
+        kinds += [(name, c, i, t, "numeric" if c in numeric else "categorical") for i, (c, t) in enumerate(df.dtypes)]
+        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), _short(c).alias("value")) for c in df.columns])
+        part = df.select(F.explode(pairs).alias("p")).select(F.lit(name).alias("table_name"), "p.*")
+        values = part if values is None else values.unionByName(part)
+    facts = (
+        values.groupBy("table_name", "column_name", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("table_name", "column_name")
+        .agg(
+            F.sum("n").alias("rows"),
+            F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_missing"),
+            F.count("value").alias("n_unique"),
         )
-        out = part if out is None else out.unionByName(part)
-    return out
+    )
+    schema = "table_name string, column_name string, position int, dtype string, kind string"
+    types = literal_rows(next(iter(tables.values())).sparkSession, kinds, schema)
+    return types.join(facts, ["table_name", "column_name"]).select(
+        "table_name",
+        "column_name",
+        "position",
+        "dtype",
+        "kind",
+        "rows",
+        "n_missing",
+        F.round(F.try_divide(F.col("n_missing") * 100.0, F.col("rows")), 6).alias("pct_missing"),
+        "n_unique",
+    )
 
 
 def schema_match(columns: DataFrame, required: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import literal_rows
 from ..operators import profile as P
 from ..operators import sampling
 from . import roles
@@ -156,11 +157,11 @@ _ALIASES = [("category", "p_type"), ("order_date", "o_orderdate")]
       ('delivery_days', '—', '—', 'Missing')) v(required_field, source_table, actual_field, match_type)""",
 )
 def _(t):
-    columns = t.spark.createDataFrame(
-        [(n, c) for n in TABLE_NAMES for c in getattr(t, n).columns], "table_name string, column_name string"
+    columns = literal_rows(
+        t.spark, [(n, c) for n in TABLE_NAMES for c in getattr(t, n).columns], "table_name string, column_name string"
     )
-    required = t.spark.createDataFrame([(r,) for r in _REQUIRED], "required_field string")
-    aliases = t.spark.createDataFrame(_ALIASES, "required_field string, alias string")
+    required = literal_rows(t.spark, [(r,) for r in _REQUIRED], "required_field string")
+    aliases = literal_rows(t.spark, _ALIASES, "required_field string, alias string")
     return P.schema_match(columns, required, aliases)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.scalars import blank_to_empty
+from ..functions.scalars import blank_to_empty, literal_rows
 from ..operators.ordered import running, value_buckets
 
 DIGEST_LIMIT = 1 << 30  # a file above this is listed without a content digest
@@ -98,7 +98,7 @@ def file_inventory(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
     rows = frames[0]
     for f in frames[1:]:
         rows = rows.unionByName(f)
-    columns = spark.createDataFrame(schemas, "table_name string, column_count int, columns string")
+    columns = literal_rows(spark, schemas, "table_name string, column_count int, columns string")
     return (
         facts.withColumn("path", _plain_path("path"))
         .join(digests.withColumn("path", _plain_path("path")), "path", "left")
