@@ -87,7 +87,7 @@ def title_case(c: str | Column) -> Column:
     ``initcap`` only starts a word after a space, so every run of letters is
     split off first and capitalised on its own.
     """
-    text = F.trim(as_column(c))
+    text = F.regexp_replace(as_column(c), r"^\s+|\s+$", "")
     pieces = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
     joined = F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), "")
     return F.regexp_replace(joined, r"\s+", " ")

@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .scalars import as_column, blank_to_empty
 
@@ -20,18 +21,23 @@ UNITS = ["ml", "lt", "l", "kg", "gr", "g", "cm", "mm", "gb", "tb", "w", "mah"]
 WORD = r"[\p{L}\p{N}_]"
 
 
+def strip(c: str | Column) -> Column:
+    """All leading and trailing whitespace, not only blanks."""
+    return F.regexp_replace(as_column(c), r"^\s+|\s+$", "")
+
+
 def turkish_lower(c: str | Column) -> Column:
     """Dotted and dotless capital i folded before the general lower-casing."""
     return F.lower(F.translate(as_column(c), "İI", "iı"))
 
 
 def normalize_basic(c: str | Column) -> Column:
-    text = F.trim(turkish_lower(blank_to_empty(c)))
+    text = strip(turkish_lower(blank_to_empty(c)))
     text = F.regexp_replace(text, r"[/|>\\]+", " ")
     return F.regexp_replace(text, r"\s+", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_batch(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", html.unescape(v)))
 
@@ -41,8 +47,12 @@ def unicode_fold(c: str | Column) -> Column:
     return _fold_batch(as_column(c))
 
 
-def normalize_search(c: str | Column, fold: bool = True) -> Column:
-    """Search normalisation that keeps product codes and number+unit pairs."""
+def normalize_search(c: str | Column, fold: bool = True, squeeze: bool = True) -> Column:
+    """Search normalisation that keeps product codes and number+unit pairs.
+
+    ``fold`` runs the Unicode step, ``squeeze`` shortens runs of four or more
+    equal characters to two.
+    """
     text = blank_to_empty(c)
     if fold:
         text = unicode_fold(text)
@@ -51,8 +61,9 @@ def normalize_search(c: str | Column, fold: bool = True) -> Column:
     text = F.translate(text, "’–—", "'--")
     text = F.regexp_replace(text, rf"(?<={WORD})'(?={WORD})", " ")
     text = F.regexp_replace(text, r"[^\p{L}\p{N}_\s\-+]", " ")
-    text = F.regexp_replace(text, rf"(\p{{N}})\s*({'|'.join(UNITS)})(?!{WORD})", "$1$2")
-    text = F.regexp_replace(text, r"(.)\1{3,}", "$1$1")
+    text = F.regexp_replace(text, rf"(\p{{Nd}})\s*({'|'.join(UNITS)})(?!{WORD})", "$1$2")
+    if squeeze:
+        text = F.regexp_replace(text, r"(.)\1{3,}", "$1$1")
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 

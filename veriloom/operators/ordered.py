@@ -177,11 +177,14 @@ def exact_quantiles(
     return _quantiles_by_brackets(hist, shares, splits)
 
 
-def _cut_index(cuts: str, value: str, step: int = 32) -> Column:
+STEP = 32
+
+
+def _cut_index(value: str) -> Column:
     """Number of sorted cuts below the value: whole steps first, then inside one."""
-    whole = F.size(F.filter(F.col(cuts), lambda c, i: (i % step == step - 1) & (c < F.col(value))))
-    part = F.filter(F.slice(F.col(cuts), whole * step + 1, F.lit(step)), lambda c: c < F.col(value))
-    return whole * step + F.size(part)
+    whole = F.size(F.filter(F.col("steps"), lambda c: c < F.col(value)))
+    part = F.filter(F.slice(F.col("cuts"), whole * STEP + 1, F.lit(STEP)), lambda c: c < F.col(value))
+    return whole * STEP + F.size(part)
 
 
 def _quantiles_by_brackets(hist: DataFrame, shares: list[float], splits: int) -> DataFrame:
@@ -189,9 +192,9 @@ def _quantiles_by_brackets(hist: DataFrame, shares: list[float], splits: int) ->
     points only steer balance and can never change the result."""
     cuts = hist.groupBy("column_name").agg(
         F.percentile_approx("value", F.array(*[F.lit(i / splits) for i in range(1, splits)]), 10_000).alias("cuts")
-    )
+    ).withColumn("steps", F.filter("cuts", lambda c, i: i % STEP == STEP - 1))
     # one row per profiled column, each with a fixed number of cut points
-    placed = hist.join(F.broadcast(cuts), "column_name").withColumn("b", _cut_index("cuts", "value"))
+    placed = hist.join(F.broadcast(cuts), "column_name").withColumn("b", _cut_index("value"))
     ranges = placed.groupBy("column_name", "b").agg(
         F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("rows")
     )

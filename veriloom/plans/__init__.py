@@ -3,6 +3,7 @@
 from . import source_queries
 from . import profile_queries
 from . import clean_queries
+from . import text_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "clean_queries", "profile_queries", "source_queries"]
+__all__ = ["ORACLES", "QUERIES", "clean_queries", "profile_queries", "source_queries", "text_queries"]

@@ -247,3 +247,85 @@ def review_texts(t) -> DataFrame:
 
 def first_lines_window(key: str):
     return Window.partitionBy(key).orderBy("line_no")
+
+
+# --- retrieval lists and pairs -------------------------------------------------------
+
+_MEMO: dict[tuple, DataFrame] = {}
+
+
+def remembered(t, name: str, build) -> DataFrame:
+    """Reuse a small ranked result between queries of one session.
+
+    Only result lists of bounded length per query are kept, never an index.
+    """
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in _MEMO:
+        _MEMO[key] = build().persist()
+    return _MEMO[key]
+
+
+def bm25_lists(t, k: int = 100) -> DataFrame:
+    from ..operators import retrieval as R
+
+    def build():
+        index = R.build_index(t.documents, "doc_id", "text")
+        return R.search_bm25(index, passages(t), "term_id", "query", k)
+
+    return remembered(t, f"bm25_{k}", build)
+
+
+def retrieval_lists(t) -> DataFrame:
+    """``(source, term_id, doc_id, score, rank)``: top 100 of three retrievers."""
+    from ..operators import retrieval as R
+
+    def build():
+        index = R.build_index(t.documents, "doc_id", "text", ngrams=2)
+        lexical = R.search_tfidf(index, passages(t), "term_id", "query", 100)
+        encoder = R.hashing_encoder(64)
+        docs = R.encode_texts(t.documents.select("doc_id", "text"), "text", "passage", encoder, 64)
+        queries = R.encode_texts(passages(t), "query", "query", encoder, 64)
+        semantic = R.search_dense(docs, "doc_id", "embedding", queries, "term_id", "embedding", 100)
+        cols = ["source", "term_id", "doc_id", "score", "rank"]
+        parts = [("bm25", bm25_lists(t)), ("lexical", lexical), ("semantic", semantic)]
+        out = None
+        for name, part in parts:
+            part = part.withColumn("source", F.lit(name)).select(*cols)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    return remembered(t, "lists", build)
+
+
+def pairs(t) -> DataFrame:
+    """Passages with their top 50 documents, labelled by the judgments."""
+    top = bm25_lists(t).where("rank <= 50 and score > 0").select("term_id", "doc_id", "score")
+    judged = judgments(t).select("term_id", F.col("item_id").alias("doc_id"), "relevance_label")
+    docs = t.documents.select(
+        "doc_id",
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.col("lang").alias("category"),
+        F.col("source").alias("brand"),
+        F.col("text").alias("attributes"),
+    )
+    return (
+        top.join(judged, ["term_id", "doc_id"], "left")
+        .join(docs, "doc_id")
+        .join(passages(t), "term_id")
+        .select(
+            "term_id", "doc_id", "query", "title", "category", "brand", "attributes",
+            F.coalesce("relevance_label", F.lit(0)).alias("label"), F.round("score", 9).alias("bm25"),
+        )
+    )
+
+
+def pairs_ctes() -> str:
+    from . import sql_text as Q
+
+    return (
+        Q.bm25_ctes(k=50)
+        + f", {JUDGMENTS}, pairs AS (SELECT h.term_id, h.doc_id, q.text AS query, split_part(d.text, chr(10), 1) AS title, "
+        "d.lang AS category, d.source AS brand, d.text AS attributes, coalesce(j.relevance_label, 0) AS label, h.score AS bm25 "
+        "FROM bm25_hits h LEFT JOIN judgments j ON j.term_id = h.term_id AND j.item_id = h.doc_id "
+        "JOIN documents d ON d.doc_id = h.doc_id JOIN queries q ON q.term_id = h.term_id)"
+    )
