@@ -1,9 +1,10 @@
 """All registered queries."""
 
-from . import source_queries
+from . import source_queries  # isort: skip
 from . import profile_queries
 from . import clean_queries
 from . import text_queries
+from . import retrieval_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "clean_queries", "profile_queries", "source_queries", "text_queries"]
+__all__ = ["ORACLES", "QUERIES", "clean_queries", "profile_queries", "retrieval_queries", "source_queries", "text_queries"]
