@@ -277,11 +277,16 @@ def retrieval_metrics(ranked: DataFrame, judgments: DataFrame, keys: list[str],
     cols["candidate_coverage"] = F.least(length / 100, F.lit(1.0))
     cols["zero_result_rate"] = (length == 0).cast("double")
     cols["availability"] = F.lit(1.0)
-    return frame.select(*keys, query, *[F.round(c, 6).alias(n) for n, c in cols.items()])
+    return frame.select(*keys, query, *[c.alias(n) for n, c in cols.items()])
 
 
 def mean_metrics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.round(F.avg(m), 6).alias(m) for m in metrics], F.count(F.lit(1)).alias("queries"))
+    return df.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in metrics], F.count(F.lit(1)).alias("queries"))
+
+
+def rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
+    """Round report columns once, at the end."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str, digits: int = 4) -> DataFrame:

@@ -54,6 +54,7 @@ def build_index(
     min_df: int = 2,
     max_features: int = MAX_FEATURES,
 ) -> LexicalIndex:
+    """Postings, vocabulary and size of a text collection; ``persist()`` before repeated use."""
     counts = term_counts(docs, doc, text, analyzer, ngrams)
     vocab = vocabulary(counts, min_df, max_features)
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
@@ -71,18 +72,17 @@ def index_statistics(index: LexicalIndex) -> DataFrame:
     )
 
 
-def _score(postings: DataFrame, query_terms: DataFrame, doc: str, query: str, product: Column) -> DataFrame:
-    """``(query, doc, score)`` summed over shared terms.
+def _join_terms(postings: DataFrame, query_terms: DataFrame, raw_terms: DataFrame) -> DataFrame:
+    """Postings with the query terms they match.
 
-    The query side is broadcast when it is small enough; the postings then
-    stay partitioned by document and the sum needs no shuffle. Otherwise both
-    sides shuffle by term with every term split over salts.
+    The query side is broadcast when its raw term count is small enough; the
+    postings then stay partitioned by document and summing per document needs
+    no shuffle. Otherwise both sides shuffle by term, every term split over
+    salts.
     """
-    if query_terms.select("term").limit(MAX_QUERY_TERMS + 1).count() <= MAX_QUERY_TERMS:
-        joined = postings.join(F.broadcast(query_terms), "term")
-    else:
-        joined = _salted_term_join(postings, query_terms)
-    return joined.groupBy(doc, query).agg(F.sum(product).alias("score"))
+    if raw_terms.limit(MAX_QUERY_TERMS + 1).count() <= MAX_QUERY_TERMS:
+        return postings.join(F.broadcast(query_terms), "term")
+    return _salted_term_join(postings, query_terms)
 
 
 def _salted_term_join(postings: DataFrame, query_terms: DataFrame, salts: int = 32) -> DataFrame:
@@ -97,7 +97,8 @@ def tfidf_scores(index: LexicalIndex, queries: DataFrame, query: str, text: str,
     docs = tfidf(index.counts, index.doc, index.vocab, index.n_docs)
     counts = term_counts(queries, query, text, index.analyzer, index.ngrams)
     terms = tfidf(counts, query, index.vocab, index.n_docs).select(query, "term", F.col("weight").alias("qw"))
-    return _score(docs, terms, index.doc, query, F.col("weight") * F.col("qw") * F.lit(weight))
+    joined = _join_terms(docs, terms, counts)
+    return joined.groupBy(index.doc, query).agg(F.sum(F.col("weight") * F.col("qw") * F.lit(weight)).alias("score"))
 
 
 def bm25_scores(
@@ -124,11 +125,7 @@ def bm25_scores(
         F.sum(F.col("_idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * dl / mean_length))).alias(f"s{i}")
         for i, (k1, b) in enumerate(settings)
     ]
-    if terms.limit(MAX_QUERY_TERMS + 1).count() <= MAX_QUERY_TERMS:
-        joined = postings.join(F.broadcast(terms), "term")
-    else:
-        joined = _salted_term_join(postings, terms)
-    wide = joined.groupBy(index.doc, query).agg(*gains)
+    wide = _join_terms(postings, terms, terms).groupBy(index.doc, query).agg(*gains)
     entries = F.array(
         *[
             F.struct(F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"), F.col(f"s{i}").alias("score"))
@@ -151,18 +148,16 @@ def pad_with_zero(hits: DataFrame, queries: DataFrame, docs: DataFrame, query: s
     ``k`` ids suffice for any query, so the padding is one bounded array.
     """
     first = docs.select(doc).orderBy(doc).limit(k).agg(F.array_sort(F.collect_list(doc))).scalar()
-    found = hits.groupBy(query).agg(F.count(F.lit(1)).alias("_hits"), F.collect_set(doc).alias("_found"))  # at most k ids
-    short = (
-        queries.select(query)
-        .join(found, query, "left")
-        .select(query, F.coalesce("_hits", F.lit(0)).alias("_hits"), "_found")
-        .where(F.col("_hits") < k)
+    entry = F.struct(F.col(doc), F.col("score").cast("double").alias("score"), F.col("rank").cast("int").alias("rank"))
+    found = hits.groupBy(query).agg(F.collect_list(entry).alias("_h"))  # at most k hits
+    empty = F.array().cast(f"array<struct<{doc}:{dict(docs.dtypes)[doc]},score:double,rank:int>>")
+    lists = queries.select(query).join(found, query, "left").select(query, F.coalesce("_h", empty).alias("_h"))
+    room = (F.lit(k) - F.size("_h")).cast("int")
+    spare = F.slice(F.array_except(first, F.transform("_h", lambda x: x[doc])), F.lit(1), room)
+    pads = F.transform(
+        spare, lambda d, i: F.struct(d.alias(doc), F.lit(0.0).alias("score"), (F.size("_h") + i + 1).cast("int").alias("rank"))
     )
-    spare = F.when(F.col("_found").isNull(), first).otherwise(F.array_except(first, F.col("_found")))
-    pads = short.select(
-        query, "_hits", F.posexplode(F.slice(spare, F.lit(1), (F.lit(k) - F.col("_hits")).cast("int"))).alias("_pos", doc)
-    ).select(query, doc, F.lit(0.0).alias("score"), (F.col("_hits") + F.col("_pos") + 1).cast("int").alias("rank"))
-    return hits.select(query, doc, "score", "rank").unionByName(pads)
+    return lists.select(query, F.explode(F.concat("_h", pads)).alias("e")).select(query, "e.*")
 
 
 def search_tfidf(index: LexicalIndex, queries: DataFrame, query: str, text: str, k: int = 100, pad: bool = True) -> DataFrame:

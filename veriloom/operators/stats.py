@@ -46,13 +46,13 @@ def paired_bootstrap(deltas: DataFrame, query: str, groups: list[str], seed: int
     spread = means.groupBy(*groups).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))  # one value per draw
     d = F.col("delta")
     counts = deltas.groupBy(*groups).agg(
-        F.round(F.avg("delta"), 6).alias("delta"),
+        F.avg("delta").alias("delta"),
         F.count_if(d > EPS).alias("improved"),
         F.count_if(F.abs(d) <= EPS).alias("unchanged"),
         F.count_if(d < -EPS).alias("worsened"),
     )
     return counts.join(spread, groups).select(
-        *groups, "delta", F.round(F.col("ci")[0], 6).alias("ci_low"), F.round(F.col("ci")[1], 6).alias("ci_high"), "improved", "unchanged", "worsened"
+        *groups, "delta", F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"), "improved", "unchanged", "worsened"
     )
 
 

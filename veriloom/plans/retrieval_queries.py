@@ -23,13 +23,13 @@ _COLS = ["term_id", "doc_id", "score", "rank"]
 
 @query("R1_tfidf_search", f"WITH {Q.tfidf_ctes('t')}, h AS {Q.best('t_scores', 10)} SELECT * FROM h")
 def _(t):
-    index = R.build_index(t.documents, "doc_id", "text", ngrams=2)
+    index = roles.index(t, ngrams=2)
     return R.search_tfidf(index, roles.passages(t), "term_id", "query", 10, pad=False).select(*_COLS)
 
 
 @query("R1_tfidf_search_chars", f"WITH {Q.tfidf_ctes('t', analyzer='char')}, h AS {Q.best('t_scores', 10)} SELECT * FROM h")
 def _(t):
-    index = R.build_index(t.documents, "doc_id", "text", analyzer="char")
+    index = roles.index(t, "char")
     return R.search_tfidf(index, roles.passages(t), "term_id", "query", 10, pad=False).select(*_COLS)
 
 
@@ -53,18 +53,18 @@ def _(t):
     "R3_combined_lexical",
     f"""WITH {Q.tfidf_ctes('w')}, {Q.tfidf_ctes('c', analyzer='char', with_queries=False)},
     s AS (SELECT term_id, doc_id, sum(x) AS score FROM (SELECT term_id, doc_id, 0.6::DOUBLE * score AS x FROM w_scores UNION ALL SELECT term_id, doc_id, 0.4::DOUBLE * score FROM c_scores) GROUP BY ALL),
-    h AS {Q.best('s', 20)} SELECT term_id, doc_id, round(score, 8) AS score, rank FROM {Q.padded('h', 20)}""",
+    h AS {Q.best('s', 20)} SELECT term_id, doc_id, score, rank FROM {Q.padded('h', 20)}""",
 )
 def _(t):
-    word = R.build_index(t.documents, "doc_id", "text", ngrams=2)
-    char = R.build_index(t.documents, "doc_id", "text", analyzer="char")
+    word = roles.index(t, ngrams=2)
+    char = roles.index(t, "char")
     out = R.search_combined(word, char, roles.passages(t), "term_id", "query", 20)
-    return out.select("term_id", "doc_id", F.round("score", 8).alias("score"), "rank")
+    return out.select(*_COLS)
 
 
 @query("R4_bm25_search", f"WITH {Q.bm25_ctes(k=10)} SELECT * FROM {Q.padded('bm25_hits', 10)}")
 def _(t):
-    index = R.build_index(t.documents, "doc_id", "text")
+    index = roles.index(t)
     return R.search_bm25(index, roles.passages(t), "term_id", "query", 10).select(*_COLS)
 
 
@@ -85,7 +85,7 @@ def _grid_sql() -> str:
 
 @query("R4_bm25_grid", _grid_sql())
 def _(t):
-    index = R.build_index(t.documents, "doc_id", "text")
+    index = roles.index(t)
     scores = R.bm25_scores(index, roles.passages(t), "term_id", "query", tuple(_GRID))
     return R.best(scores, ["k1", "b", "term_id"], "doc_id", 10)
 
@@ -126,7 +126,7 @@ def _(t):
     {Q.N_DOCS} AS documents, count(*) * 12 + ({Q.N_DOCS} + 1) * 4 AS index_bytes FROM dc WHERE term IN (SELECT term FROM dv)""",
 )
 def _(t):
-    return R.index_statistics(R.build_index(t.documents, "doc_id", "text"))
+    return R.index_statistics(roles.index(t))
 
 
 @query(
@@ -134,13 +134,13 @@ def _(t):
     """WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) r(i) GROUP BY ALL),
     c AS (SELECT label, i, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM m),
     s AS (SELECT c.label, vec_id, round(sum(c.x * CAST(embedding[c.i] AS DOUBLE)), 9) AS score FROM c, embeddings GROUP BY ALL)
-    SELECT label, vec_id, round(score, 8) AS score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) <= 50""",
+    SELECT label, vec_id, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) <= 50""",
 )
 def _(t):
     """Every vector against the mean vector of each label."""
     centres = R.class_centroids(t.embeddings, "label", "embedding")
     hits = R.search_dense(t.embeddings, "vec_id", "embedding", centres, "label", "centroid", 50)
-    return hits.select("label", "vec_id", F.round("score", 8).alias("score"), "rank")
+    return hits.select("label", "vec_id", "score", "rank")
 
 
 @query(
@@ -201,7 +201,7 @@ def aligned(t):
 
 
 def fused(t):
-    return roles.remembered(t, "fused", lambda: U.fuse(aligned(t), "term_id", "doc_id"))
+    return roles.stored(t, "fused", lambda: U.fuse(aligned(t), "term_id", "doc_id"))
 
 
 @query("R9_minmax_normalisation", f"WITH {ALIGNED} SELECT term_id, doc_id, round(l, 7) AS lexical_scaled, round(s, 7) AS semantic_scaled, round(b, 7) AS bm25_scaled FROM aligned")
@@ -209,22 +209,22 @@ def _(t):
     return aligned(t).select("term_id", "doc_id", *[F.round(f"{s}_scaled", 7).alias(f"{s}_scaled") for s in ("lexical", "semantic", "bm25")])
 
 
-@query("R10_weighted_fusion", f"WITH {FUSED} SELECT parameter AS alpha, term_id, doc_id, round(score, 7) AS score, rank FROM fused WHERE method = 'weighted' AND rank <= 10")
+@query("R10_weighted_fusion", f"WITH {FUSED} SELECT parameter AS alpha, term_id, doc_id, score, rank FROM fused WHERE method = 'weighted' AND rank <= 10")
 def _(t):
     out = U.fuse(aligned(t), "term_id", "doc_id", 10, rrf_ks=[], union=False)
-    return out.select(F.col("parameter").alias("alpha"), "term_id", "doc_id", F.round("score", 7).alias("score"), "rank")
+    return out.select(F.col("parameter").alias("alpha"), "term_id", "doc_id", "score", "rank")
 
 
-@query("R11_reciprocal_rank_fusion", f"WITH {FUSED} SELECT parameter AS k, term_id, doc_id, round(score, 7) AS score, rank FROM fused WHERE method = 'rrf' AND rank <= 10")
+@query("R11_reciprocal_rank_fusion", f"WITH {FUSED} SELECT parameter AS k, term_id, doc_id, score, rank FROM fused WHERE method = 'rrf' AND rank <= 10")
 def _(t):
     out = U.fuse(aligned(t), "term_id", "doc_id", 10, alphas=[], union=False)
-    return out.select(F.col("parameter").alias("k"), "term_id", "doc_id", F.round("score", 7).alias("score"), "rank")
+    return out.select(F.col("parameter").alias("k"), "term_id", "doc_id", "score", "rank")
 
 
-@query("R12_candidate_union", f"WITH {FUSED} SELECT term_id, doc_id, round(score, 7) AS score, rank FROM fused WHERE method = 'union' AND rank <= 10")
+@query("R12_candidate_union", f"WITH {FUSED} SELECT term_id, doc_id, score, rank FROM fused WHERE method = 'union' AND rank <= 10")
 def _(t):
     out = U.fuse(aligned(t), "term_id", "doc_id", 10, alphas=[], rrf_ks=[])
-    return out.select("term_id", "doc_id", F.round("score", 7).alias("score"), "rank")
+    return out.select("term_id", "doc_id", "score", "rank")
 
 
 @query("R13_fused_top_100", f"WITH {FUSED} SELECT method, parameter, term_id, doc_id, rank FROM fused")
@@ -241,8 +241,8 @@ def metrics_ctes(source: str, keys: str) -> str:
     hits = ", ".join(f"count(*) FILTER (rel = 1 AND rank <= {k}) AS h{k}" for k in ks)
     aps = ", ".join(f"coalesce(sum(CASE WHEN rel = 1 AND rank <= {k} THEN hits::DOUBLE / rank END), 0) AS ap{k}" for k in (10, 100))
     out = ", ".join(
-        f"round(coalesce(h{k}, 0)::DOUBLE / greatest(total, 1), 6) AS recall_{k}, CASE WHEN coalesce(h{k}, 0) > 0 THEN 1::DOUBLE ELSE 0 END AS hit_rate_{k}, "
-        f"round(coalesce(coalesce(h{k}, 0)::DOUBLE / nullif(least({k}, coalesce(len, 0)), 0), 0), 6) AS precision_{k}"
+        f"coalesce(h{k}, 0)::DOUBLE / greatest(total, 1) AS recall_{k}, CASE WHEN coalesce(h{k}, 0) > 0 THEN 1::DOUBLE ELSE 0 END AS hit_rate_{k}, "
+        f"coalesce(coalesce(h{k}, 0)::DOUBLE / nullif(least({k}, coalesce(len, 0)), 0), 0) AS precision_{k}"
         for k in ks
     )
     return f"""tot AS (SELECT term_id, count(*) AS total FROM judgments GROUP BY 1),
@@ -251,9 +251,9 @@ def metrics_ctes(source: str, keys: str) -> str:
     g AS (SELECT {keys}, term_id, count(*) AS len, min(CASE WHEN rel = 1 THEN rank END) AS first_hit, {hits}, {aps},
       coalesce(sum(CASE WHEN rel = 1 AND rank <= 10 THEN 1 / log2(rank + 1) END), 0) AS dcg FROM lh GROUP BY {keys}, term_id),
     ms AS (SELECT DISTINCT {keys} FROM {source}),
-    qm AS (SELECT {', '.join('ms.' + k.strip() for k in keys.split(','))}, tot.term_id, {out}, round(coalesce(1::DOUBLE / first_hit, 0), 6) AS mrr,
-      round(coalesce(ap10, 0) / greatest(total, 1), 6) AS map_10, round(coalesce(ap100, 0) / greatest(total, 1), 6) AS map_100,
-      round(coalesce(dcg, 0) / {idcg}, 6) AS ndcg_10, least(coalesce(len, 0)::DOUBLE / 100, 1) AS candidate_coverage,
+    qm AS (SELECT {', '.join('ms.' + k.strip() for k in keys.split(','))}, tot.term_id, {out}, coalesce(1::DOUBLE / first_hit, 0) AS mrr,
+      coalesce(ap10, 0) / greatest(total, 1) AS map_10, coalesce(ap100, 0) / greatest(total, 1) AS map_100,
+      coalesce(dcg, 0) / {idcg} AS ndcg_10, least(coalesce(len, 0)::DOUBLE / 100, 1) AS candidate_coverage,
       CASE WHEN coalesce(len, 0) = 0 THEN 1::DOUBLE ELSE 0 END AS zero_result_rate, 1::DOUBLE AS availability
       FROM tot CROSS JOIN ms LEFT JOIN g ON g.term_id = tot.term_id AND {' AND '.join(f'g.{k.strip()} = ms.{k.strip()}' for k in keys.split(','))})"""
 
@@ -280,14 +280,14 @@ def method_lists(t):
 
 def query_metrics(t):
     judged = roles.judgments(t).select("term_id", F.col("item_id").alias("doc_id"))
-    return roles.remembered(
+    return roles.stored(
         t, "query_metrics", lambda: M.retrieval_metrics(method_lists(t), judged, ["method"], "term_id", "doc_id")
     )
 
 
-@query("E11_retrieval_metrics", f"WITH {QUERY_METRICS_SQL} SELECT method, term_id, {', '.join(METRIC_NAMES)} FROM qm")
+@query("E11_retrieval_metrics", f"WITH {QUERY_METRICS_SQL} SELECT method, term_id, {', '.join(f'round({m}, 6) AS {m}' for m in METRIC_NAMES)} FROM qm")
 def _(t):
-    return query_metrics(t).select("method", "term_id", *METRIC_NAMES)
+    return M.rounded(query_metrics(t).select("method", "term_id", *METRIC_NAMES), METRIC_NAMES)
 
 
 SEED_SPLITS = f"""sd AS (SELECT unnest({SEEDS}) AS seed), tk AS (SELECT DISTINCT term_id FROM judgments),
@@ -310,7 +310,7 @@ _SHOWN = ["recall_10", "recall_50", "mrr", "ndcg_10"]
     f"WITH {SEED_METRICS_SQL} SELECT seed, method, {', '.join(f'round(avg({m}), 6) AS {m}' for m in _SHOWN)}, count(*) AS queries FROM sm WHERE split = 'test' GROUP BY ALL",
 )
 def _(t):
-    return M.mean_metrics(seed_metrics(t).where("split = 'test'"), ["seed", "method"], _SHOWN)
+    return M.rounded(M.mean_metrics(seed_metrics(t).where("split = 'test'"), ["seed", "method"], _SHOWN), _SHOWN)
 
 
 _CHOSEN = "mm AS (SELECT seed, regexp_extract(method, '^(weighted|rrf)', 1) AS family, CAST(regexp_extract(method, '[0-9]+$') AS INTEGER) AS parameter, round(avg(recall_50), 9) AS mean_value FROM sm WHERE split = 'validation' AND regexp_matches(method, '^(weighted|rrf)_') GROUP BY ALL), chosen AS (SELECT * FROM mm QUALIFY row_number() OVER (PARTITION BY seed, family ORDER BY mean_value DESC, parameter) = 1)"
@@ -338,7 +338,7 @@ _LANG_FILTER = "SELECT f.term_id, f.doc_id, f.score, row_number() OVER (PARTITIO
 @query(
     "R16_batch_search",
     f"""WITH {FUSED}, f AS (SELECT x.term_id, x.doc_id, x.score, a.ls, a.ss FROM fused x JOIN aligned a USING (term_id, doc_id) WHERE method = 'weighted' AND parameter = 0.5)
-    SELECT term_id, doc_id, rank, round(score, 7) AS hybrid_score, round(ls, 7) AS lexical_score, round(ss, 7) AS semantic_score, lang FROM ({_LANG_FILTER})""",
+    SELECT term_id, doc_id, rank, score AS hybrid_score, ls AS lexical_score, ss AS semantic_score, lang FROM ({_LANG_FILTER})""",
 )
 def _(t):
     """All passages at once: hybrid scores, a language filter on the pool, ten results each."""
@@ -348,7 +348,7 @@ def _(t):
     )
     out = R.filter_results(hybrid, t.documents.select("doc_id", "lang"), "term_id", "doc_id", {"lang": "en"}, 10)
     return out.select(
-        "term_id", "doc_id", "rank", F.round("score", 7).alias("hybrid_score"), F.round("lexical_score", 7).alias("lexical_score"), F.round("semantic_score", 7).alias("semantic_score"), "lang"
+        "term_id", "doc_id", "rank", F.col("score").alias("hybrid_score"), "lexical_score", "semantic_score", "lang"
     )
 
 
@@ -373,8 +373,8 @@ def _(t):
 
 @query(
     "R19_query_examples",
-    f"""WITH {QUERY_METRICS_SQL}, dl AS (SELECT term_id, max(CASE WHEN method = 'bm25' THEN recall_50 END) - max(CASE WHEN method = 'lexical' THEN recall_50 END) AS delta FROM qm GROUP BY term_id),
-    ex AS (SELECT * FROM (SELECT * FROM dl ORDER BY delta, term_id LIMIT 8) UNION SELECT * FROM (SELECT * FROM dl ORDER BY delta DESC, term_id LIMIT 8)),
+    f"""WITH {QUERY_METRICS_SQL}, qd AS (SELECT term_id, max(CASE WHEN method = 'bm25' THEN recall_50 END) - max(CASE WHEN method = 'lexical' THEN recall_50 END) AS delta FROM qm GROUP BY term_id),
+    ex AS (SELECT * FROM (SELECT * FROM qd ORDER BY delta, term_id LIMIT 8) UNION SELECT * FROM (SELECT * FROM qd ORDER BY delta DESC, term_id LIMIT 8)),
     tt AS (SELECT l.term_id, string_agg(split_part(d.text, chr(10), 1), ' | ' ORDER BY rank) AS titles FROM lists l JOIN documents d USING (doc_id) WHERE source = 'lexical' AND rank <= 5 GROUP BY 1),
     ms2 AS (SELECT j.term_id, string_agg(CAST(j.item_id AS VARCHAR), ',' ORDER BY j.item_id) AS missed FROM judgments j WHERE NOT EXISTS (SELECT 1 FROM lists l WHERE l.source = 'lexical' AND l.term_id = j.term_id AND l.doc_id = j.item_id) GROUP BY 1)
     SELECT ex.term_id, round(delta, 6) AS delta, titles, coalesce(missed, '') AS missed FROM ex JOIN tt USING (term_id) LEFT JOIN ms2 USING (term_id)""",
@@ -411,18 +411,18 @@ def _bootstrap_ctes(deltas: str, groups: list[str], seed: int = 42) -> str:
     pk AS (SELECT {g}, b, {draw} % n AS pick FROM ix, range(1, 1001) r(b)),
     mn AS (SELECT {', '.join('pk.' + x for x in groups)}, b, avg(delta) AS m FROM pk JOIN ix ON ix.i = pk.pick AND {' AND '.join(f'ix.{x} = pk.{x}' for x in groups)} GROUP BY ALL),
     boot AS (SELECT {g}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM mn GROUP BY {g}),
-    cnt AS (SELECT {g}, round(avg(delta), 6) AS delta, count(*) FILTER (delta > 1e-12) AS improved, count(*) FILTER (abs(delta) <= 1e-12) AS unchanged, count(*) FILTER (delta < -1e-12) AS worsened FROM {deltas} GROUP BY {g}),
-    bt AS (SELECT {g}, delta, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, improved, unchanged, worsened FROM cnt JOIN boot USING ({g}))"""
+    cnt AS (SELECT {g}, avg(delta) AS delta, count(*) FILTER (delta > 1e-12) AS improved, count(*) FILTER (abs(delta) <= 1e-12) AS unchanged, count(*) FILTER (delta < -1e-12) AS worsened FROM {deltas} GROUP BY {g}),
+    bt AS (SELECT {g}, delta, lo AS ci_low, hi AS ci_high, improved, unchanged, worsened FROM cnt JOIN boot USING ({g}))"""
 
 
 _DELTAS = "dt AS (SELECT c.method, c.term_id, c.ndcg_10 - b.ndcg_10 AS delta FROM qm c JOIN qm b ON b.term_id = c.term_id AND b.method = 'bm25' WHERE c.method <> 'bm25')"
 
 
-@query("E13_paired_bootstrap", f"WITH {QUERY_METRICS_SQL}, {_DELTAS}, {_bootstrap_ctes('dt', ['method'])} SELECT * FROM bt")
+@query("E13_paired_bootstrap", f"WITH {QUERY_METRICS_SQL}, {_DELTAS}, {_bootstrap_ctes('dt', ['method'])} SELECT method, round(delta, 6) AS delta, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, improved, unchanged, worsened FROM bt")
 def _(t):
     q = query_metrics(t).select("method", "term_id", "ndcg_10")
     deltas = ST.paired_deltas(q.where("method <> 'bm25'"), q.where("method = 'bm25'"), ["term_id"], "ndcg_10", ["method"])
-    return ST.paired_bootstrap(deltas, "term_id", ["method"])
+    return M.rounded(ST.paired_bootstrap(deltas, "term_id", ["method"]), ["delta", "ci_low", "ci_high"])
 
 
 def _interval_sql(source: str, keys: list[str], metrics: list[str], extra: str = "") -> str:
@@ -434,7 +434,7 @@ def _interval_sql(source: str, keys: list[str], metrics: list[str], extra: str =
     return f"SELECT {k}, count(DISTINCT seed) AS seeds, {extra}{cols} FROM {source} GROUP BY {k}"
 
 
-_BY_SEED = f"bs AS (SELECT seed, method, {', '.join(f'round(avg({m}), 6) AS {m}' for m in _SHOWN)} FROM sm WHERE split = 'test' GROUP BY ALL)"
+_BY_SEED = f"bs AS (SELECT seed, method, {', '.join(f'avg({m}) AS {m}' for m in _SHOWN)} FROM sm WHERE split = 'test' GROUP BY ALL)"
 
 
 def _by_seed(t):
@@ -464,7 +464,7 @@ def _paired_by_seed(t):
         )
         return ST.paired_bootstrap(deltas, "term_id", ["seed", "method", "metric"])
 
-    return roles.remembered(t, "paired_by_seed", build)
+    return roles.stored(t, "paired_by_seed", build)
 
 
 def _paired_intervals(t):
@@ -495,10 +495,10 @@ _BOARD = "row_number() OVER (ORDER BY ndcg_10 DESC, recall_50 DESC, method)"
 
 @query(
     "E21_leaderboard",
-    f"WITH {QUERY_METRICS_SQL}, a AS (SELECT method, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(recall_50), 6) AS recall_50 FROM qm GROUP BY 1) SELECT method, ndcg_10, recall_50, {_BOARD} AS position FROM a",
+    f"WITH {QUERY_METRICS_SQL}, a AS (SELECT method, round(avg(ndcg_10), 9) AS ndcg_10, round(avg(recall_50), 9) AS recall_50 FROM qm GROUP BY 1) SELECT method, ndcg_10, recall_50, {_BOARD} AS position FROM a",
 )
 def _(t):
-    means = M.mean_metrics(query_metrics(t), ["method"], ["ndcg_10", "recall_50"]).drop("queries")
+    means = M.rounded(M.mean_metrics(query_metrics(t), ["method"], ["ndcg_10", "recall_50"]).drop("queries"), ["ndcg_10", "recall_50"], 9)
     return ST.leaderboard(means, [], [F.desc("ndcg_10"), F.desc("recall_50"), F.asc("method")])
 
 

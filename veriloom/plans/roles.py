@@ -6,10 +6,12 @@ expression for the oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_unit
+from ..operators import retrieval as R
+from ..session import scratch_path
 
 # --- tables with injected faults -------------------------------------------------
 
@@ -205,6 +207,10 @@ def passages(t) -> DataFrame:
 
 
 def judgments(t) -> DataFrame:
+    return stored(t, "judgments", lambda: _judgments(t))
+
+
+def _judgments(t) -> DataFrame:
     """Documents that contain a whole passage.
 
     A contained passage brings along every run of its inner words, so an
@@ -245,43 +251,53 @@ def review_texts(t) -> DataFrame:
     return t.documents.join(t.labels, "doc_id").select("doc_id", "text", "source", "lang", "quality", "toxic")
 
 
-def first_lines_window(key: str):
-    return Window.partitionBy(key).orderBy("line_no")
-
-
 # --- retrieval lists and pairs -------------------------------------------------------
 
-_MEMO: dict[tuple, DataFrame] = {}
-
+_MEMO: dict[tuple, object] = {}
 
-def remembered(t, name: str, build) -> DataFrame:
-    """Reuse a small ranked result between queries of one session.
 
-    Only result lists of bounded length per query are kept, never an index.
-    """
+def _once(t, name: str, build):
     key = (t.spark.sparkContext.applicationId, t.folder, name)
     if key not in _MEMO:
-        _MEMO[key] = build().persist()
+        _MEMO[key] = build()
     return _MEMO[key]
 
 
-def bm25_lists(t, k: int = 100) -> DataFrame:
-    from ..operators import retrieval as R
+def stored(t, name: str, build) -> DataFrame:
+    """A result shared by several queries, written once to the shared folder.
 
-    def build():
-        index = R.build_index(t.documents, "doc_id", "text")
-        return R.search_bm25(index, passages(t), "term_id", "query", k)
+    Reading the written table cuts the plan: later queries neither repeat the
+    work nor carry its whole lineage, and a lost executor loses nothing.
+    """
 
-    return remembered(t, f"bm25_{k}", build)
+    def write():
+        path = scratch_path(t.spark, name)
+        df = build()
+        df.write.parquet(path)
+        return path, df.schema
+
+    path, schema = _once(t, name, write)
+    return t.spark.read.schema(schema).parquet(path)
+
+
+def index(t, analyzer: str = "word", ngrams: int = 1):
+    """The document index of one analyzer, built once per session."""
+    return _once(
+        t,
+        f"index_{analyzer}_{ngrams}",
+        lambda: R.build_index(t.documents, "doc_id", "text", analyzer=analyzer, ngrams=ngrams).persist(),
+    )
+
+
+def bm25_lists(t, k: int = 100) -> DataFrame:
+    return stored(t, f"bm25_{k}", lambda: R.search_bm25(index(t), passages(t), "term_id", "query", k))
 
 
 def retrieval_lists(t) -> DataFrame:
     """``(source, term_id, doc_id, score, rank)``: top 100 of three retrievers."""
-    from ..operators import retrieval as R
 
     def build():
-        index = R.build_index(t.documents, "doc_id", "text", ngrams=2)
-        lexical = R.search_tfidf(index, passages(t), "term_id", "query", 100)
+        lexical = R.search_tfidf(index(t, ngrams=2), passages(t), "term_id", "query", 100)
         encoder = R.hashing_encoder(64)
         docs = R.encode_texts(t.documents.select("doc_id", "text"), "text", "passage", encoder, 64)
         queries = R.encode_texts(passages(t), "query", "query", encoder, 64)
@@ -294,11 +310,15 @@ def retrieval_lists(t) -> DataFrame:
             out = part if out is None else out.unionByName(part)
         return out
 
-    return remembered(t, "lists", build)
+    return stored(t, "lists", build)
 
 
 def pairs(t) -> DataFrame:
     """Passages with their top 50 documents, labelled by the judgments."""
+    return stored(t, "pairs", lambda: _pairs(t))
+
+
+def _pairs(t) -> DataFrame:
     top = bm25_lists(t).where("rank <= 50 and score > 0").select("term_id", "doc_id", "score")
     judged = judgments(t).select("term_id", F.col("item_id").alias("doc_id"), "relevance_label")
     docs = t.documents.select(
