@@ -151,9 +151,9 @@ def pad_with_zero(hits: DataFrame, queries: DataFrame, docs: DataFrame, query: s
     entry = F.struct(F.col(doc), F.col("score").cast("double").alias("score"), F.col("rank").cast("int").alias("rank"))
     found = hits.groupBy(query).agg(F.collect_list(entry).alias("_h"))  # at most k hits
     empty = F.array().cast(f"array<struct<{doc}:{dict(docs.dtypes)[doc]},score:double,rank:int>>")
-    lists = queries.select(query).join(found, query, "left").select(query, F.coalesce("_h", empty).alias("_h"))
+    lists = queries.select(query).join(found, query, "left").select(query, F.coalesce("_h", empty).alias("_h"), first.alias("_first"))
     room = (F.lit(k) - F.size("_h")).cast("int")
-    spare = F.slice(F.array_except(first, F.transform("_h", lambda x: x[doc])), F.lit(1), room)
+    spare = F.slice(F.array_except("_first", F.transform("_h", lambda x: x[doc])), F.lit(1), room)
     pads = F.transform(
         spare, lambda d, i: F.struct(d.alias(doc), F.lit(0.0).alias("score"), (F.size("_h") + i + 1).cast("int").alias("rank"))
     )

@@ -175,7 +175,7 @@ def _(t):
 
 
 _RANKED = f"""{roles.GRADED_EVENTS}, rk AS (SELECT term_id, label, row_number() OVER w AS rank, sum(label) OVER (PARTITION BY term_id ORDER BY score DESC, item_id ROWS UNBOUNDED PRECEDING) AS hits FROM graded WINDOW w AS (PARTITION BY term_id ORDER BY score DESC, item_id)),
-    ag AS (SELECT term_id, count(*) AS n, sum(label) AS pos, min(CASE WHEN label = 1 THEN rank END) AS first_hit, """ + ", ".join(
+    ag AS (SELECT term_id, count(*) AS n, CAST(sum(label) AS BIGINT) AS pos, min(CASE WHEN label = 1 THEN rank END) AS first_hit, """ + ", ".join(
     [f"coalesce(sum(CASE WHEN label = 1 AND rank <= {k} THEN 1 / log2(rank + 1) END), 0) AS dcg{k}" for k in (1, 3, 5, 10)]
     + [f"count(*) FILTER (label = 1 AND rank <= {k}) AS h{k}, coalesce(sum(CASE WHEN label = 1 AND rank <= {k} THEN hits::DOUBLE / rank END), 0) AS ap{k}" for k in (5, 10)]
 ) + " FROM rk GROUP BY term_id)"

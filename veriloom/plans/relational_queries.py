@@ -46,9 +46,10 @@ def _(t):
     return L.lookup(t.part.select("p_partkey", "p_brand"), counts, "p_brand", "n", 0)
 
 
-@query("J5_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("J5_anti_join", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_discount > 0.09)")
 def _(t):
-    return L.drop_members(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    sold = t.lineitem.where("l_discount > 0.09").select(F.col("l_partkey").alias("p_partkey"))
+    return L.drop_members(t.part.select("p_partkey"), sold, ["p_partkey"])
 
 
 @query("J7_key_overlap", "SELECT count(*) AS shared FROM (SELECT user_id, event_type FROM events WHERE value > 100 INTERSECT SELECT user_id, event_type FROM events WHERE value <= 1)")
@@ -58,14 +59,14 @@ def _(t):
 
 @query(
     "A1_grouped_aggregates",
-    """SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+    """SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 9) AS mean, round(stddev_samp(value), 6) AS std,
       arg_min(event_type, event_id) AS first_type, count(DISTINCT event_type) AS n_types FROM events GROUP BY user_id""",
 )
 def _(t):
     return t.events.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.sum("value"), 4).alias("total"),
-        F.round(F.avg("value"), 6).alias("mean"),
+        F.round(F.avg("value"), 9).alias("mean"),
         F.round(F.stddev_samp("value"), 6).alias("std"),
         F.min_by("event_type", "event_id").alias("first_type"),
         F.count_distinct("event_type").alias("n_types"),

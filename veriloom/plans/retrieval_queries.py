@@ -375,7 +375,7 @@ def _(t):
     "R19_query_examples",
     f"""WITH {QUERY_METRICS_SQL}, qd AS (SELECT term_id, max(CASE WHEN method = 'bm25' THEN recall_50 END) - max(CASE WHEN method = 'lexical' THEN recall_50 END) AS delta FROM qm GROUP BY term_id),
     ex AS (SELECT * FROM (SELECT * FROM qd ORDER BY delta, term_id LIMIT 8) UNION SELECT * FROM (SELECT * FROM qd ORDER BY delta DESC, term_id LIMIT 8)),
-    tt AS (SELECT l.term_id, string_agg(split_part(d.text, chr(10), 1), ' | ' ORDER BY rank) AS titles FROM lists l JOIN documents d USING (doc_id) WHERE source = 'lexical' AND rank <= 5 GROUP BY 1),
+    tt AS (SELECT l.term_id, string_agg(split_part(d.text, chr(10), 1), ' | ' ORDER BY rank) AS titles FROM lists l JOIN documents d USING (doc_id) WHERE l.source = 'lexical' AND rank <= 5 GROUP BY 1),
     ms2 AS (SELECT j.term_id, string_agg(CAST(j.item_id AS VARCHAR), ',' ORDER BY j.item_id) AS missed FROM judgments j WHERE NOT EXISTS (SELECT 1 FROM lists l WHERE l.source = 'lexical' AND l.term_id = j.term_id AND l.doc_id = j.item_id) GROUP BY 1)
     SELECT ex.term_id, round(delta, 6) AS delta, titles, coalesce(missed, '') AS missed FROM ex JOIN tt USING (term_id) LEFT JOIN ms2 USING (term_id)""",
 )
@@ -543,10 +543,10 @@ def _(t):
 
 @query(
     "J5_missed_relevant_ids",
-    f"WITH {Q.bm25_ctes(k=10)}, {roles.JUDGMENTS} SELECT term_id, item_id FROM judgments j WHERE NOT EXISTS (SELECT 1 FROM {Q.padded('bm25_hits', 10)} h WHERE h.term_id = j.term_id AND h.doc_id = j.item_id)",
+    f"WITH {Q.bm25_ctes(k=1)}, {roles.JUDGMENTS} SELECT term_id, item_id FROM judgments j WHERE NOT EXISTS (SELECT 1 FROM {Q.padded('bm25_hits', 1)} h WHERE h.term_id = j.term_id AND h.doc_id = j.item_id)",
 )
 def _(t):
-    top = roles.bm25_lists(t).where("rank <= 10").select("term_id", F.col("doc_id").alias("item_id"))
+    top = roles.bm25_lists(t).where("rank <= 1").select("term_id", F.col("doc_id").alias("item_id"))
     return roles.judgments(t).join(top, ["term_id", "item_id"], "left_anti").select("term_id", "item_id")
 
 
