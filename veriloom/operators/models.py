@@ -126,6 +126,7 @@ class Terms(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, Defau
     @keyword_only
     def __init__(self, *, inputCol=None, outputCol=None, analyzer="word"):
         super().__init__()
+        self._setDefault(analyzer="word")
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
@@ -146,6 +147,7 @@ class L1Selector(Estimator, HasInputCol, HasOutputCol, HasLabelCol, DefaultParam
     @keyword_only
     def __init__(self, *, inputCol=None, outputCol=None, labelCol=None, regParam=0.001):
         super().__init__()
+        self._setDefault(regParam=0.001)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> Transformer:

@@ -137,6 +137,10 @@ _SCORED_PAIRS = f"""{pair_features_ctes()}, sp0 AS (SELECT f.term_id, f.doc_id,
 
 
 def scored_pairs(t):
+    return roles.stored(t, "scored_pairs", lambda: _scored_pairs(t))
+
+
+def _scored_pairs(t):
     df = featured_pairs(t).withColumn("p", hash_unit(42, "term_id", "doc_id"))
     return df.withColumn("prediction", (F.col("p") >= 0.5).cast("int"))
 

@@ -27,7 +27,14 @@ CATEGORICAL = ["contract"]
 PAIR_COLUMNS = [*X.PAIR_FEATURES, "bm25"]
 
 
+# Training frames are read many times by iterative fits, so each is written once.
+
+
 def customers(t):
+    return roles.stored(t, "churn", lambda: _customers(t))
+
+
+def _customers(t):
     """Customer role with a label: no order in the last recorded year."""
     last = t.orders.agg(F.max("o_orderdate")).scalar()
     recent = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last_order"))
@@ -37,15 +44,31 @@ def customers(t):
 
 
 def customer_split(t):
+    return roles.stored(t, "churn_split", lambda: _customer_split(t))
+
+
+def customer_folds(t):
+    return roles.stored(t, "churn_folds", lambda: S.row_folds(customers(t), ["c_custkey"], 3, strata=["label"]))
+
+
+def _customer_split(t):
     return S.split_rows(customers(t), ["c_custkey"], (0.6, 0.8), ("train", "validation", "test"), strata=["label"])
 
 
 def reviews(t):
+    return roles.stored(t, "reviews", lambda: _reviews(t))
+
+
+def _reviews(t):
     base = roles.review_texts(t).select("doc_id", clean_review("text").alias("text"), F.col("quality").alias("label"))
     return S.split_rows(base, ["doc_id"], (0.6, 0.8), ("train", "validation", "test"), strata=["label"])
 
 
 def priced_lines(t):
+    return roles.stored(t, "priced_lines", lambda: _priced_lines(t))
+
+
+def _priced_lines(t):
     joined = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     base = joined.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax",
@@ -170,7 +193,7 @@ def _(t):
 
 @query("M15_cross_validation")
 def _(t):
-    folded = S.row_folds(customers(t), ["c_custkey"], 3, strata=["label"])
+    folded = customer_folds(t)
     candidates = {n: _tabular(D.classifier(n)) for n in ("logistic_regression", "decision_tree")}
     results = D.cross_validate(folded, candidates, "label", "fold", 3)
     return D.cv_summary(results, ["f1", "roc_auc", "average_precision"])
@@ -178,7 +201,7 @@ def _(t):
 
 @query("M16_grid_search")
 def _(t):
-    folded = S.row_folds(customers(t), ["c_custkey"], 3, strata=["label"])
+    folded = customer_folds(t)
     lr = LogisticRegression(maxIter=30)
     grid = [(lr.regParam, [0.001, 0.01, 0.1]), (lr.elasticNetParam, [0.0, 0.5])]
     _best, table = D.grid_search(folded, _tabular(lr), grid, BinaryClassificationEvaluator(), "fold", 3)
@@ -192,6 +215,18 @@ def _(t):
 
 
 def pair_frame(t):
+    return roles.stored(t, "pair_frame", lambda: _pair_frame(t))
+
+
+def pair_split(t):
+    return roles.stored(t, "pair_split", lambda: S.split_groups(pair_frame(t), "term_id"))
+
+
+def pair_folds(t):
+    return roles.stored(t, "pair_folds", lambda: S.group_folds(pair_frame(t), "term_id", 3))
+
+
+def _pair_frame(t):
     return scored_pairs(t).select("term_id", "doc_id", F.concat_ws("-", "term_id", "doc_id").alias("pair"), *PAIR_COLUMNS, "label", "p", F.lit(1.0).alias("weight"))
 
 
@@ -201,13 +236,13 @@ def _pair_stages(name="logistic_regression", columns=PAIR_COLUMNS, weight="weigh
 
 @query("M18_out_of_fold_scores")
 def _(t):
-    folded = S.group_folds(pair_frame(t), "term_id", 3)
+    folded = pair_folds(t)
     return D.out_of_fold(folded, _pair_stages(), "pair", "fold", 3).select("pair", "term_id", "fold", "label", F.round("oof", 6).alias("oof"))
 
 
 @query("M19_calibration")
 def _(t):
-    folded = S.row_folds(customers(t), ["c_custkey"], 3, strata=["label"])
+    folded = customer_folds(t)
     oof = D.out_of_fold(folded, _tabular(D.classifier("linear_svc")), "c_custkey", "fold", 3, "margin").select("c_custkey", "label", "margin")
     plain = oof.withColumn("p", B.margin_confidence("margin"))
     platt = D.apply_platt(D.fit_platt(oof, "margin", "label"), oof)
@@ -221,9 +256,11 @@ def _(t):
 
 @query("M20_learning_to_rank")
 def _(t):
-    split = S.split_groups(pair_frame(t), "term_id")
+    split = pair_split(t)
     columns = ["jaccard", "query_coverage", "title_coverage", "attributes_overlap", "bm25"]
-    train = rank_by_value(_part(split, "train"), "bm25", "doc_id", "first_rank", ["term_id"])
+    train = roles.stored(
+        t, "ranked_train", lambda: rank_by_value(_part(split, "train"), "bm25", "doc_id", "first_rank", ["term_id"])
+    )
     test, out = _part(split, "test"), None
     for objective in ("pairwise", "ndcg", "map"):
         model = D.fit_ranker(train, "term_id", "doc_id", "label", columns, objective, None if objective == "pairwise" else "first_rank")
@@ -235,9 +272,9 @@ def _(t):
 
 @query("M21_hard_negative_training")
 def _(t):
-    split = S.split_groups(pair_frame(t), "term_id")
+    split = pair_split(t)
     train = ST.hard_negative_flags(_part(split, "train"), "label", "p").drop(*ST.HARD_FLAGS)
-    variants = S.hard_negative_variants(train, "is_hard", "weight")
+    variants = roles.stored(t, "hard_variants", lambda: S.hard_negative_variants(train, "is_hard", "weight"))
     test, out = _part(split, "test"), None
     for name in ("original", "weighted", "enriched", "weighted_enriched"):
         model = Pipeline(stages=_pair_stages()).fit(variants.where(F.col("variant") == name).drop("variant"))
@@ -269,7 +306,7 @@ def _(t):
 
 @query("M22_score_relevance")
 def _(t):
-    split = S.split_groups(pair_frame(t), "term_id")
+    split = pair_split(t)
     model = Pipeline(stages=_pair_stages()).fit(_part(split, "train"))
     return B.score_relevance(model, split).select("term_id", "doc_id", "split", "prediction", "relevance_score", "score_type", "relevance")
 
@@ -284,16 +321,19 @@ def _(t):
     return D.classification_summary(D.with_scores(loaded, _part(split, "test")), "label").withColumn("seed", F.lit(metadata["seed"]))
 
 
-@query("T14_relevance_features")
-def _(t):
-    """Word, character and explicit blocks of the relevance feature set."""
-    base = roles.pairs(t)
+def _relevance_frame(t):
     product = X.product_document("title", "category", "brand", "attributes")
-    text = base.select("*", product.alias("product_text")).withColumn("pair_text", X.pair_document("query", F.col("product_text")))
+    text = roles.pairs(t).select("*", product.alias("product_text")).withColumn("pair_text", X.pair_document("query", F.col("product_text")))
     frame = X.pair_features(text, "query", "title", "category", "brand", "attributes").select(
         "term_id", "doc_id", "label", F.col("query").alias("query_text"), "product_text", "pair_text", *X.PAIR_FEATURES
     )
-    split = S.split_groups(frame, "term_id")
+    return S.split_groups(frame, "term_id")
+
+
+@query("T14_relevance_features")
+def _(t):
+    """Word, character and explicit blocks of the relevance feature set."""
+    split = roles.stored(t, "relevance_frame", lambda: _relevance_frame(t))
     stages = D.relevance_stages("word", "query_text", "product_text", "pair_text", X.PAIR_FEATURES)
     model = Pipeline(stages=[*stages, D.classifier("logistic_regression")]).fit(_part(split, "train"))
     return D.classification_summary(D.with_scores(model, _part(split, "test")), "label")
@@ -301,6 +341,6 @@ def _(t):
 
 @query("R17_classifier_ranking")
 def _(t):
-    split = S.split_groups(pair_frame(t), "term_id")
+    split = pair_split(t)
     model = Pipeline(stages=_pair_stages()).fit(_part(split, "train"))
     return B.rank_catalogue(model, _part(split, "test"), "term_id", "doc_id", 10).select("term_id", "doc_id", "label", "relevance_score", "rank")
