@@ -273,7 +273,8 @@ def stored(t, name: str, build) -> DataFrame:
     def write():
         path = scratch_path(t.spark, name)
         df = build()
-        df.write.parquet(path)
+        tasks = int(t.spark.conf.get("spark.sql.shuffle.partitions"))  # as many files as later readers want tasks
+        df.repartition(tasks).write.parquet(path)
         return path, df.schema
 
     path, schema = _once(t, name, write)
