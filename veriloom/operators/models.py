@@ -45,6 +45,7 @@ from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as T
 from ..functions.scalars import literal_rows
+from ..session import through_table
 from .clean import most_frequent
 from .metrics import binary_metrics, probability_losses, ranking_areas, regression_metrics
 from .ordered import join_groups, rank_by_hash, top_k
@@ -251,7 +252,7 @@ def classifier(name: str, features: str = "features", label: str = "label", weig
     made = {
         "logistic_regression": lambda: LogisticRegression(maxIter=100, regParam=0.01, **common),
         "tuned_logistic": lambda: LogisticRegression(maxIter=100, regParam=0.02, **common),
-        "linear_svc": lambda: LinearSVC(maxIter=50, regParam=0.01, **common),
+        "linear_svc": lambda: LinearSVC(maxIter=30, tol=1e-3, regParam=0.01, **common),
         "naive_bayes": lambda: NaiveBayes(modelType="multinomial", smoothing=1.0, **common),
         "decision_tree": lambda: DecisionTreeClassifier(maxDepth=8, minInstancesPerNode=20, seed=SEED, **common),
         "random_forest": lambda: RandomForestClassifier(numTrees=80, maxDepth=10, minInstancesPerNode=5, seed=SEED, **common),
@@ -260,7 +261,7 @@ def classifier(name: str, features: str = "features", label: str = "label", weig
         ),
         "gradient_boosting": lambda: GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.1, seed=SEED, **common),
         "sgd_log_loss": lambda: LogisticRegression(maxIter=20, regParam=1e-4, **common),
-        "sgd_modified_huber": lambda: LinearSVC(maxIter=20, regParam=1e-4, **common),
+        "sgd_modified_huber": lambda: LinearSVC(maxIter=20, tol=1e-3, regParam=1e-4, **common),
     }
     return made[name]()
 
@@ -304,7 +305,12 @@ def with_scores(model: PipelineModel, df: DataFrame, name: str = "score") -> Dat
 
 
 def classification_summary(scored: DataFrame, label: str, score: str = "score") -> DataFrame:
-    """One row of threshold and ranking metrics for a scored table."""
+    """One row of threshold and ranking metrics for a scored table.
+
+    Label, prediction and score are written once, so the model runs one time
+    however many metrics read its output.
+    """
+    scored = through_table(scored.select(label, "prediction", score), "scored")
     basics = binary_metrics(scored, label, "prediction").drop("support", "positive_rate")
     areas = ranking_areas(scored, label, score)
     return basics.select("*", areas.select("roc_auc").scalar().alias("roc_auc"), areas.select("average_precision").scalar().alias("average_precision"))
@@ -362,7 +368,7 @@ def out_of_fold(df: DataFrame, stages: list, key: str, fold: str, folds: int, na
         model = Pipeline(stages=stages).fit(df.where(F.col(fold) != i))
         part = with_scores(model, df.where(F.col(fold) == i), name).select(key, name)
         parts = part if parts is None else parts.unionByName(part)
-    return df.join(parts, key)
+    return df.join(through_table(parts, "oof"), key)
 
 
 def fit_platt(scored: DataFrame, score: str, label: str) -> PipelineModel:

@@ -40,12 +40,12 @@ def value_buckets(
     descending: bool = False,
     small_rows: int | None = None,
     splits: int = SPLITS,
-) -> Column:
+) -> Column | None:
     """Bucket number that grows along the order ``value [desc], tie asc``.
 
     One aggregate reads the row count and the split points. A value frequent
     enough to be a split point gets a bucket of its own, cut further along a
-    numeric ``tie``. Small inputs use one bucket.
+    numeric ``tie``. Small inputs need no buckets: the result is ``None``.
     """
     limit = SMALL_ROWS if small_rows is None else small_rows
     shares = [i / (splits + 1) for i in range(1, splits + 1)]
@@ -55,7 +55,7 @@ def value_buckets(
         asks.append(F.percentile_approx(F.col(tie).cast("double"), spec, 10_000).alias("t"))
     row = df.agg(*asks).first()
     if row["n"] <= limit or row["v"] is None:
-        return F.lit(0)
+        return None
     points = sorted(set(row["v"]))
     v = F.col(value).cast("double")
     below, upto = _bisect(v, points, False), _bisect(v, points, True)
@@ -78,11 +78,17 @@ def running(
     df: DataFrame,
     order: list[Column],
     sums: dict[str, Column],
-    bucket: Column,
+    bucket: Column | None,
     partition: list[str] | None = None,
 ) -> DataFrame:
-    """Add running sums along ``order``; ``bucket`` must follow the same order."""
+    """Add running sums along ``order``; ``bucket`` must follow the same order.
+
+    Without a bucket (an input known to be small) one window does it.
+    """
     keys = list(partition or [])
+    if bucket is None:
+        whole = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(c).over(whole).alias(n) for n, c in sums.items()])
     rows = df.withColumn("_bucket", bucket)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     part = rows.select("*", *[F.sum(c).over(inside).alias(f"_in_{n}") for n, c in sums.items()])
