@@ -1,11 +1,13 @@
 """The registered queries of this package."""
 
-from . import mixing, sharding
+from . import mixing, quality, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op5_quality_rules": quality.op5_quality_rules,
     "op6_sharding": sharding.op6_sharding,
 }
 ORACLES = {
     "op1_mixing": mixing.OP1_SQL,
+    "op5_quality_rules": quality.OP5_SQL,
 }
