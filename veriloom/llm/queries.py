@@ -1,9 +1,10 @@
 """The registered queries of this package."""
 
-from . import mixing, quality, sharding
+from . import mixing, quality, secrets, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op4_secret_scan": secrets.op4_secret_scan,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_sharding": sharding.op6_sharding,
 }
