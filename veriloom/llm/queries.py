@@ -1,12 +1,13 @@
 """The registered queries of this package."""
 
-from . import mixing, pseudonyms, quality, secrets, sharding
+from . import jaccard, mixing, pseudonyms, quality, secrets, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_sharding": sharding.op6_sharding,
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op10_pseudonyms": pseudonyms.op10_pseudonyms,
 }
 ORACLES = {
