@@ -1,9 +1,10 @@
 """The registered queries of this package."""
 
-from . import jaccard, mixing, pseudonyms, quality, secrets, sharding
+from . import jaccard, mixing, pseudonyms, quality, repeats, secrets, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_repeats": repeats.op3_repeats,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_sharding": sharding.op6_sharding,
