@@ -1,6 +1,6 @@
 """The registered queries of this package."""
 
-from . import jaccard, mixing, pseudonyms, quality, repeats, secrets, sharding
+from . import decontaminate, jaccard, mixing, pseudonyms, quality, repeats, secrets, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_sharding": sharding.op6_sharding,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op10_pseudonyms": pseudonyms.op10_pseudonyms,
 }
 ORACLES = {
