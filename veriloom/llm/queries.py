@@ -1,6 +1,6 @@
 """The registered queries of this package."""
 
-from . import decontaminate, jaccard, mixing, pseudonyms, quality, repeats, secrets, sharding
+from . import decontaminate, jaccard, mixing, pseudonyms, quality, repeats, secrets, sharding, wrappers
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_sharding": sharding.op6_sharding,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_decontamination": decontaminate.op8_decontamination,
+    "op9_main_text": wrappers.op9_main_text,
     "op10_pseudonyms": pseudonyms.op10_pseudonyms,
 }
 ORACLES = {
