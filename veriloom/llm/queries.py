@@ -1,9 +1,10 @@
 """The registered queries of this package."""
 
-from . import decontaminate, jaccard, mixing, pseudonyms, quality, repeats, secrets, sharding, wrappers
+from . import decontaminate, jaccard, mixing, pseudonyms, quality, repeats, secrets, sharding, token_shards, wrappers
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_token_shards": token_shards.op2_token_shards,
     "op3_repeats": repeats.op3_repeats,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_quality_rules": quality.op5_quality_rules,
