@@ -42,7 +42,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from ..session import through_table
 from .columns import without
-from .shingling import buffers, chunks, mix, prefix_sums, ranges
+from .shingling import buffers, chunks, mix, prefix_sums, ranges, rolling
 
 LENGTH = 200
 GRAM = 64
@@ -90,21 +90,25 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     if n <= 0:
         return none, none, none, none
     sums = prefix_sums(data)
-    at = np.arange(len(data) - gram + 1)
-    grams = ranges(sums, at, at + gram)
-    least = sliding_least((grams & _U(0xFFFFFFFF00000000)) | at.astype(_U), length - gram + 1)
+    grams = rolling(sums, gram)
+    keys = grams & _U(0xFFFFFFFF00000000)
+    keys |= np.arange(len(grams), dtype=_U)
+    least = sliding_least(keys, length - gram + 1)
     anchor = (least & _U(0xFFFFFFFF)).astype(np.int64)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
-    whole = np.arange(n) + length <= offsets[1:][text]
-    change = np.ones(n, bool)
-    change[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | ~whole[:-1]
-    first = np.flatnonzero(change & whole)
+    change = np.ones(n + 1, bool)
+    np.not_equal(anchor[1:], anchor[:-1], out=change[1:n])
+    # Windows that would leave their text end a run and belong to none.
+    outside = np.zeros(n + 1, np.int32)
+    np.add.at(outside, np.minimum(np.maximum(offsets[1:] - length + 1, offsets[:-1]), n), 1)
+    np.add.at(outside, np.minimum(offsets[1:], n), -1)
+    whole = np.cumsum(outside[:n]) == 0
+    change[offsets[(offsets > 0) & (offsets < n)]] = True
+    change[1:n] |= whole[1:] != whole[:-1]
+    first = np.flatnonzero(change[:n] & whole)
     if not len(first):
         return none, none, none, none
-    ends = np.ones(n, bool)
-    ends[:-1] = change[1:] | ~whole[1:]
-    last = np.flatnonzero(ends & whole)
-    a, t = anchor[first], text[first]
+    last = np.flatnonzero(change[1:] & whole)
+    a, t = anchor[first], np.searchsorted(offsets, first, side="right") - 1
     before = a - first
     run = mix(ranges(sums, first, last + length) + before.astype(_U) * _U(0x9E3779B97F4A7C15))
     tags = text_tag(ranges(sums, offsets[:-1], offsets[1:]))
@@ -129,13 +133,13 @@ def _anchor_pass(length: int, gram: int):
 
 
 def _cut_pass(length: int, gram: int, piece: int):
-    """Bytes of the open runs, and pieces of window digests of the hot ones."""
+    """Bytes of the open runs, and pieces of window digests of the hot ones; the last inputs are text, id and spots."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            spots = batch.column(2)
+            data, offsets = buffers(batch.column(batch.num_columns - 3))
+            ids = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
+            spots = batch.column(batch.num_columns - 1)
             out = {c: [] for c in ("kind", "key", "id", "start", "tag", "open", "data", "windows")}
             size = 0
             for row in range(len(batch)):
@@ -384,7 +388,14 @@ def remove_repeats(
         .groupBy("id")
         .agg(F.collect_list("spot").alias("spots"))
     )
-    cut = texts.join(spots, "id").select("id", "text", "spots").mapInArrow(_cut_pass(length, gram, PIECE), CUT)
+    # Both joins take the same columns from the documents, so that Spark shuffles the texts once.
+    keyed = base.withColumn("__v_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    own = [F.col(f"`{c}`") for c in base.columns]
+    cut = (
+        keyed.join(spots.withColumnRenamed("id", "__v_id"), "__v_id")
+        .select(*own, F.col(text_col).cast("string").alias("__v_text"), "__v_id", "spots")
+        .mapInArrow(_cut_pass(length, gram, PIECE), CUT)
+    )
     local = (
         cut.where("kind = 0").select("key", "id", "tag", "start", "open", "data").repartition("key").sortWithinPartitions("key")
         .mapInArrow(_factor_pass(length, keep_first), "id long, tag int, start int, stop int")
@@ -405,9 +416,8 @@ def remove_repeats(
     kinds_ = [StructField(f.name, f.dataType) for f in base.schema]
     result = [StructField(c, LongType()) for c in RESULT[:3]] + [StructField("kept_sha256", StringType()), StructField("kept", BinaryType())]
     joined = (
-        base.withColumn("__v_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
-        .join(spans.withColumnRenamed("id", "__v_id"), "__v_id", "left")
-        .select(*[F.col(f"`{c}`") for c in base.columns], F.col(text_col).cast("string").alias("__v_text"), "__v_spans")
+        keyed.join(spans.withColumnRenamed("id", "__v_id"), "__v_id", "left")
+        .select(*own, F.col(text_col).cast("string").alias("__v_text"), "__v_spans")
     )
     return joined.mapInArrow(_keep_pass(base.columns), StructType([*kinds_, *result]))
 

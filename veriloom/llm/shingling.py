@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
@@ -61,7 +61,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Polynomial digests of all prefixes of ``data`` (uint8), one longer than it."""
     out = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE[data] * powers(len(data))[0][: len(data)], out=out[1:])
+    terms = _BYTE[data]
+    terms *= powers(len(data))[0][: len(data)]
+    np.cumsum(terms, out=out[1:])
     return out
 
 
@@ -70,6 +72,19 @@ def ranges(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return mix((sums[stop] - sums[start]) * powers(len(sums))[1][start] + (stop - start).astype(_U) * _U(_BASE))
 
 
+def rolling(sums: np.ndarray, width: int) -> np.ndarray:
+    """``ranges`` of all stretches of ``width`` bytes, from whole slices."""
+    n = len(sums) - width
+    x = sums[width:] - sums[:n]
+    x *= powers(len(sums))[1][:n]
+    x += _U((width * _BASE) % 2**64)
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        x ^= x >> _U(shift)
+        x *= _U(factor)
+    x ^= x >> _U(33)
+    return x
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; null is empty."""
     if column.null_count:
