@@ -123,7 +123,9 @@ def content_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     work is a plain map-side-combined aggregate at any size, and repeated rows
     still count.
     """
-    row = F.md5(F.concat_ws("|", *[F.coalesce(as_column(c).cast("string"), F.lit("∅")) for c in columns]))
+    # Each value goes with its length, a null with none, so neither separators nor stand-ins can be mistaken.
+    texts = [as_column(c).cast("string") for c in columns]
+    row = F.md5(F.concat(*[F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-;")) for x in texts]))
     lanes = [F.sum(F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
     return df.agg(F.count(F.lit(1)).alias("rows"), *[lane.alias(f"l{i}") for i, lane in enumerate(lanes)]).select(
         "rows", F.sha2(F.concat_ws("|", F.col("rows").cast("string"), "l0", "l1", "l2", "l3"), 256).alias("fingerprint")

@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, FloatType
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.scalars import as_column
-from .features import MAX_FEATURES, idf, term_counts, tfidf, vocabulary
+from .features import idf, term_counts, tfidf, vocabulary
 from .ordered import top_k
 
 SCORE_DIGITS = 9
@@ -52,7 +52,7 @@ def build_index(
     analyzer: str = "word",
     ngrams: int = 1,
     min_df: int = 2,
-    max_features: int = MAX_FEATURES,
+    max_features: int | None = None,
 ) -> LexicalIndex:
     """Postings, vocabulary and size of a text collection; ``persist()`` before repeated use."""
     counts = term_counts(docs, doc, text, analyzer, ngrams)
@@ -63,7 +63,7 @@ def build_index(
 
 def index_statistics(index: LexicalIndex) -> DataFrame:
     """Postings, terms, documents and the bytes of a compressed sparse row form."""
-    kept = index.counts.join(F.broadcast(index.vocab.select("term")), "term", "left_semi")
+    kept = index.counts.join(index.vocab.select("term"), "term", "left_semi")
     return (
         kept.agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("term_occurrences"))
         .withColumn("vocabulary", index.vocab.agg(F.count(F.lit(1))).scalar())
@@ -87,7 +87,7 @@ def _join_terms(postings: DataFrame, query_terms: DataFrame, raw_terms: DataFram
 
 def _salted_term_join(postings: DataFrame, query_terms: DataFrame, salts: int = 32) -> DataFrame:
     """Join on term where each term's postings are spread over ``salts`` tasks."""
-    left = postings.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    left = postings.withColumn("_salt", F.pmod(F.xxhash64(*postings.columns), F.lit(salts)).cast("int"))
     right = query_terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, ["term", "_salt"]).drop("_salt")
 
@@ -116,7 +116,7 @@ def bm25_scores(
     df = F.col("df")
     weights = index.vocab.select("term", F.log(1 + (index.n_docs - df + 0.5) / (df + 0.5)).alias("_idf"))
     mean_length = F.greatest(index.vocab.agg(F.sum("cf")).scalar() / index.n_docs, F.lit(1.0))
-    postings = index.counts.join(F.broadcast(weights), "term").withColumn(
+    postings = index.counts.join(weights, "term").withColumn(
         "_dl", F.sum("tf").over(Window.partitionBy(index.doc))
     )
     terms = term_counts(queries, query, text, index.analyzer, index.ngrams).select(query, "term")

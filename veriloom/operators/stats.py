@@ -57,19 +57,30 @@ def paired_bootstrap(deltas: DataFrame, query: str, groups: list[str], seed: int
 
 
 def _t_value(n: Column) -> Column:
+    """The two-sided 95 % point for ``n`` values: null for one value, a series in 1 / degrees of freedom beyond the table."""
     table = F.create_map(*[F.lit(x) for pair in T_975.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, (n - 1).cast("int")), F.when(n > 20, F.lit(1.96)), F.lit(0.0))
+    z = 1.959963984540054
+    terms = [
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+    ]
+    free = (n - 1).cast("double")
+    series = F.lit(z)
+    for power, term in enumerate(terms, 1):
+        series = series + F.lit(term) / F.pow(free, F.lit(float(power)))
+    return F.coalesce(F.try_element_at(table, (n - 1).cast("int")), F.when(n - 1 > max(T_975), series))
 
 
 def seed_intervals(df: DataFrame, keys: list[str], metrics: list[str], seed: str = "seed", sums: list[str] | None = None) -> DataFrame:
-    """Mean, sd (n-1) and t interval over seeds for each metric."""
+    """Mean, sd (n-1) and t interval over seeds for each metric; one seed has neither sd nor interval."""
     aggs = [F.count_distinct(seed).alias("seeds"), *[F.sum(c).alias(c) for c in sums or []]]
     for m in metrics:
         aggs += [F.avg(m).alias(f"{m}_m"), F.stddev_samp(m).alias(f"{m}_s"), F.count(m).alias(f"{m}_n")]
     g = df.groupBy(*keys).agg(*aggs)
     out = [*keys, "seeds", *(sums or [])]
     for m in metrics:
-        mean, sd, n = F.col(f"{m}_m"), F.coalesce(f"{m}_s", F.lit(0.0)), F.col(f"{m}_n")
+        mean, sd, n = F.col(f"{m}_m"), F.col(f"{m}_s"), F.col(f"{m}_n")
         half = _t_value(n) * sd / F.sqrt(n)
         out += [
             F.round(mean, 6).alias(f"{m}_mean"), F.round(sd, 6).alias(f"{m}_std"),
@@ -83,26 +94,23 @@ def mean_and(df: DataFrame, keys: list[str], metrics: list[str], functions: dict
     return df.groupBy(*keys).agg(*[F.round(f(m), 6).alias(f"{m}_{name}") for m in metrics for name, f in functions.items()])
 
 
-HARD_FLAGS = [
-    "high_lexical_overlap", "high_first_score", "brand_match_category_mismatch", "category_match_wrong_intent",
-    "similar_title", "character_similar", "attribute_conflict",
-]
+# Names of the flags and their rules on the pair features; ``{score}`` is the first model's score.
+HARD_RULES = {
+    "high_lexical_overlap": "jaccard >= 0.2",
+    "high_v1_probability": "{score} >= 0.5",
+    "brand_match_category_mismatch": "brand_mention > 0 and category_overlap = 0",
+    "category_match_wrong_intent": "category_overlap > 0 and query_coverage < 0.5",
+    "similar_title": "title_coverage >= 0.5",
+    "character_similar": "char_length_ratio >= 0.5",
+    "attribute_conflict": "attributes_overlap = 0 and query_coverage >= 0.5",
+}
+HARD_FLAGS = list(HARD_RULES)
 
 
 def hard_negative_flags(df: DataFrame, label: str, first_score: str) -> DataFrame:
     """Seven kinds of misleading negatives on pair features, and any of them."""
     negative = F.col(label) == 0
-    kinds = [
-        F.col("jaccard") >= 0.2,
-        F.col(first_score) >= 0.5,
-        (F.col("brand_mention") > 0) & (F.col("category_overlap") == 0),
-        (F.col("category_overlap") > 0) & (F.col("query_coverage") < 0.5),
-        F.col("title_coverage") >= 0.5,
-        F.col("char_length_ratio") >= 0.5,
-        (F.col("attributes_overlap") == 0) & (F.col("query_coverage") >= 0.5),
-    ]
-    flags = {name: negative & kind for name, kind in zip(HARD_FLAGS, kinds)}
-    out = df.withColumns(flags)
+    out = df.withColumns({name: negative & F.expr(rule.format(score=f"`{first_score}`")) for name, rule in HARD_RULES.items()})
     return out.withColumn("is_hard", F.greatest(*[F.col(c) for c in HARD_FLAGS]))
 
 
@@ -126,11 +134,21 @@ def append_runs(registry: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def unchanged_check(new: DataFrame, old: DataFrame, keys: list[str], metrics: list[str], eps: float = EPS) -> DataFrame:
-    """Rows compared and values that moved by more than ``eps``, per metric."""
-    renamed = old.select(*keys, *[F.col(m).alias(f"_{m}") for m in metrics])
-    wide = new.join(renamed, keys).agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count_if(F.abs(F.col(m) - F.col(f"_{m}")) > eps).alias(m) for m in metrics]
-    )
+    """Rows compared and values that moved by more than ``eps``, per metric.
+
+    A row on one side only, and a value that is null on one side only, has changed.
+    """
+    side = lambda df, mark: df.select(*keys, *[F.col(m).alias(f"{mark}{m}") for m in metrics], F.lit(True).alias(f"{mark}here"))
+    a, b = side(new, "_n_"), side(old, "_o_")
+    same_key = [a[k].eqNullSafe(b[k]) for k in keys]
+    joined = a.join(b, same_key, "full_outer")
+
+    def moved(m: str) -> Column:
+        x, y = F.col(f"_n_{m}"), F.col(f"_o_{m}")
+        apart = F.when(x.isNull() | y.isNull(), ~x.eqNullSafe(y)).otherwise(F.abs(x - y) > eps)
+        return F.count_if(F.col("_n_here").isNull() | F.col("_o_here").isNull() | apart)
+
+    wide = joined.agg(F.count(F.lit(1)).alias("rows"), *[moved(m).alias(m) for m in metrics])
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col("rows").alias("compared"), F.col(m).alias("changed")) for m in metrics])
     return wide.select(F.explode(pairs).alias("p")).select("p.*")
 

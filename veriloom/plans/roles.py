@@ -214,32 +214,42 @@ def _judgments(t) -> DataFrame:
     """Documents that contain a whole passage.
 
     A contained passage brings along every run of its inner words, so an
-    equality join on one such run finds all candidates and the containment
-    test only confirms them.
+    equality join on one run of up to six of them finds all candidates and the
+    containment test only confirms them. Passages of one or two words have no
+    inner word; blocks of them are tested while the documents are read.
     """
-    width = 6
-    probe = t.benchmark.withColumn("ws", F.split("text", r"\s+")).select(
-        F.col("item_id").alias("term_id"),
-        F.col("text").alias("passage"),
-        F.xxhash64(F.array_join(F.slice("ws", 2, width), " ")).alias("run"),
-    )
-    runs = t.documents.withColumn("ws", F.split("text", r"\s+")).where(F.size("ws") >= width).select(
-        "doc_id",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.size("ws") - width + 1),
-                    lambda i: F.xxhash64(F.array_join(F.slice("ws", i, F.lit(width)), " ")),
-                )
-            )
-        ).alias("run"),
-    )
-    candidates = runs.join(probe, "run").select("term_id", "doc_id", "passage").distinct()
-    return (
-        candidates.join(t.documents.select("doc_id", "text"), "doc_id")
-        .where(F.contains("text", F.col("passage")))
-        .select("term_id", F.col("doc_id").alias("item_id"), F.lit(1).alias("relevance_label"))
+    passages_ = t.benchmark.select(F.col("item_id").alias("term_id"), F.col("text").alias("passage"), F.split("text", r"\s+").alias("ws"))
+    width = F.least(F.lit(6), F.size("ws") - 2)
+    probe = passages_.where(F.size("ws") > 2).select(
+        "term_id", "passage", width.alias("width"), F.xxhash64(F.array_join(F.slice("ws", F.lit(2), width), " ")).alias("run")
     )
+    widths = [r[0] for r in probe.select("width").distinct().collect()]  # at most six numbers
+    docs = t.documents.select("doc_id", "text", F.split("text", r"\s+").alias("ws"))
+
+    def runs(w: int):
+        starts = F.sequence(F.lit(1), F.size("ws") - w + 1)
+        hashed = F.transform(starts, lambda i: F.struct(F.lit(w).alias("width"), F.xxhash64(F.array_join(F.slice("ws", i, F.lit(w)), " ")).alias("run")))
+        return F.when(F.size("ws") >= w, F.array_distinct(hashed)).otherwise(F.array().cast("array<struct<width:int,run:bigint>>"))
+
+    found = []
+    if widths:
+        entries = docs.select("doc_id", F.explode(F.flatten(F.array(*[runs(w) for w in widths]))).alias("e")).select("doc_id", "e.*")
+        candidates = entries.join(probe, ["width", "run"]).select("term_id", "doc_id", "passage").distinct()
+        found.append(candidates.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select("term_id", "doc_id"))
+    short = passages_.where(F.size("ws") <= 2).select("term_id", "passage")
+    block: list = []
+    for row in [*short.toLocalIterator(), None]:
+        if row is not None:
+            block.append(row)
+        if block and (row is None or len(block) == 1000):
+            known = F.array(*[F.struct(F.lit(r["term_id"]).alias("term_id"), F.lit(r["passage"]).alias("passage")) for r in block])
+            hits = F.filter(known, lambda p: F.contains(F.col("text"), p["passage"]))
+            found.append(docs.select("doc_id", F.explode(hits).alias("h")).select("h.term_id", "doc_id"))
+            block = []
+    whole = found[0] if found else docs.select(F.lit(0).cast("long").alias("term_id"), "doc_id").limit(0)
+    for part in found[1:]:
+        whole = whole.unionByName(part)
+    return whole.select("term_id", F.col("doc_id").alias("item_id"), F.lit(1).alias("relevance_label"))
 
 
 JUDGMENTS = """judgments AS (

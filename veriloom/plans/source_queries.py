@@ -190,7 +190,7 @@ _LANES = ", ".join(
 
 @query(
     "S15_content_fingerprint",
-    f"""WITH h AS (SELECT md5(concat_ws('|', CAST(p_partkey AS VARCHAR), p_name, p_brand, p_type, CAST(p_size AS VARCHAR))) AS h FROM part),
+    f"""WITH h AS (SELECT md5({' || '.join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-;')" for c in ('p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size'))}) AS h FROM part),
     s AS (SELECT count(*) AS n, {_LANES} FROM h)
     SELECT n AS "rows", sha256(concat_ws('|', CAST(n AS VARCHAR), l0, l1, l2, l3)) AS fingerprint FROM s""",
 )

@@ -34,7 +34,7 @@ _FIELDS = {"title": "title", "category": "category", "brand": "brand", "attribut
 @query(
     "T3_searchable_text",
     f"""WITH {roles.CATALOGUE}, n AS (SELECT item_id, {Q.normalize_search('title')} AS ti, {Q.normalize_search('category')} AS ca,
-      {Q.normalize_search('brand')} AS br, substr({Q.normalize_search('attributes')}, 1, 240) AS att FROM catalogue)
+      {Q.normalize_search('brand')} AS br, {Q.normalize_search('attributes')} AS att FROM catalogue)
     SELECT item_id, ti AS title_only, concat_ws(' ', nullif(ti, ''), nullif(ti, ''), nullif(ca, ''), nullif(br, ''), nullif(att, '')) AS enriched FROM n""",
 )
 def _(t):
@@ -121,8 +121,8 @@ def pair_features_ctes() -> str:
     z AS (SELECT *, len(qs) AS qn, len(ts) AS tn, len(list_intersect(qs, ts)) AS inter, len(list_distinct(list_concat(qs, ts))) AS uni FROM s),
     feats AS (SELECT term_id, doc_id, label, bm25,
       CASE WHEN q = ti AND q <> '' THEN 1 ELSE 0 END AS exact_match, CASE WHEN q <> '' AND contains(ti, q) THEN 1 ELSE 0 END AS query_in_title,
-      CASE WHEN ti <> '' AND contains(q, ti) THEN 1 ELSE 0 END AS title_in_query, CAST(qn AS INTEGER) AS query_tokens, CAST(tn AS INTEGER) AS title_tokens,
-      CAST(abs(qn - tn) AS INTEGER) AS token_gap, CAST(inter AS INTEGER) AS intersection, CAST(uni AS INTEGER) AS "union",
+      CASE WHEN ti <> '' AND contains(q, ti) THEN 1 ELSE 0 END AS title_in_query, CAST(qn AS INTEGER) AS query_words, CAST(tn AS INTEGER) AS title_words,
+      CAST(abs(qn - tn) AS INTEGER) AS length_difference, CAST(inter AS INTEGER) AS intersection, CAST(uni AS INTEGER) AS "union",
       CASE WHEN uni > 0 THEN inter::DOUBLE / uni ELSE 0 END AS jaccard, CASE WHEN qn > 0 THEN inter::DOUBLE / qn ELSE 0 END AS query_coverage,
       CASE WHEN tn > 0 THEN inter::DOUBLE / tn ELSE 0 END AS title_coverage, CASE WHEN br <> '' AND contains(q, br) THEN 1 ELSE 0 END AS brand_mention,
       CAST(len(list_intersect(qs, cs)) AS INTEGER) AS category_overlap,
