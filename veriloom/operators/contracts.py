@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.scalars import as_column, blank_to_empty, flag, is_true, to_number
 from ..functions.vectors import all_finite, norm
 from .ordered import keep_first
@@ -87,7 +88,8 @@ def prepare_catalogue(df: DataFrame, key: str, order: list[str], text_columns: l
     first = keep_first(df.where(F.col(key).isNotNull()), [key], order)
     filled = first.withColumns({c: blank_to_empty(c) for c in text_columns})
     flags = {f"{c}_missing": flag(F.trim(F.col(c)) == "") for c in text_columns}
-    searchable = reduce(lambda a, b: a | b, [F.trim(F.col(c)) != "" for c in text_columns])
+    # An entry whose texts normalise to nothing cannot be found by a search.
+    searchable = reduce(lambda a, b: a | b, [T.normalize_search(c) != "" for c in text_columns])
     return filled.withColumns(flags).where(searchable)
 
 

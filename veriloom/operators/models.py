@@ -39,7 +39,7 @@ from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasLabelCol, HasO
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -431,19 +431,13 @@ def fit_ranker(df: DataFrame, group: str, item: str, label: str, features: list[
     """Linear ranker on feature differences.
 
     ``pairwise`` weighs pairs equally; ``ndcg`` and ``map`` weigh a pair by
-    how much swapping its first-stage ranks (column ``rank``) would change the
-    metric's discount.
+    how much swapping its first-stage ranks (column ``rank``) would change
+    NDCG or average precision of its group.
     """
     if objective == "pairwise" or not rank:
         pairs = ranking_pairs(df, group, item, label, features, per_item).withColumn("pair_weight", F.lit(1.0))
     else:
-        pairs = _ranked_pairs(df, group, item, label, features, rank, per_item)
-    if objective == "pairwise" or not rank:
-        pass
-    elif objective == "ndcg":
-        pairs = pairs.withColumn("pair_weight", F.abs(1 / F.log2(F.col("rank_pos") + 1) - 1 / F.log2(F.col("rank_neg") + 1)) + 1e-6)
-    else:
-        pairs = pairs.withColumn("pair_weight", F.abs(1 / F.col("rank_pos") - 1 / F.col("rank_neg")) + 1e-6)
+        pairs = _ranked_pairs(df, group, item, label, features, rank, per_item, objective)
     signed = pairs.withColumn("_sign", F.explode(F.array(F.lit(1.0), F.lit(-1.0)))).select(
         *[(F.col(f"d_{f}") * F.col("_sign")).alias(f) for f in features], ((F.col("_sign") + 1) / 2).alias("_better"), "pair_weight"
     )
@@ -454,10 +448,33 @@ def fit_ranker(df: DataFrame, group: str, item: str, label: str, features: list[
     return Pipeline(stages=stages).fit(signed)
 
 
-def _ranked_pairs(df: DataFrame, group: str, item: str, label: str, features: list[str], rank: str, per_item: int) -> DataFrame:
-    doubled = df.withColumns({"rank_pos": F.when(F.col(label) == 1, F.col(rank)).otherwise(0), "rank_neg": F.when(F.col(label) == 0, F.col(rank)).otherwise(0)})
-    pairs = ranking_pairs(doubled, group, item, label, [*features, "rank_pos", "rank_neg"], per_item)
-    return pairs.withColumns({"rank_pos": F.col("d_rank_pos"), "rank_neg": -F.col("d_rank_neg")})
+def _ranked_pairs(df: DataFrame, group: str, item: str, label: str, features: list[str], rank: str, per_item: int, objective: str) -> DataFrame:
+    """Pairs weighted by the change of NDCG, or of average precision, when the two rows swap their ranks.
+
+    Hits and the sum of 1 / rank over the hits up to a row give both ends of
+    the change of average precision; positives and negatives carry their own
+    figures through the pairing.
+    """
+    hit = (F.col(label) == 1).cast("double")
+    upto = Window.partitionBy(group).orderBy(rank, item).rowsBetween(Window.unboundedPreceding, 0)
+    all_of = df.groupBy(group).agg(F.sum(hit).alias("_hits_all"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_hits_all").cast("int"))), F.lit(0.0), lambda s, k: s + 1 / F.log2(k + 1.0))
+    figured = df.join(all_of, group).withColumns(
+        {"_at": F.col(rank).cast("double"), "_c": F.sum(hit).over(upto), "_s": F.sum(hit / F.col(rank)).over(upto), "_all": F.col("_hits_all"), "_ideal": ideal}
+    )
+    own = ["_at", "_c", "_s", "_all", "_ideal"]
+    sides = {f"{c}{mark}": F.when(F.col(label) == y, F.col(c)).otherwise(0.0) for c in own for mark, y in (("_p", 1), ("_n", 0))}
+    doubled = figured.withColumns(sides).drop(*own, "_hits_all")
+    pairs = ranking_pairs(doubled, group, item, label, [*features, *sides], per_item)
+    value = {c: F.col(f"d_{c}") if c.endswith("_p") else -F.col(f"d_{c}") for c in sides}
+    p, q = value["_at_p"], value["_at_n"]
+    if objective == "ndcg":
+        weight = F.abs(1 / F.log2(p + 1) - 1 / F.log2(q + 1)) / value["_ideal_p"]
+    else:
+        rises = (value["_c_n"] + 1) / q + (value["_s_p"] - 1 / p - value["_s_n"]) - value["_c_p"] / p
+        falls = value["_c_p"] / p + (value["_s_n"] - value["_s_p"]) - value["_c_n"] / q
+        weight = F.when(q < p, rises).otherwise(falls) / value["_all_p"]
+    return pairs.withColumns({"rank_pos": p, "rank_neg": q, "pair_weight": weight + F.lit(1e-6)}).drop(*[f"d_{c}" for c in sides])
 
 
 def apply_ranker(model: PipelineModel, df: DataFrame, features: list[str], name: str = "rank_score") -> DataFrame:

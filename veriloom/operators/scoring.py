@@ -40,7 +40,12 @@ def score_sentiment(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.withColumns({"sentiment": recode("prediction", {1: "positive", 0: "negative"}), "confidence": class_confidence("score")})
 
 
-def score_relevance(model: PipelineModel, df: DataFrame, score_type: str = "probability") -> DataFrame:
+def score_relevance(model: PipelineModel, df: DataFrame, score_type: str | None = None) -> DataFrame:
+    """Scores and labels; ``score_type`` tells what the score is: a probability, or the margin of models without one."""
+    known = "probability" if "probability" in model.transform(df.limit(0)).columns else "margin"
+    if score_type not in (None, known):
+        raise ValueError(f"the model gives a {known}, not a {score_type}")
+    score_type = known
     out = with_scores(model, df, "relevance_score")
     return out.withColumns({"score_type": F.lit(score_type), "relevance": recode("prediction", {1: "relevant", 0: "not relevant"})})
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash_order
-from .ordered import rank_by_hash, top_k
+from .ordered import top_k
 
 EPS = 1e-12
 # Two-sided 95 % points of Student's t by degrees of freedom.
@@ -20,29 +19,36 @@ def paired_deltas(candidate: DataFrame, baseline: DataFrame, keys: list[str], me
     return candidate.join(base, keys).select(*(extra or []), *keys, (F.col(metric) - F.col("_base")).alias("delta"))
 
 
+# P(X <= k) of the Poisson distribution with mean 1, in units of 2 ** -32.
+POISSON_CUTS = [1580030169, 3160060337, 3950075422, 4213413783, 4279248374, 4292415292, 4294609778, 4294923276, 4294962463, 4294966817, 4294967253, 4294967292]
+LANES = 8
+
+
 def paired_bootstrap(deltas: DataFrame, query: str, groups: list[str], seed: int = 42, draws: int = 1000) -> DataFrame:
     """Mean delta with its 95 % bootstrap interval and win / tie / loss counts.
 
-    Each draw picks rows by a digest of (seed, draw, position): the draws are
-    ordinary rows joined to the deltas, spread over the cluster, and identical
-    on every run.
+    Every draw weighs every row by a Poisson number with mean 1, taken from a
+    digest of (seed, block of draws, query); eight draws share one digest. The
+    weighted sums combine before the shuffle: no row numbers and no join, and
+    one row per task, group and draw leaves a task.
     """
-    indexed = rank_by_hash(deltas, [query], seed, "_i", groups).withColumn("_i", F.col("_i") - 1)
-    sizes = deltas.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    picks = (
-        indexed.select(*groups, "_i")
-        .join(sizes, groups)
-        .withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        .withColumn("_pick", F.pmod(F.conv(F.substring(hash_order(seed, "_b", "_i"), 1, 8), 16, 10).cast("long"), F.col("_n")))
-        .select(*groups, "_b", F.col("_pick").alias("_i"))
-    )
-    means = (
-        picks.groupBy(*groups, "_b", "_i")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .join(indexed.select(*groups, "_i", "delta"), [*groups, "_i"])
-        .groupBy(*groups, "_b")
-        .agg((F.sum(F.col("_c") * F.col("delta")) / F.sum("_c")).alias("m"))
-    )
+    block = F.explode(F.sequence(F.lit(0), F.lit(-(-draws // LANES) - 1)))
+    rows = deltas.select(*groups, query, "delta", block.alias("_block"))
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("_block").cast("string"), F.col(query).cast("string")), 256)
+
+    def weight(lane: Column) -> Column:
+        x = F.conv(F.substr(F.col("_digest"), lane * 8 + 1, F.lit(8)), 16, 10).cast("long")
+        return sum((F.when(x >= cut, 1).otherwise(0) for cut in POISSON_CUTS), F.lit(0))
+
+    sums = [f(lane) for lane in range(LANES) for f in (
+        lambda k: F.sum(F.col(f"_w{k}") * F.col("delta")).alias(f"_s{k}"), lambda k: F.sum(f"_w{k}").alias(f"_n{k}"))]
+    wide = (
+        rows.withColumn("_digest", digest)
+        .select(*groups, "delta", "_block", *[weight(F.lit(k)).alias(f"_w{k}") for k in range(LANES)])
+        .groupBy(*groups, "_block").agg(*sums)
+    )
+    lanes = F.array(*[F.struct((F.col("_block") * LANES + k).alias("b"), F.try_divide(f"_s{k}", f"_n{k}").alias("m")) for k in range(LANES)])
+    means = wide.select(*groups, F.explode(lanes).alias("d")).select(*groups, "d.b", "d.m").where((F.col("b") < draws) & F.col("m").isNotNull())
     spread = means.groupBy(*groups).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))  # one value per draw
     d = F.col("delta")
     counts = deltas.groupBy(*groups).agg(

@@ -48,7 +48,7 @@ def customer_split(t):
 
 
 def customer_folds(t):
-    return roles.stored(t, "churn_folds", lambda: S.row_folds(customers(t), ["c_custkey"], 3, strata=["label"]))
+    return roles.stored(t, "churn_folds", lambda: S.row_folds(customers(t), ["c_custkey"], 5, strata=["label"]))
 
 
 def _customer_split(t):
@@ -194,8 +194,8 @@ def _(t):
 @query("M15_cross_validation")
 def _(t):
     folded = customer_folds(t)
-    candidates = {n: _tabular(D.classifier(n)) for n in ("logistic_regression", "decision_tree")}
-    results = D.cross_validate(folded, candidates, "label", "fold", 3)
+    candidates = {n: _tabular(D.classifier(n)) for n in ("logistic_regression", "decision_tree", "random_forest", "gradient_boosting")}
+    results = D.cross_validate(folded, candidates, "label", "fold", 5)
     return D.cv_summary(results, ["f1", "roc_auc", "average_precision"])
 
 
@@ -204,7 +204,7 @@ def _(t):
     folded = customer_folds(t)
     lr = LogisticRegression(maxIter=30)
     grid = [(lr.regParam, [0.001, 0.01, 0.1]), (lr.elasticNetParam, [0.0, 0.5])]
-    _best, table = D.grid_search(folded, _tabular(lr), grid, BinaryClassificationEvaluator(), "fold", 3)
+    _best, table = D.grid_search(folded, _tabular(lr), grid, BinaryClassificationEvaluator(), "fold", 5)
     return table
 
 

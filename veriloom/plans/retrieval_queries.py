@@ -413,10 +413,11 @@ _UNIT = "CAST('0x' || substr(md5({seed} || '|' || {b} || '|' || {i}), 1, 8) AS B
 def _bootstrap_ctes(deltas: str, groups: list[str], seed: int = 42) -> str:
     """``boot(groups, ci)`` and ``cnt(groups, …)`` over ``deltas(groups, term_id, delta)``."""
     g = ", ".join(groups)
-    draw = f"CAST('0x' || substr(md5('{seed}|' || b || '|' || i), 1, 8) AS BIGINT)"
-    return f"""ix AS (SELECT {g}, delta, row_number() OVER (PARTITION BY {g} ORDER BY md5('{seed}|' || term_id), term_id) - 1 AS i, count(*) OVER (PARTITION BY {g}) AS n FROM {deltas}),
-    pk AS (SELECT {g}, b, {draw} % n AS pick FROM ix, range(1, 1001) r(b)),
-    mn AS (SELECT {', '.join('pk.' + x for x in groups)}, b, avg(delta) AS m FROM pk JOIN ix ON ix.i = pk.pick AND {' AND '.join(f'ix.{x} = pk.{x}' for x in groups)} GROUP BY ALL),
+    draw = f"CAST('0x' || substr(sha256('{seed}|' || (b // {ST.LANES}) || '|' || term_id), 8 * (b % {ST.LANES}) + 1, 8) AS BIGINT)"
+    weight = " + ".join(f"(x >= {cut})::INTEGER" for cut in ST.POISSON_CUTS)
+    return f"""px AS (SELECT {g}, b, delta, {draw} AS x FROM {deltas}, range(0, 1000) r(b)),
+    pw AS (SELECT {g}, b, delta, {weight} AS w FROM px),
+    mn AS (SELECT {g}, b, sum(w * delta) / sum(w) AS m FROM pw GROUP BY ALL HAVING sum(w) > 0),
     boot AS (SELECT {g}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM mn GROUP BY {g}),
     cnt AS (SELECT {g}, avg(delta) AS delta, count(*) FILTER (delta > 1e-12) AS improved, count(*) FILTER (abs(delta) <= 1e-12) AS unchanged, count(*) FILTER (delta < -1e-12) AS worsened FROM {deltas} GROUP BY {g}),
     bt AS (SELECT {g}, delta, lo AS ci_low, hi AS ci_high, improved, unchanged, worsened FROM cnt JOIN boot USING ({g}))"""

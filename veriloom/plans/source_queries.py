@@ -8,6 +8,7 @@ from ..operators import contracts
 from ..session import scratch_path
 from ..sources import files
 from . import roles
+from . import sql_text as Q
 from .registry import query
 
 TABLE_NAMES = (
@@ -141,7 +142,7 @@ def _(t):
 
 @query(
     "S13_catalogue_contract",
-    """WITH raw AS (
+    f"""WITH raw AS (
       SELECT CASE WHEN doc_id % 40 = 1 THEN NULL ELSE doc_id END AS item_id, split_part(text, chr(10), 1) AS title,
              CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS category, 0 AS copy FROM documents
       UNION ALL SELECT doc_id, upper(source), lang, 1 FROM documents WHERE doc_id % 50 = 0),
@@ -149,7 +150,7 @@ def _(t):
     c AS (SELECT item_id, coalesce(title, '') AS title, coalesce(category, '') AS category FROM f)
     SELECT item_id, md5(title) AS title_md5, category, CASE WHEN trim(title) = '' THEN 1 ELSE 0 END AS title_missing,
            CASE WHEN trim(category) = '' THEN 1 ELSE 0 END AS category_missing
-    FROM c WHERE trim(title) <> '' OR trim(category) <> ''""",
+    FROM c WHERE {Q.normalize_search('title')} <> '' OR {Q.normalize_search('category')} <> ''""",
 )
 def _(t):
     base = t.documents.select(

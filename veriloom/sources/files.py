@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
+import re
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,7 +15,7 @@ from pyspark.sql.types import StructType
 from ..functions.scalars import blank_to_empty, literal_rows
 from ..operators.ordered import running, value_buckets
 
-DIGEST_LIMIT = 1 << 30  # a file above this is listed without a content digest
+CHUNK = 1 << 22  # bytes of a file in memory at a time
 
 
 def scan(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -19,10 +25,11 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None) -> Da
 
 
 def detect_delimiter(spark: SparkSession, path: str, candidates: tuple[str, ...] = (";", ",")) -> str:
-    """First candidate that splits the header line, else the last one."""
+    """The candidate that cuts the header line into most fields, quoted names kept whole; ties go to the first."""
     head = spark.read.text(path).first()
-    line = (head[0] if head else "").lstrip("﻿")
-    return next((c for c in candidates if c in line), candidates[-1])
+    line = (head[0] if head else "").lstrip("\ufeff")
+    fields = {c: len(next(csv.reader([line], delimiter=c), [])) for c in candidates}
+    return max(candidates, key=fields.get) if max(fields.values()) > 1 else candidates[-1]
 
 
 def read_delimited(
@@ -79,13 +86,14 @@ def assemble_records(lines: DataFrame, source: str, number: str, line: str) -> D
 def file_inventory(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
     """One row per file: path, extension, size, digest, rows, columns.
 
-    Size and digest come from one listing of all paths; row counts read no
-    columns; schemas come from the footers Spark reads anyway.
+    Sizes come from one listing of all paths. Digests read each file in chunks
+    inside its task, whatever its size; row counts read no columns; schemas
+    come from the footers Spark reads anyway.
     """
     paths = list(tables.values())
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
     facts = listing.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
-    digests = listing.where(F.col("length") <= DIGEST_LIMIT).select("path", F.sha2("content", 256).alias("sha256"))
+    digests = listing.select("path").mapInArrow(_digest_files, "path string, sha256 string")
     frames, schemas = [], []
     for name, path in tables.items():
         df = spark.read.parquet(path)
@@ -119,18 +127,29 @@ def file_inventory(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
     )
 
 
+def _digest_files(batches):
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            store, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+            digest = hashlib.sha256()
+            with store.open_input_stream(name) as source:
+                while block := source.read(CHUNK):
+                    digest.update(block)
+            yield pa.RecordBatch.from_pydict({"path": [path], "sha256": [digest.hexdigest()]})
+
+
 def _plain_path(c: str):
     return F.regexp_replace(F.col(c), r"^[a-z0-9]+:/+", "/")
 
 
 def inventory_summary(inventory: DataFrame) -> DataFrame:
-    """File count, bytes, rows and a short fingerprint over all digests."""
-    lane = F.conv(F.substring("sha256", 1, 8), 16, 10).cast("decimal(20,0)")
+    """File count, bytes, rows and a short fingerprint over all digests, whole and in any order."""
+    lanes = [F.sum(F.conv(F.substring("sha256", 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(8)]
     return inventory.agg(
         F.count(F.lit(1)).alias("files"),
         F.sum("size_bytes").alias("total_bytes"),
         F.sum("row_count").alias("total_rows"),
-        F.substring(F.sha2(F.sum(lane).cast("string"), 256), 1, 12).alias("fingerprint"),
+        F.substring(F.sha2(F.concat_ws("|", *lanes), 256), 1, 12).alias("fingerprint"),
     )
 
 
