@@ -1,6 +1,6 @@
 """The registered queries of this package."""
 
-from . import decontaminate, jaccard, mixing, pseudonyms, quality, repeats, secrets, sharding, token_shards, wrappers
+from . import decontaminate, jaccard, mixing, oracles, pseudonyms, quality, repeats, secrets, sharding, token_shards, wrappers
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,7 +14,12 @@ QUERIES = {
     "op9_main_text": wrappers.op9_main_text,
     "op10_pseudonyms": pseudonyms.op10_pseudonyms,
 }
+#: The others have no SQL form: a permutation, a greedy schedule, inferred wrappers, keyed pseudonyms.
 ORACLES = {
     "op1_mixing": mixing.OP1_SQL,
+    "op3_repeats": oracles.OP3_SQL,
+    "op4_secret_scan": oracles.OP4_SQL,
     "op5_quality_rules": quality.OP5_SQL,
+    "op7_jaccard_join": oracles.OP7_SQL,
+    "op8_decontamination": oracles.OP8_SQL,
 }
