@@ -41,37 +41,41 @@ def missing_counts(df: DataFrame) -> DataFrame:
 
 
 def type_summary(df: DataFrame) -> DataFrame:
+    """Position, type, kind and number of values of every column."""
     numeric = set(numeric_columns(df))
     rows = [(i, c, t, "numeric" if c in numeric else "categorical") for i, (c, t) in enumerate(df.dtypes)]
-    return literal_rows(df.sparkSession, rows, "position int, column_name string, dtype string, kind string")
+    types = literal_rows(df.sparkSession, rows, "position int, column_name string, dtype string, kind string")
+    wide = df.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(df.columns)])
+    return types.join(_per_column(wide, df.columns, {"n_values": "n"}), "column_name")
 
 
 def cardinality(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Distinct non-null values per column.
 
-    The exact form counts values per (column, value) first, so no aggregate
-    ever holds a column's value set.
+    The exact form counts one column at a time, so each scan reads one column
+    and shuffles its distinct values only; no aggregate holds a value set.
     """
     if approximate:
         wide = df.agg(*[F.approx_count_distinct(c).alias(f"n_{i}") for i, c in enumerate(df.columns)])
         return _per_column(wide, df.columns, {"n_unique": "n"})
-    values = value_frequencies(df, df.columns, digest=True)
-    found = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
-    names = literal_rows(df.sparkSession, [(c,) for c in df.columns], "column_name string")
-    return names.join(found, "column_name", "left").select("column_name", F.coalesce("n", F.lit(0)).alias("n_unique"))
+    return _distinct_counts({"": df}).drop("table_name")
 
 
-def _short(c: str):
-    """Text form of a value; long texts are replaced by a digest."""
-    text = F.col(c).cast("string")
-    return F.when(F.length(text) > 64, F.md5(text)).otherwise(text)
+def _distinct_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table_name, column_name, n_unique``; texts count by a 128-bit digest, whatever their length."""
+    out = None
+    for name, df in tables.items():
+        for c, kind in df.dtypes:
+            value = F.unhex(F.md5(F.col(c).cast("binary"))) if kind == "string" else F.col(c)
+            part = df.select(value.alias("v")).agg(F.count_distinct("v").alias("n_unique"))
+            part = part.select(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), "n_unique")
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
-def value_frequencies(df: DataFrame, columns: list[str], digest: bool = False) -> DataFrame:
+def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column_name, value, n)`` over non-null values as text."""
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), (_short(c) if digest else F.col(c).cast("string")).alias("value")) for c in columns]
-    )
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
     return (
         df.select(F.explode(pairs).alias("p"))
         .select("p.*")
@@ -156,26 +160,19 @@ def shape(df: DataFrame) -> DataFrame:
 def table_profiles(tables: dict[str, DataFrame]) -> DataFrame:
     """Column profile of several tables: type, nulls and distinct values.
 
-    All columns of all tables become (table, column, value) triples that are
-    counted in one shuffle; the types join on names, never on position.
+    Rows and nulls are one aggregate per table, distinct values one narrow
+    aggregate per column; nothing is exploded. Types join on names, never on
+    position.
     """
-    values, kinds = None, []
+    facts, kinds = None, []
     for name, df in tables.items():
         numeric = set(numeric_columns(df))
         kinds += [(name, c, i, t, "numeric" if c in numeric else "categorical") for i, (c, t) in enumerate(df.dtypes)]
-        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), _short(c).alias("value")) for c in df.columns])
-        part = df.select(F.explode(pairs).alias("p")).select(F.lit(name).alias("table_name"), "p.*")
-        values = part if values is None else values.unionByName(part)
-    facts = (
-        values.groupBy("table_name", "column_name", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("table_name", "column_name")
-        .agg(
-            F.sum("n").alias("rows"),
-            F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_missing"),
-            F.count("value").alias("n_unique"),
-        )
-    )
+        wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{i}") for i, c in enumerate(df.columns)], F.count(F.lit(1)).alias("rows"))
+        wide = wide.withColumns({f"r_{i}": F.col("rows") for i in range(len(df.columns))})
+        part = _per_column(wide, df.columns, {"rows": "r", "n_missing": "n"}).withColumn("table_name", F.lit(name))
+        facts = part if facts is None else facts.unionByName(part)
+    facts = facts.join(_distinct_counts(tables), ["table_name", "column_name"])
     schema = "table_name string, column_name string, position int, dtype string, kind string"
     types = literal_rows(next(iter(tables.values())).sparkSession, kinds, schema)
     return types.join(facts, ["table_name", "column_name"]).select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import literal_rows
 from ..operators import profile as P
 from ..operators import sampling
+from ..sources import files
 from . import roles
 from .registry import query
 from .source_queries import TABLE_NAMES
@@ -35,7 +36,44 @@ def _(t):
     return P.missing_counts(roles.orders_nulled(t))
 
 
-@query("Q2_type_summary")
+# The columns of the test tables with Spark's type names.
+TYPES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
+def _columns_of(table: str):
+    for i, entry in enumerate(TYPES[table].split(", ")):
+        column, kind = entry.split(" ")
+        yield i, column, kind, "numeric" if kind in P.NUMERIC_TYPES else "categorical"
+
+
+_TYPE_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {i} AS position, '{k}' AS dtype, '{g}' AS kind, count({c}) AS n_values FROM lineitem" for i, c, k, g in _columns_of("lineitem")
+)
+_PROFILE_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, {i} AS position, '{k}' AS dtype, '{g}' AS kind, count(*) AS \"rows\", count(*) - count({c}) AS n_missing, "
+    f"round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 6) AS pct_missing, count(DISTINCT {c}) AS n_unique FROM {t}"
+    for t in TYPES
+    for i, c, k, g in _columns_of(t)
+)
+
+
+@query("Q2_type_summary", _TYPE_SQL)
 def _(t):
     return P.type_summary(t.lineitem)
 
@@ -141,7 +179,7 @@ def _(t):
     return P.shape(t.orders)
 
 
-@query("Q12_table_profiles")
+@query("Q12_table_profiles", _PROFILE_SQL)
 def _(t):
     return P.table_profiles({n: getattr(t, n) for n in TABLE_NAMES})
 
@@ -157,9 +195,8 @@ _ALIASES = [("category", "p_type"), ("order_date", "o_orderdate")]
       ('delivery_days', '—', '—', 'Missing')) v(required_field, source_table, actual_field, match_type)""",
 )
 def _(t):
-    columns = literal_rows(
-        t.spark, [(n, c) for n in TABLE_NAMES for c in getattr(t, n).columns], "table_name string, column_name string"
-    )
+    inventory = files.file_inventory(t.spark, {n: t.path(n) for n in TABLE_NAMES})
+    columns = inventory.select("table_name", F.explode(F.split("columns", ",")).alias("column_name")).distinct()
     required = literal_rows(t.spark, [(r,) for r in _REQUIRED], "required_field string")
     aliases = literal_rows(t.spark, _ALIASES, "required_field string, alias string")
     return P.schema_match(columns, required, aliases)
