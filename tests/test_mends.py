@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml import Pipeline
 
 from veriloom import session
-from veriloom.operators import contracts, features, models, scoring, stats
+from veriloom.operators import contracts, features, models, sampling, scoring, stats
 from veriloom.plans import roles
 from veriloom.sources import files
 
@@ -112,3 +112,17 @@ def test_a_cluster_must_name_its_shared_folder():
     fake = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=context)
     with pytest.raises(ValueError):
         session.shared_folder(fake)
+
+
+@pytest.mark.parametrize("most", [1, 50_000])
+def test_splits_cut_at_exact_positions(spark, monkeypatch, most):
+    import hashlib
+
+    monkeypatch.setattr(sampling, "ORDERED_KEYS", most)
+    df = spark.range(997).withColumnRenamed("id", "k")
+    order = sorted(range(997), key=lambda k: hashlib.md5(f"42|{k}".encode()).hexdigest())
+    want = {k: "train" if r < int(0.7 * 997) else "validation" if r < int(0.85 * 997) else "test" for r, k in enumerate(order)}
+    assert {r["k"]: r["split"] for r in sampling.split_rows(df, ["k"], (0.7, 0.85), ("train", "validation", "test")).collect()} == want
+    twice = df.unionByName(df)
+    assert {r["k"]: r["split"] for r in sampling.split_groups(twice, "k").collect()} == want
+    assert sampling.holdout_groups(df.limit(0), "k").count() == 0

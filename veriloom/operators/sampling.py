@@ -6,10 +6,13 @@ per digest prefix, so no single task orders all keys.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import flag, hash_order
+from ..session import through_table
 from .ordered import hash_bucket, join_groups, rank_by_hash, running, singleton
 
 
@@ -77,6 +80,53 @@ def _cut(rank: Column, total: Column, shares: list[float], names: list[str]) ->
     return out.otherwise(F.lit(names[-1]))
 
 
+#: Keys under one digest prefix that are put in order; fuller prefixes are counted again, three digits deeper.
+ORDERED_KEYS = 50_000
+
+
+def _digest_cuts(digests: DataFrame, ranks) -> list[str]:
+    """The digests at ``ranks(total)``, 1-based; rank 0 gives the empty string, below every digest.
+
+    Counts per prefix (at most 4,096 a time) find the prefix that holds a rank;
+    only its keys are ordered. ``digests`` has one column, ``d``.
+    """
+
+    def counts(prefix: str) -> list[tuple[str, int]]:
+        inside = digests.where(F.col("d").startswith(prefix)) if prefix else digests
+        found = inside.groupBy(F.substring("d", 1, len(prefix) + 3).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        return sorted((r["p"], r["n"]) for r in found)
+
+    top = counts("")
+    cuts = []
+    for rank in ranks(sum(n for _, n in top)):
+        level, prefix, left = top, "", rank
+        while left > 0:
+            for prefix, n in level:
+                if left <= n:
+                    break
+                left -= n
+            if n <= ORDERED_KEYS or len(prefix) >= 32:
+                row = digests.where(F.col("d").startswith(prefix)).orderBy("d").offset(left - 1).limit(1).first()
+                cuts.append(row["d"])
+                break
+            level = counts(prefix)
+        else:
+            cuts.append("")
+    return cuts
+
+
+def _by_cuts(digest: Column, cuts: list[str], names: list[str]) -> Column:
+    out = F.when(digest <= F.lit(cuts[0]), F.lit(names[0]))
+    for cut, name in zip(cuts[1:], names[1:]):
+        out = out.when(digest <= F.lit(cut), F.lit(name))
+    return out.otherwise(F.lit(names[-1]))
+
+
+def _group_digests(df: DataFrame, group: str, seed: int) -> DataFrame:
+    """The digest of every group once, written: several counts read it."""
+    return through_table(df.select(hash_order(seed, group).alias("d")).distinct(), "group-digests")
+
+
 def split_groups(
     df: DataFrame,
     group: str,
@@ -84,17 +134,18 @@ def split_groups(
     shares: tuple[float, ...] = (0.7, 0.85),
     names: tuple[str, ...] = ("train", "validation", "test"),
 ) -> DataFrame:
-    """Whole groups to splits at cumulative positions ``floor(share * groups)``."""
-    ranked = assign_groups(df, group, seed)
-    labels = ranked.select(group, _cut(F.col("rank"), F.col("total"), list(shares), list(names)).alias("split"))
-    return _attach(df, group, labels)
+    """Whole groups to splits at cumulative positions ``floor(share * groups)``.
+
+    Rows compare their group's digest with the digests at the cuts: no join, no shuffle.
+    """
+    cuts = _digest_cuts(_group_digests(df, group, seed), lambda n: [math.floor(s * n) for s in shares])
+    return df.withColumn("split", _by_cuts(hash_order(seed, group), cuts, list(names)))
 
 
 def holdout_groups(df: DataFrame, group: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """``ceil(share * groups)`` groups to ``test``, the others to ``train``."""
-    ranked = assign_groups(df, group, seed)
-    test = F.col("rank") <= F.ceil(F.lit(share) * F.col("total"))
-    return _attach(df, group, ranked.select(group, F.when(test, "test").otherwise("train").alias("split")))
+    cuts = _digest_cuts(_group_digests(df, group, seed), lambda n: [math.ceil(share * n)])
+    return df.withColumn("split", _by_cuts(hash_order(seed, group), cuts, ["test", "train"]))
 
 
 def split_rows(
@@ -105,13 +156,18 @@ def split_rows(
     seed: int = 42,
     strata: list[str] | None = None,
 ) -> DataFrame:
-    """Row split at cumulative shares, per stratum when ``strata`` is given."""
+    """Row split at cumulative shares, per stratum when ``strata`` is given.
+
+    Without strata, rows compare their digest with the digests at the cuts;
+    rows with equal keys stay together.
+    """
+    if not strata:
+        digest = hash_order(seed, *keys)
+        cuts = _digest_cuts(df.select(digest.alias("d")), lambda n: [math.floor(s * n) for s in shares])
+        return df.withColumn("split", _by_cuts(digest, cuts, list(names)))
     ranked = rank_by_hash(df, keys, seed, "_rank", strata)
-    if strata:
-        totals = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_total"))
-        ranked = join_groups(ranked, totals, strata, "_total")
-    else:
-        ranked = ranked.withColumn("_total", singleton(df, F.count(F.lit(1))))
+    totals = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_total"))
+    ranked = join_groups(ranked, totals, strata, "_total")
     return ranked.withColumn("split", _cut(F.col("_rank"), F.col("_total"), list(shares), list(names))).drop("_rank", "_total")
 
 
