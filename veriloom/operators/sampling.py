@@ -67,12 +67,6 @@ def _attach(df: DataFrame, group: str, labels: DataFrame) -> DataFrame:
     return join_groups(df, labels.join(group_sizes(df, group), group), [group], "_rows").drop("_rows")
 
 
-def assign_groups(df: DataFrame, group: str, seed: int | Column) -> DataFrame:
-    """``(group, rank, total)`` over the distinct groups."""
-    keys = df.select(group).distinct()
-    return rank_by_hash(keys, [group], seed).withColumn("total", singleton(keys, F.count(F.lit(1))))
-
-
 def _cut(rank: Column, total: Column, shares: list[float], names: list[str]) -> Column:
     out = F.when(rank <= F.floor(F.lit(shares[0]) * total), F.lit(names[0]))
     for share, name in zip(shares[1:], names[1:]):
