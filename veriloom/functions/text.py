@@ -43,8 +43,13 @@ def _fold_batch(values: pd.Series) -> pd.Series:
 
 
 def unicode_fold(c: str | Column) -> Column:
-    """HTML entities resolved and NFKC applied."""
-    return _fold_batch(as_column(c))
+    """HTML entities resolved and NFKC applied.
+
+    ASCII texts without an ampersand are their own fold; the Arrow function
+    gets a null in their place.
+    """
+    text = as_column(c)
+    return F.coalesce(_fold_batch(F.when(F.regexp(text, F.lit(r"[^\x00-\x7F]|&")), text)), text)
 
 
 def normalize_search(c: str | Column, fold: bool = True, squeeze: bool = True) -> Column:

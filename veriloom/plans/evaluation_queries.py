@@ -283,7 +283,13 @@ def _(t):
     return M.high_risk(banded, "band", "Yüksek", "p", "event_id").select("event_id", "p")
 
 
-@query("E23_experiment_registry")
+@query(
+    "E23_experiment_registry",
+    f"""WITH {roles.SCORED}, c AS (SELECT event_type, count(*) FILTER (label = 1 AND prediction = 1) AS tp, count(*) FILTER (label = 0 AND prediction = 1) AS fp,
+    count(*) FILTER (label = 1 AND prediction = 0) AS fn FROM scored GROUP BY 1)
+    SELECT event_type AS model, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1, 'completed' AS status, NULL AS error FROM c
+    UNION ALL SELECT 'broken', NULL, 'failed', 'did not converge'""",
+)
 def _(t):
     first = M.binary_metrics(roles.scored(t), "label", "prediction", ["event_type"]).select(F.col("event_type").alias("model"), "f1", F.lit("completed").alias("status"))
     failed = t.spark.range(1).select(F.lit("broken").alias("model"), F.lit("failed").alias("status"), F.lit("did not converge").alias("error"))

@@ -106,18 +106,18 @@ def _(t):
 
 @query("M2_l1_feature_selection")
 def _(t):
-    train = _part(customer_split(t), "train")
+    split = customer_split(t)
     stages = [*D.tabular_stages(NUMERIC, CATEGORICAL), D.L1Selector(inputCol="features", outputCol="kept", labelCol="label")]
-    out = Pipeline(stages=stages).fit(train).transform(train)
-    return out.select("c_custkey", vector_to_array("kept").alias("kept"))
+    out = Pipeline(stages=stages).fit(_part(split, "train")).transform(split)
+    return out.select("c_custkey", "split", vector_to_array("kept").alias("kept"))
 
 
 @query("M3_univariate_selection")
 def _(t):
-    train = _part(priced_lines(t), "train")
+    split = priced_lines(t)
     stages = [VectorAssembler(inputCols=LINE_FEATURES, outputCol="features"), D.univariate_selector("features", "label", 3)]
-    out = Pipeline(stages=stages).fit(train).transform(train)
-    return out.select("l_orderkey", "l_linenumber", vector_to_array("selected").alias("selected"))
+    out = Pipeline(stages=stages).fit(_part(split, "train")).transform(split)
+    return out.select("l_orderkey", "l_linenumber", "split", vector_to_array("selected").alias("selected"))
 
 
 @query("M4_importance_report")

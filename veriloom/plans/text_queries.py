@@ -180,7 +180,10 @@ def _(t):
     return X.encode_frequency(parts, "p_type", X.frequency_codes(train, "p_type"))
 
 
-@query("T14_feature_assembly")
+_FEATURE_ARRAY = ", ".join(f'CAST("{c}" AS DOUBLE)' for c in X.PAIR_FEATURES)
+
+
+@query("T14_feature_assembly", f"WITH {pair_features_ctes()} SELECT term_id, doc_id, [{_FEATURE_ARRAY}] AS features FROM feats")
 def _(t):
     out = VectorAssembler(inputCols=X.PAIR_FEATURES, outputCol="features").transform(featured_pairs(t))
     return out.select("term_id", "doc_id", vector_to_array("features").alias("features"))
