@@ -148,13 +148,15 @@ def judge_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
         words_of(text),
         lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words")),
     )
-    figures = base.select("*", lines.alias("__v_l"), words.alias("__v_w")).select(
+    # One element per row: a filter on the verdict stays above it, so that no figure is computed a second time for it.
+    judged = base.select("*", F.explode_outer(F.array(F.struct(lines.alias("l"), words.alias("w")))).alias("__v_j"))
+    figures = judged.select(
         *[F.col(f"`{c}`") for c in base.columns],
-        F.col("__v_w.n_words").alias("n_words"),
+        F.col("__v_j.w.n_words").alias("n_words"),
         F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
         count_of(text, SYMBOLS).cast("long").alias("n_symbols"),
-        F.col("__v_w.n_repeat_words").alias("n_repeat_words"),
-        "__v_l.*",
+        F.col("__v_j.w.n_repeat_words").alias("n_repeat_words"),
+        "__v_j.l.*",
     )
     bad = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     lost = 100 * F.col("lost_chars") > MAX_LOST * F.col("word_chars")
