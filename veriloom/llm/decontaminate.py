@@ -1,7 +1,7 @@
 """Benchmark decontamination with an FM-index per shard.
 
 The test phrases are all runs of ``window`` words of the benchmark items; an
-item with fewer words is one phrase. A shard is one Arrow batch of documents.
+item with fewer words is one phrase. A shard is a run of documents of one task.
 Its words become numbers (0: not in the benchmark) and keep only stretches that
 a phrase could lie in, judged by pairs of neighbouring words. Over these the
 task builds an FM-index: all phrases are searched backwards at once through the
@@ -29,10 +29,12 @@ from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, Stru
 
 from .columns import without
 from .fm_index import FMIndex
-from .shingling import LOWER, NON_WORD, chunks, word_spans, words
+from .shingling import LOWER, NON_WORD, chunks, slices, word_spans, words
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
+#: Words of one index; a batch with more stretches of possible phrases has several, one after the other.
+SHARD_WORDS = 200_000
 _PAIR_BITS = 22
 RESULT = ["n_words", "n_hit", "items", "contaminated", "spans", "clean_text"]
 _SPAN = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
@@ -122,6 +124,18 @@ class Phrases:
             yield place[index.locate(rows)], size, phrase, items
 
 
+def _shards(stretches: list[np.ndarray], places: list[np.ndarray]):
+    """Runs of stretches with about ``SHARD_WORDS`` words, or one longer stretch."""
+    first, size = 0, 0
+    for k, s in enumerate(stretches):
+        if size and size + len(s) > SHARD_WORDS:
+            yield stretches[first:k], places[first:k]
+            first, size = k, 0
+        size += len(s)
+    if size:
+        yield stretches[first:], places[first:]
+
+
 def _search(phrases: Phrases, names: list[str]):
     """Add the block's spans (word numbers) and items to the last two columns; the third last is the text."""
 
@@ -138,9 +152,9 @@ def _search(phrases: Phrases, names: list[str]):
                     places.append(np.arange(a, b) + base)
                 starts.append(first[:-1] + base)
                 base += len(digest)
-            if stretches:
-                start = np.concatenate(starts)
-                for place, size, phrase, owners in phrases.occurrences(stretches, places):
+            start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+            for own, at in _shards(stretches, places):
+                for place, size, phrase, owners in phrases.occurrences(own, at):
                     # The last text that starts at or before the word; texts without words share a start.
                     text = np.searchsorted(start, place, side="right") - 1
                     inside = place - start[text]
@@ -166,7 +180,7 @@ def _merge(names: list[str]):
     """Replace text, spans and items by the result columns."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             text_at = batch.num_columns - 3
             spans = batch.column(text_at + 1).to_pylist()
             out: list[list] = [[] for _ in RESULT]
@@ -224,10 +238,13 @@ def decontaminate(
         "*", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__v_text"),
         F.array().cast(ArrayType(span)).alias("__v_spans"), F.array().cast("array<string>").alias("__v_items"),
     )
+    merge = _merge(base.columns)
     for block in range(blocks):
         rows = [(r["item"], r["text"]) for r in items.where(F.col("block") == block).collect()]
-        df = df.mapInArrow(_search(Phrases(rows, window), carried.names), carried)
-    return df.mapInArrow(_merge(base.columns), result)
+        search = _search(Phrases(rows, window), carried.names)
+        if block == blocks - 1:  # the last block and the result share a worker
+            return df.mapInArrow(lambda batches: merge(search(batches)), result)
+        df = df.mapInArrow(search, carried)
 
 
 def op8_decontamination(spark, folder: str) -> DataFrame:
