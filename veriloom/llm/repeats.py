@@ -42,14 +42,14 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from ..session import through_table
 from .columns import without
-from .shingling import buffers, chunks, mix, prefix_sums, ranges, rolling
+from .shingling import buffers, chunks, mix, prefix_sums, ranges, rolling, slices
 
 LENGTH = 200
 GRAM = 64
 HOT = 4096
 PIECE = 16
 #: Bytes of runs in one suffix array; a task builds one after the other.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 NO_ID = -(2**63)
 RESULT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 _U = np.uint64
@@ -136,7 +136,7 @@ def _cut_pass(length: int, gram: int, piece: int):
     """Bytes of the open runs, and pieces of window digests of the hot ones; the last inputs are text, id and spots."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             data, offsets = buffers(batch.column(batch.num_columns - 3))
             ids = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
             spots = batch.column(batch.num_columns - 1)
@@ -319,7 +319,7 @@ def _keep_pass(names: list[str]):
     """Append n_bytes, n_removed, n_spans, kept_sha256 and kept; the last two inputs are text and spans."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             data, offsets = buffers(batch.column(batch.num_columns - 2))
             spans = batch.column(batch.num_columns - 1)
             out = [[], [], [], [], []]

@@ -96,6 +96,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+def slices(batches, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, for passes that return texts."""
+    for batch in batches:
+        for row in range(0, len(batch), rows):
+            yield batch.slice(row, rows)
+
+
 def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows with about ``CHUNK`` bytes."""
     data, offsets = buffers(column)
