@@ -12,8 +12,8 @@ Rates above ``STEP`` are sums of independent draws with smaller means, which is
 again Poisson and keeps the table of the distribution short.
 
 Only functions of the JVM are used. Sources are summed with partial sums and
-joined back; the join is Spark's choice, and adaptive execution splits a hot
-source if it is sorted.
+joined back: broadcast up to a checked number of sources, else sorted, and
+adaptive execution splits a hot source.
 
 Null source: a source of its own. Null text: no bytes. A document counts one
 byte more than its text, so no source has size zero. Weights that are null or
@@ -32,6 +32,8 @@ from .columns import text_of, without
 STEP = 8
 #: Entries of the distribution per draw: the tail beyond it is far below the step of the draws, 2 ** -52.
 ENTRIES = 64
+#: Up to this many sources, 12 MB of distributions, every executor gets them and no text moves before the shuffle.
+BROADCAST_SOURCES = 20_000
 RESULT = ["rate", "copy_no", "mix_key"]
 
 
@@ -72,16 +74,17 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, exponent: fl
         known = sizes.join(given.withColumnRenamed("source", "__v_s"), F.col("source").eqNullSafe(F.col("__v_s")), "left").select(
             "source", "bytes", usable.alias("weight")
         )
-    # One row: the totals over the sources.
-    whole = known.agg(F.coalesce(F.sum("bytes"), F.lit(0.0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    # One row: the totals over the sources, and their number.
+    whole = known.agg(F.coalesce(F.sum("bytes"), F.lit(0.0)), F.coalesce(F.sum("weight"), F.lit(0.0)), F.count("*")).first()
     scale = whole[0] * epochs / whole[1] if whole[1] else 0.0
     rate = F.lit(scale) * F.col("weight") / F.col("bytes")
     draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(float(STEP))).cast("int"))
-    return (
+    rates = (
         known.select("source", rate.alias("rate"))
         .withColumn("__v_draws", draws)
         .withColumn("__v_table", poisson_table(F.col("rate") / F.col("__v_draws")))
     )
+    return F.broadcast(rates) if whole[2] <= BROADCAST_SOURCES else rates
 
 
 def copies(rates: DataFrame, docs: DataFrame, seed: int, id_col: str = "doc_id") -> DataFrame:
