@@ -154,6 +154,21 @@ def test_index_finds_every_occurrence():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+def test_small_shards_find_the_same(monkeypatch):
+    items = [("a", " ".join(words(1, 30, 9))), ("b", "w1 w2")]
+    phrases = decontaminate.Phrases(items, 4)
+    names = ["text", "spans", "items"]
+    texts = [" ".join(words(k, 60, 9)) for k in range(8)] + ["", items[0][1]]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([[]] * 10, pa.list_(decontaminate._SPAN)), pa.array([[]] * 10, pa.list_(pa.string()))], names)
+    results = []
+    for most in (10**6, 20):
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", most)
+        (out,) = decontaminate._search(phrases, names)([batch])
+        covered = [sorted({p for s in row for p in range(s["start"], s["stop"])}) for row in out.column(1).to_pylist()]
+        results.append((covered, out.column(2).to_pylist()))
+    assert results[0] == results[1] and any(results[0][0])
+
+
 @pytest.mark.parametrize("block_words", [10**6, 30])
 def test_decontamination_against_search(table, odd, block_words):
     items = [(k, " ".join(words(k, n, 50))) for k, n in enumerate([25, 12, 10, 4, 1, 0, 30])] + [(7, None), (1, "Extra, words: for one ITEM!")]
