@@ -114,6 +114,7 @@ def threshold_table(df: DataFrame, label: str, score: str, thresholds: list[floa
 
 def operating_points(table: DataFrame) -> DataFrame:
     """Best F1, recall near .75, precision near .80, threshold near .5; first on ties."""
+    # Names and targets of the points.
     picks = {
         "maximum_f1": -F.col("f1"),
         "recall_focused": F.abs(F.col("recall") - 0.75),

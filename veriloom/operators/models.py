@@ -246,35 +246,51 @@ def top_terms(spark, vocabulary: list[str], weights, n: int = 30) -> DataFrame:
 # --- estimators ---------------------------------------------------------------------------
 
 
-def classifier(name: str, features: str = "features", label: str = "label", weight: str | None = None):
-    """Estimators by name. Substitutes for algorithms Spark lacks are named in the README."""
+# Settings of the tree ensembles that results are compared under; callers may pass others.
+CLASSIFIER_TREES = {
+    "decision_tree": {"maxDepth": 8, "minInstancesPerNode": 10},
+    "random_forest": {"numTrees": 300, "maxDepth": 12, "minInstancesPerNode": 4},
+    "gradient_boosting": {"maxIter": 150, "stepSize": 0.05, "maxDepth": 3},
+}
+REGRESSOR_TREES = {
+    "random_forest": {"numTrees": 120, "maxDepth": 18},
+    "gradient_boosting": {"maxIter": 150, "stepSize": 0.05, "maxDepth": 3},
+}
+
+
+def classifier(name: str, features: str = "features", label: str = "label", weight: str | None = None, **settings):
+    """Estimators by name; ``settings`` replace the defaults. Substitutes for algorithms Spark lacks are named in the README."""
     common = {"featuresCol": features, "labelCol": label, **({"weightCol": weight} if weight else {})}
-    made = {
-        "logistic_regression": lambda: LogisticRegression(maxIter=100, regParam=0.01, **common),
-        "tuned_logistic": lambda: LogisticRegression(maxIter=100, regParam=0.02, **common),
-        "linear_svc": lambda: LinearSVC(maxIter=30, tol=1e-3, regParam=0.01, **common),
-        "naive_bayes": lambda: NaiveBayes(modelType="multinomial", smoothing=1.0, **common),
-        "decision_tree": lambda: DecisionTreeClassifier(maxDepth=8, minInstancesPerNode=20, seed=SEED, **common),
-        "random_forest": lambda: RandomForestClassifier(numTrees=80, maxDepth=10, minInstancesPerNode=5, seed=SEED, **common),
-        "extra_trees": lambda: RandomForestClassifier(
-            numTrees=80, maxDepth=10, minInstancesPerNode=5, bootstrap=False, featureSubsetStrategy="sqrt", maxBins=8, seed=SEED, **common
+    seeded = {"seed": SEED, **common}
+    kinds = {
+        "logistic_regression": (LogisticRegression, {"maxIter": 100, "regParam": 0.01, **common}),
+        "tuned_logistic": (LogisticRegression, {"maxIter": 100, "regParam": 0.02, **common}),
+        "linear_svc": (LinearSVC, {"maxIter": 30, "tol": 1e-3, "regParam": 0.01, **common}),
+        "naive_bayes": (NaiveBayes, {"modelType": "multinomial", "smoothing": 1.0, **common}),
+        "decision_tree": (DecisionTreeClassifier, {**CLASSIFIER_TREES["decision_tree"], **seeded}),
+        "random_forest": (RandomForestClassifier, {**CLASSIFIER_TREES["random_forest"], **seeded}),
+        "extra_trees": (
+            RandomForestClassifier, {**CLASSIFIER_TREES["random_forest"], "bootstrap": False, "featureSubsetStrategy": "sqrt", "maxBins": 8, **seeded}
         ),
-        "gradient_boosting": lambda: GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.1, seed=SEED, **common),
-        "sgd_log_loss": lambda: LogisticRegression(maxIter=20, regParam=1e-4, **common),
-        "sgd_modified_huber": lambda: LinearSVC(maxIter=20, tol=1e-3, regParam=1e-4, **common),
-    }
-    return made[name]()
+        "gradient_boosting": (GBTClassifier, {**CLASSIFIER_TREES["gradient_boosting"], **seeded}),
+        "sgd_log_loss": (LogisticRegression, {"maxIter": 20, "regParam": 1e-4, **common}),
+        "sgd_modified_huber": (LinearSVC, {"maxIter": 20, "tol": 1e-3, "regParam": 1e-4, **common}),
+    }
+    kind, defaults = kinds[name]
+    return kind(**{**defaults, **settings})
 
 
-def regressor(name: str, features: str = "features", label: str = "label"):
+def regressor(name: str, features: str = "features", label: str = "label", **settings):
+    """Regression estimators by name; ``settings`` replace the defaults."""
     common = {"featuresCol": features, "labelCol": label}
-    made = {
-        "linear": lambda: LinearRegression(elasticNetParam=0.0, **common),
-        "ridge": lambda: LinearRegression(elasticNetParam=0.0, regParam=1.0, **common),
-        "random_forest": lambda: RandomForestRegressor(numTrees=40, maxDepth=8, seed=SEED, **common),
-        "gradient_boosting": lambda: GBTRegressor(maxIter=20, maxDepth=4, seed=SEED, **common),
+    kinds = {
+        "linear": (LinearRegression, {"elasticNetParam": 0.0}),
+        "ridge": (LinearRegression, {"elasticNetParam": 0.0, "regParam": 1.0}),
+        "random_forest": (RandomForestRegressor, {**REGRESSOR_TREES["random_forest"], "seed": SEED}),
+        "gradient_boosting": (GBTRegressor, {**REGRESSOR_TREES["gradient_boosting"], "seed": SEED}),
     }
-    return made[name]()
+    kind, defaults = kinds[name]
+    return kind(**{**defaults, **common, **settings})
 
 
 def balanced_weights(df: DataFrame, label: str, name: str = "class_weight") -> DataFrame:

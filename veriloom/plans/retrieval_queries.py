@@ -17,6 +17,7 @@ from . import sql_text as Q
 from .registry import query
 from .text_queries import SEGMENT_CTES, SEGMENTS_DETAILED, detailed_segments
 
+# Seeds, BM25 settings and metric names of the comparisons.
 SEEDS = [42, 52, 62, 72, 82]
 _COLS = ["term_id", "doc_id", "score", "rank"]
 
