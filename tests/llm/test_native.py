@@ -188,6 +188,23 @@ def test_pseudonyms_keep_the_format(table):
     assert iso == slash and "31/04/1999" in c and "666-12-1234" in c and "8.196.197.308" in c and "123-45-6789" not in c
 
 
+def test_phones_of_any_digits_change(table, texts):
+    shapes = ["+1 (017) 555-7713", "(523) 155-1055", "017-555-7713", "+1 117 055 7713", "+49 (030) 1234 5678", "+44 (20) 7946 0958", "+44 0123 456 789"]
+    given = [m for _, t in texts for m in re.findall(r"\+\d \(\d{3}\) \d{3}-\d{4}", t or "")]
+    rows = list(enumerate([*shapes, *given]))
+    out = pseudonyms.pseudonymise(table(rows), "k").orderBy("doc_id").collect()
+    assert given and any(g[4] in "01" for g in given)
+    for (_, old), r in zip(rows, out):
+        assert [(s["kind"], s["start"], s["stop"]) for s in r["spans"]] == [("phone", 0, len(old))], old
+        assert r["text"] != old and re.sub(r"\d", "d", r["text"]) == re.sub(r"\d", "d", old)
+
+
+def test_phones_keep_apart(table):
+    numbers = [f"(0{i:02d}) 055-{j:04d}" for i in range(40) for j in range(50)] + [f"(9{i:02d}) 955-{j:04d}" for i in range(40) for j in range(50)]
+    out = [r["text"] for r in pseudonyms.pseudonymise(table(list(enumerate(numbers))), "k").collect()]
+    assert len(set(out)) == len(numbers)
+
+
 def test_dates_are_permuted(spark):
     days = spark.sql("select explode(sequence(date'1999-01-01', date'2003-12-31')) as d").select(F.col("d").cast("string").alias("text"), F.lit(1).alias("doc_id"))
     out = [r["text"] for r in pseudonyms.pseudonymise(days, "k").collect()]

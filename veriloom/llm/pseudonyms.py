@@ -13,7 +13,8 @@ of their cycle. Formatting is not part of a value, so one number written in two
 ways gets one pseudonym, and equal values stay linked across documents.
 
 Kept as they are: separators, the first digit and validity of a card (its
-check digit is computed anew), country codes, mail domains.
+check digit is computed anew), country codes, mail domains, and whether an area
+code or exchange begins with 0 or 1.
 
 Everything is a function of one row; the plan is a scan and a projection.
 
@@ -39,8 +40,8 @@ PATTERNS = {
     "date": rf"{_BEFORE}(?:(?:19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}([/.])[0-9]{{2}}\1(?:19|20)[0-9]{{2}}){_AFTER}",
     "card": rf"{_BEFORE}(?:[0-9]{{13,19}}|[0-9]{{4}}([ -])[0-9]{{4}}\1[0-9]{{4}}\1[0-9]{{1,7}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}){_AFTER}",
     "ssn": rf"(?<![0-9A-Za-z_-])[0-8][0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z_-])",
-    "phone": rf"(?<![0-9A-Za-z_+])(?:(?:\+[1-9][0-9]{{0,2}}[ .-]?)?(?:\([2-9][0-9]{{2}}\)[ .-]?|[2-9][0-9]{{2}}[ .-])[2-9][0-9]{{2}}[ .-][0-9]{{4}}"
-    rf"|\+[1-9][0-9]{{0,2}}(?:[ .-][0-9]{{2,4}}){{2,5}}){_AFTER}",
+    "phone": rf"(?<![0-9A-Za-z_+])(?:(?:\+[1-9][0-9]{{0,2}}[ .-]?)?(?:\([0-9]{{3}}\)[ .-]?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}"
+    rf"|\+[1-9][0-9]{{0,2}}(?:[ .-]?\([0-9]{{1,4}}\)(?:[ .-]?[0-9]{{2,4}})(?:[ .-][0-9]{{2,4}}){{1,4}}|(?:[ .-][0-9]{{2,4}}){{2,5}})){_AFTER}",
     "ip": rf"(?<![0-9A-Za-z_.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z_]|\.[0-9])",
 }
 ROUNDS = 8
@@ -133,16 +134,24 @@ def _cells(kind: str, m: Column) -> tuple[Column, Column, Column]:
     code = F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})[ .(-]", 1))
     d = digits_of(m)
     body = F.slice(d, code + 1, F.size(d) - code)
-    ten = F.size(body) == 10
-    leading = lambda i: ten & ((i == 0) | (i == 3))
-    valid = (F.size(d) >= 8) & (F.size(d) <= 15) & (~ten | ((_at(body, 0) >= 2) & (_at(body, 3) >= 2)))
+    valid = (F.size(d) >= 8) & (F.size(d) <= 15)
     return (
         valid,
-        F.transform(body, lambda v, i: F.when(leading(i), v - 2).otherwise(v)),
-        F.transform(body, lambda v, i: F.when(leading(i), 8).otherwise(10)),
+        F.zip_with(body, _low(body), lambda v, least: v - least),
+        F.transform(body, lambda v, i: F.when(~_leading(body, i), 10).when(v >= 2, 8).otherwise(2)),
     )
 
 
+def _leading(body: Column, i: Column) -> Column:
+    """Whether place ``i`` begins the area code or the exchange of a number of ten digits."""
+    return (F.size(body) == 10) & ((i == 0) | (i == 3))
+
+
+def _low(body: Column) -> Column:
+    """The least digit of each cell: leading digits are permuted among 0 and 1, or among 2 to 9."""
+    return F.transform(body, lambda v, i: F.when(_leading(body, i) & (v >= 2), 2).otherwise(0))
+
+
 def _refill(match: Column, digits: Column) -> Column:
     """``match`` with its digits replaced one by one."""
     pieces = F.split(match, "[0-9]", -1)
@@ -179,8 +188,7 @@ def _written(kind: str, m: Column, cells: Column) -> Column:
         return _refill(m, F.concat(open_, F.array(check)))
     d = digits_of(m)
     code = F.size(d) - F.size(cells)
-    ten = F.size(cells) == 10
-    body = F.transform(cells, lambda v, i: F.when(ten & ((i == 0) | (i == 3)), v + 2).otherwise(v))
+    body = F.zip_with(cells, _low(F.slice(d, code + 1, F.size(cells))), lambda v, least: v + least)
     return _refill(m, F.concat(F.slice(d, F.lit(1), code), body))
 
 
