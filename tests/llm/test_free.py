@@ -125,6 +125,17 @@ def test_repeats_of_odd_rows(table, odd):
     assert repeats.remove_repeats(table([])).count() == 0
 
 
+def test_repeats_of_many_rows_without_id(table):
+    r = random.Random(3)
+    letters = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    long = [letters(60) for _ in range(4)]
+    rows = [(None if k % 2 else 7, letters(r.randrange(60)) + r.choice(long) + letters(r.randrange(60))) for k in range(1000)]
+    rows += rows[:40]
+    out = repeats.remove_repeats(table(rows), length=40, gram=12).collect()
+    got = sorted((x["text"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in out)
+    assert got == sorted((t, *w) for (_, t), w in zip(rows, brute.repeats(rows, 40)))
+
+
 def test_previous_factors():
     text = b"abracadabra_abracadabra"
     data = np.frombuffer(text + bytes(4), np.uint8)

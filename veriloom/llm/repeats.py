@@ -21,12 +21,12 @@ earliest place (by id, then position) of every string.
    holds no repeat, the windows of the others are counted with partial sums.
 
 Every way is exact up to 64-bit digests (128 in step 2). Texts are shuffled
-once, by id; the removed spans meet them in the same partitions.
+once, by id and text digest; the removed spans meet them in the same partitions.
 
 Null and empty texts, and texts shorter than ``length``, lose nothing. Repeated
-rows are copies of each other. Rows that share an id keep apart by a digest of
-their texts; a null id is an id of its own. An empty table gives an empty
-result. Columns named like a result are replaced. Cuts are byte positions, so
+rows are copies of each other. Rows that share an id keep apart by a 64-bit
+digest of their texts, and are ordered by it; a null id is an id of its own. An
+empty table gives an empty result. Columns named like a result are replaced. Cuts are byte positions, so
 ``kept`` is bytes: a cut may fall inside a character.
 """
 
@@ -68,13 +68,9 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-def text_tag(digests: np.ndarray) -> np.ndarray:
-    return (digests >> _U(48)).astype(np.int64)
-
-
-def pack(at: np.ndarray, before: np.ndarray, count: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    """Anchor position, windows before it, number of windows less one and text tag in one long."""
-    return (at << 32) | (before << 24) | ((count - 1) << 16) | tag
+def pack(at: np.ndarray, before: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Anchor position, windows before it and number of windows less one in one long."""
+    return (at << 32) | (before << 24) | ((count - 1) << 16)
 
 
 def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,19 +107,19 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     a, t = anchor[first], np.searchsorted(offsets, first, side="right") - 1
     before = a - first
     run = mix(ranges(sums, first, last + length) + before.astype(_U) * _U(0x9E3779B97F4A7C15))
-    tags = text_tag(ranges(sums, offsets[:-1], offsets[1:]))
-    return t, grams[a].view(np.int64), run.view(np.int64), pack(a - offsets[t], before, last - first + 1, tags[t])
+    return t, grams[a].view(np.int64), run.view(np.int64), pack(a - offsets[t], before, last - first + 1)
 
 
 def _anchor_pass(length: int, gram: int):
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, data, offsets in chunks(batch.column(1)):
+            ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for row, data, offsets in chunks(batch.column(2)):
                 t, k, u, packed = anchors_of(data, offsets, length, gram)
                 if len(t):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(k), pa.array(u), pa.array(ids[row + t]), pa.array(packed)], ["k", "u", "id", "place"]
+                        [pa.array(k), pa.array(u), pa.array(ids[row + t]), pa.array(tags[row + t]), pa.array(packed)],
+                        ["k", "u", "id", "tag", "place"],
                     )
 
     return run
@@ -133,22 +129,26 @@ def _anchor_pass(length: int, gram: int):
 
 
 def _cut_pass(length: int, gram: int, piece: int):
-    """Bytes of the open runs, and pieces of window digests of the hot ones; the last inputs are text, id and spots."""
+    """Bytes of the open runs, and pieces of window digests of the hot ones; the last inputs are text, id, tag and spots."""
 
     def run(batches):
+        seen: set[tuple[int, int]] = set()  # equal rows have equal runs: one of them is cut; emptied when full, which costs time only
         for batch in slices(batches):
-            data, offsets = buffers(batch.column(batch.num_columns - 3))
-            ids = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
+            data, offsets = buffers(batch.column(batch.num_columns - 4))
+            ids, tags = (batch.column(batch.num_columns - i).to_numpy(zero_copy_only=False) for i in (3, 2))
             spots = batch.column(batch.num_columns - 1)
-            out = {c: [] for c in ("kind", "key", "id", "start", "tag", "open", "data", "windows")}
+            out = {c: [] for c in ("kind", "key", "id", "tag", "start", "open", "data", "windows")}
             size = 0
             for row in range(len(batch)):
+                own = (int(ids[row]), int(tags[row]))
+                if own in seen:
+                    continue
+                if len(seen) > 100_000:
+                    seen.clear()
+                seen.add(own)
                 text = data[offsets[row] : offsets[row + 1]]
                 raw, sums = text.tobytes(), None
-                tag = int(text_tag(ranges(prefix_sums(text), np.array([0]), np.array([len(text)])))[0])
                 for spot in spots[row].as_py():
-                    if spot["place"] & 0xFFFF != tag:
-                        continue  # a place in another text with the same id
                     at, first, last = (int(x) for x in unpack(np.int64(spot["place"])))
                     if not spot["hot"]:
                         found = [(0, spot["k"], first, raw[first : last + length], None)]
@@ -163,7 +163,7 @@ def _cut_pass(length: int, gram: int, piece: int):
                             s = np.arange(low, high + 1)
                             found.append((1, int(key), low, None, ranges(sums, s, s + length).view(np.int64).tolist()))
                     for kind, key, start, piece_data, windows in found:
-                        for c, v in zip(out, (kind, key, ids[row], start, tag, spot["open"], piece_data, windows)):
+                        for c, v in zip(out, (kind, key, *own, start, spot["open"], piece_data, windows)):
                             out[c].append(v)
                         size += len(piece_data or b"") + 8 * len(windows or ())
                 if size > 4_000_000:
@@ -175,9 +175,9 @@ def _cut_pass(length: int, gram: int, piece: int):
     return run
 
 
-CUT = "kind int, key long, id long, start int, tag int, open boolean, data binary, windows array<long>"
+CUT = "kind int, key long, id long, tag long, start int, open boolean, data binary, windows array<long>"
 _CUT_TYPES = {
-    "kind": pa.int32(), "key": pa.int64(), "id": pa.int64(), "start": pa.int32(), "tag": pa.int32(), "open": pa.bool_(),
+    "kind": pa.int32(), "key": pa.int64(), "id": pa.int64(), "tag": pa.int64(), "start": pa.int32(), "open": pa.bool_(),
     "data": pa.binary(), "windows": pa.list_(pa.int64()),
 }
 
@@ -250,7 +250,8 @@ def previous_factors(rank: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
 
 def _factors(rows: list[tuple[int, int, int, bool, bytes]], length: int, keep_first: bool):
     """Removed spans (id, tag, start, stop) of runs (id, tag, start, open, bytes)."""
-    rows.sort(key=lambda x: (x[0], x[1], x[2]))
+    # Equal rows of several tasks bring the same run; it is one place.
+    rows = sorted(set(rows), key=lambda x: (x[0], x[1], x[2]))
     sizes = np.array([len(x[4]) for x in rows])
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(x[4] for x in rows) + bytes(length), np.uint8)
@@ -292,7 +293,7 @@ def _factor_pass(length: int, keep_first: bool):
             found = _factors(rows, length, keep_first)
             cols = list(zip(*found)) if found else [[], [], [], []]
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["id", "tag", "start", "stop"]
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["id", "tag", "start", "stop"]
             )
 
         rows, size, last = [], 0, None
@@ -328,12 +329,10 @@ def _keep_pass(names: list[str]):
                 found = spans[row].as_py() or []
                 keep, n, runs = text, 0, 0
                 if found:
-                    tag = int(text_tag(ranges(prefix_sums(text), np.array([0]), np.array([len(text)])))[0])
                     edge = np.zeros(len(text) + 1, np.int64)
                     for s in found:
-                        if s["tag"] == tag:
-                            edge[s["start"]] += 1
-                            edge[s["stop"]] -= 1
+                        edge[s["start"]] += 1
+                        edge[s["stop"]] -= 1
                     gone = np.cumsum(edge[:-1]) > 0
                     n, runs = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
                     keep = text[~gone]
@@ -355,14 +354,14 @@ def remove_repeats(
     if not 8 <= gram <= length - PIECE or length - gram >= 255:
         raise ValueError("gram must leave between PIECE and 254 windows to an anchor")
     base = without(docs, RESULT)
-    texts = base.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    )
-    anchors = texts.mapInArrow(_anchor_pass(length, gram), "k long, u long, id long, place long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    id_, tag = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(text.cast("binary"))
+    texts = base.select(id_.alias("id"), tag.alias("tag"), text.alias("text"))
+    anchors = texts.mapInArrow(_anchor_pass(length, gram), "k long, u long, id long, tag long, place long")
     often = anchors.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
     places = through_table(anchors.join(often, "k"), "places")
     runs = through_table(
-        places.groupBy("k", "u").agg(F.count("*").alias("c"), F.min(F.struct("id", "place")).alias("first")), "runs"
+        places.groupBy("k", "u").agg(F.count("*").alias("c"), F.min(F.struct("id", "tag", "place")).alias("first")), "runs"
     )
     kinds = runs.groupBy("k").agg(F.count("*").alias("m"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("alone")).where("m > 1")
     if not keep_first:
@@ -372,33 +371,32 @@ def remove_repeats(
     same = runs.where("c > 1").select("k", "u", "first")
     whole = places.join(same, ["k", "u"])
     if keep_first:
-        whole = whole.where(F.struct("id", "place") != F.col("first"))
+        whole = whole.where(F.struct("id", "tag", "place") != F.col("first"))
     before, count = F.shiftright("place", 24).bitwiseAND(255), F.shiftright("place", 16).bitwiseAND(255)
     start = F.shiftright("place", 32) - before
     decided = whole.select(
-        "id", F.col("place").bitwiseAND(65535).cast("int").alias("tag"), start.cast("int").alias("start"),
-        (start + count + length).cast("int").alias("stop"),
-    )
+        "id", "tag", start.cast("int").alias("start"), (start + count + length).cast("int").alias("stop")
+    )
 
     # One run of every content whose anchor has others.
     open_ = F.lit(True) if keep_first else F.col("c") == 1
     spots = (
         runs.join(kinds, "k")
-        .select(F.col("first.id").alias("id"), F.struct("k", F.col("first.place").alias("place"), open_.alias("open"), (F.col("m") > hot).alias("hot")).alias("spot"))
-        .groupBy("id")
+        .select(F.col("first.id").alias("__v_id"), F.col("first.tag").alias("__v_tag"), F.struct("k", F.col("first.place").alias("place"), open_.alias("open"), (F.col("m") > hot).alias("hot")).alias("spot"))
+        .groupBy("__v_id", "__v_tag")
         .agg(F.collect_list("spot").alias("spots"))
     )
     # Both joins take the same columns from the documents, so that Spark shuffles the texts once.
-    keyed = base.withColumn("__v_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    keyed = base.withColumn("__v_id", id_).withColumn("__v_tag", tag)
     own = [F.col(f"`{c}`") for c in base.columns]
     cut = (
-        keyed.join(spots.withColumnRenamed("id", "__v_id"), "__v_id")
-        .select(*own, F.col(text_col).cast("string").alias("__v_text"), "__v_id", "spots")
+        keyed.join(spots, ["__v_id", "__v_tag"])
+        .select(*own, F.col(text_col).cast("string").alias("__v_text"), "__v_id", "__v_tag", "spots")
         .mapInArrow(_cut_pass(length, gram, PIECE), CUT)
     )
     local = (
         cut.where("kind = 0").select("key", "id", "tag", "start", "open", "data").repartition("key").sortWithinPartitions("key")
-        .mapInArrow(_factor_pass(length, keep_first), "id long, tag int, start int, stop int")
+        .mapInArrow(_factor_pass(length, keep_first), "id long, tag long, start int, stop int")
     )
 
     # Windows of hot anchors, counted.
@@ -406,17 +404,19 @@ def remove_repeats(
     live = pieces.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     windows = pieces.join(live, "key").select("key", "id", "tag", "start", "open", F.posexplode("windows").alias("i", "w"))
     windows = windows.withColumn("start", F.col("start") + F.col("i")).drop("i")
-    twice = windows.groupBy("key", "w").agg(F.count("*").alias("c"), F.min(F.struct("id", "start")).alias("first")).where("c > 1")
+    twice = windows.groupBy("key", "w").agg(F.count("*").alias("c"), F.min(F.struct("id", "tag", "start")).alias("first")).where("c > 1")
     hits = windows.join(twice.drop("c"), ["key", "w"]).where("open")
     if keep_first:
-        hits = hits.where(F.struct("id", "start") != F.col("first"))
+        hits = hits.where(F.struct("id", "tag", "start") != F.col("first"))
     counted = hits.select("id", "tag", "start", (F.col("start") + length).alias("stop"))
 
-    spans = decided.unionByName(local).unionByName(counted).groupBy("id").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("__v_spans"))
+    # Equal rows bring equal spans, which count once.
+    found = decided.unionByName(local).unionByName(counted)
+    spans = found.groupBy(F.col("id").alias("__v_id"), F.col("tag").alias("__v_tag")).agg(F.collect_set(F.struct("start", "stop")).alias("__v_spans"))
     kinds_ = [StructField(f.name, f.dataType) for f in base.schema]
     result = [StructField(c, LongType()) for c in RESULT[:3]] + [StructField("kept_sha256", StringType()), StructField("kept", BinaryType())]
     joined = (
-        keyed.join(spans.withColumnRenamed("id", "__v_id"), "__v_id", "left")
+        keyed.join(spans, ["__v_id", "__v_tag"], "left")
         .select(*own, F.col(text_col).cast("string").alias("__v_text"), "__v_spans")
     )
     return joined.mapInArrow(_keep_pass(base.columns), StructType([*kinds_, *result]))
