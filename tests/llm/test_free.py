@@ -195,6 +195,16 @@ def test_decontamination_against_search(table, odd, block_words):
     assert decontaminate.decontaminate(table([]), table(items, "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("block_words", [10**6, 20])
+def test_items_without_id_are_searched(table, block_words):
+    items = [(None, " ".join(words(1, 15, 50))), (None, " ".join(words(2, 14, 50))), (3, " ".join(words(3, 12, 50)))]
+    rows = [(1, f"before {items[0][1]} after"), (2, f"{items[1][1]} {items[2][1]} {items[0][1]}"), (3, items[2][1]), (4, "clean")]
+    out = decontaminate.decontaminate(table(rows), table(items, "item_id long, text string"), block_words=block_words).collect()
+    assert {r["doc_id"]: (r["n_hit"], r["items"], r["contaminated"]) for r in out} == {
+        1: (15, [None], True), 2: (41, ["3", None], True), 3: (12, ["3"], True), 4: (0, [], False)
+    }
+
+
 # ------------------------------------------------ tokens
 
 

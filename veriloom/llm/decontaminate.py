@@ -9,12 +9,13 @@ ranks of a wavelet matrix, and every occurrence is located from sampled suffix
 positions. Overlapping occurrences merge to spans of document words.
 
 The benchmark is split into blocks of about ``BLOCK_WORDS`` words; only one
-block at a time reaches the driver, and a task holds one encoded block per
-step. Documents pass the blocks one after the other in the same stage: there is
+block at a time is collected, but the driver keeps every encoded block in the
+plan, and a task holds one per step. Documents pass the blocks one after the other in the same stage: there is
 no shuffle, no join and no group.
 
 Null and empty texts, and items without words, have no words and no hits.
-Repeated rows are searched alike; items with one id count once. An empty
+Repeated rows are searched alike; items with one id count once. Items without an
+id are searched too and count once together, as a null in ``items``. An empty
 benchmark leaves everything clean; an empty table gives an empty result.
 Columns named like a result are replaced.
 """
@@ -43,10 +44,10 @@ _SPAN = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
 class Phrases:
     """One block of the benchmark: vocabulary, phrases by length and the items of each phrase."""
 
-    def __init__(self, rows: list[tuple[str, str]], window: int):
+    def __init__(self, rows: list[tuple[str | None, str]], window: int):
         texts = pa.array([t for _, t in rows], pa.string())
         ids = [i for i, _ in rows]
-        seen: dict[bytes, set[str]] = {}
+        seen: dict[bytes, set[str | None]] = {}
         all_words = []
         for first_row, data, offsets in chunks(texts):
             digest, first = words(data, offsets, NON_WORD)
@@ -67,7 +68,7 @@ class Phrases:
             grouped.setdefault(len(raw) // 8, []).append((raw, items))
         for size, found in grouped.items():
             table = self.number(np.frombuffer(b"".join(raw for raw, _ in found), np.uint64)).reshape(-1, size)
-            self.by_length[size] = (table, [sorted(items) for _, items in found])
+            self.by_length[size] = (table, [_sorted(items) for _, items in found])
             if size == 1:
                 self.single[table[:, 0]] = True
             else:
@@ -124,6 +125,11 @@ class Phrases:
             yield place[index.locate(rows)], size, phrase, items
 
 
+def _sorted(items) -> list[str | None]:
+    """Ids in order; null, for items without one, comes last."""
+    return sorted(items, key=lambda i: (i is None, i or ""))
+
+
 def _shards(stretches: list[np.ndarray], places: list[np.ndarray]):
     """Runs of stretches with about ``SHARD_WORDS`` words, or one longer stretch."""
     first, size = 0, 0
@@ -159,7 +165,7 @@ def _search(phrases: Phrases, names: list[str]):
                     text = np.searchsorted(start, place, side="right") - 1
                     inside = place - start[text]
                     for t, p in set(zip(text.tolist(), phrase.tolist())):
-                        items[t] = sorted({*(items[t] or ()), *owners[p]})
+                        items[t] = _sorted({*(items[t] or ()), *owners[p]})
                     order = np.lexsort((inside, text))
                     t, s = text[order], inside[order]
                     # Touching or overlapping occurrences of one text become one span.
@@ -218,12 +224,10 @@ def decontaminate(
 ) -> DataFrame:
     """``docs`` with ``n_words, n_hit, items, contaminated, spans`` (of words) and ``clean_text`` appended."""
     base = without(docs, RESULT)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where(
-        "item is not null and text is not null"
-    )
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.size(F.split("text", " "))), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_words))
-    items = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
+    items = items.withColumn("block", F.pmod(F.xxhash64(F.coalesce("item", "text")), F.lit(blocks)))
 
     kept = [StructField(f.name, f.dataType) for f in base.schema]
     span = StructType.fromDDL("start int, stop int")
