@@ -271,6 +271,15 @@ def test_expressions_align():
     assert wrappers.written(w.seq) == "<body>(<h2>#text</><p>#text</>)+</>"
 
 
+def test_names_within_an_article_drop_no_sections():
+    names = ["discussion", "related-work", "side-effects", "search-methods", "comments-on-x", "share-prices"]
+    parts = "".join(f"<section id='{n}' class='discussion'><h2 id='h-{n}'>t {n}</h2><p id='p-{n}'>b {n}</p></section>" for n in names)
+    page = "<body><div id='side-x'>menu</div>{}<div class='ad'>buy</div><div role='complementary'>c</div>{}</body>"
+    want = "\n".join(f"t {n}\nb {n}" for n in names)
+    for a, b in (("<article>", "</article>"), ("<main>", "</main>"), ("<main><section id='comments'>c</section><article>", "</article></main>")):
+        assert wrappers.main_text(wrappers.parse(page.format(a + parts, b)), frozenset()) == want
+
+
 def test_template_slots_go(table):
     page = "<body><div><p>Always here</p></div><section><h3>{k}</h3></section></body>"
     rows = [(k, "http://h.org/", page.format(k=f"text {k}")) for k in range(6)]

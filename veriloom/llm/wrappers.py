@@ -20,7 +20,9 @@ variety of a host's templates, not with its pages.
 The text of a page is what lies in its main region (``article``, ``main`` or a
 content element; without one, the whole body) outside of navigation, headers,
 footers, sidebars, notices, adverts, forms, comments, scripts, styles, and
-outside of the slots that the wrapper knows as template text.
+outside of the slots that the wrapper knows as template text. Within an article,
+or a main region without one, only whole classes and roles name furniture, and
+headings and sections are not judged by name.
 
 Null and empty html, and pages without text, give an empty text. A null url, or
 one without a host, belongs to the host "". Repeated rows fold to the same
@@ -81,6 +83,8 @@ FURNITURE = frozenset(
 )
 #: Dropped outside the main region only: an article's own header holds its title.
 HEADERS = frozenset("header masthead".split())
+#: Not dropped by name within an article: their names often repeat titles.
+TITLED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 DEEPEST = 300
 CONTENT_WORDS = frozenset("article content post entry story maincontent articlebody".split())
 
@@ -93,10 +97,11 @@ _WORD = re.compile(r"[a-z]+(?:-[a-z]+)*|[a-z]+")
 
 
 class Element:
-    __slots__ = ("tag", "label", "furniture", "header", "content", "children")
+    __slots__ = ("tag", "label", "furniture", "aside", "header", "content", "children")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.label, self.furniture, self.content = tag, tag, tag in DROPPED, tag in CONTENT
+        self.aside = tag in DROPPED  # furniture within an article too
         self.header = tag == "header"
         self.children: list = []
         if attributes and "=" in attributes or "hidden" in attributes:
@@ -110,8 +115,11 @@ class Element:
                     words |= {token, *token.split("-")}
             if words & CONTENT_WORDS and not words & FURNITURE:
                 self.content = self.content or tag in ("div", "section", "td")
-            if tag not in ("html", "body") and (words & FURNITURE or "hidden" in named or named.get("aria-hidden") == "true"):
+            hidden = "hidden" in named or named.get("aria-hidden") == "true"
+            if tag not in ("html", "body") and (words & FURNITURE or hidden):
                 self.furniture = True
+            whole = {token for k in ("class", "role") for token in named.get(k, "").lower().split()}
+            self.aside = self.aside or hidden or tag not in TITLED and bool(whole & FURNITURE)
             self.header = self.header or bool(words & HEADERS)
             if named.get("role") == "main" or named.get("itemprop", "").lower() == "articlebody":
                 self.content = True
@@ -434,30 +442,35 @@ def main_text(tree: Element, template: frozenset[str]) -> str:
             blocks.append(block)
         text.clear()
 
-    def walk(node: Element, path: str) -> None:
+    def walk(node: Element, path: str, own: bool) -> None:
+        own = own or node.tag == "article"
         for c in node.children:
             if isinstance(c, str):
                 text.append(c)
-            elif c.furniture or c.header and not inside:
+            elif (c.aside if own else c.furniture) or c.header and not inside:
                 flush(path)
             elif c.tag in INLINE:
                 if c.tag == "br":
                     text.append(" ")
-                walk(c, path)
+                walk(c, path, own)
             elif c.tag in RAW:
                 continue
             else:
                 flush(path)
-                walk(c, f"{path}/{c.label}")
+                walk(c, f"{path}/{c.label}", own)
                 flush(f"{path}/{c.label}")
         if node.tag not in INLINE:
             flush(path)
 
     for node, path in regions or [(tree, "")]:
-        walk(node, path)
+        walk(node, path, inside and not _has_article(node))
     return "\n".join(blocks)
 
 
+def _has_article(node: Element) -> bool:
+    return any(not isinstance(c, str) and (c.tag == "article" or _has_article(c)) for c in node.children)
+
+
 def _extract_pass(names: list[str]):
     """The last two inputs are the html and the template of its host."""
 
