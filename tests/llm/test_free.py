@@ -287,6 +287,17 @@ def test_template_slots_go(table):
     assert out == {k: f"text {k}" for k in range(6)}
 
 
+def test_copies_of_one_article_are_no_template():
+    page = "<body><div>{clock}</div><article><h1>{k}</h1>{more}<footer>f</footer><div><p>Always</p></div></article></body>"
+    w, half = wrappers.Wrapper(), wrappers.Wrapper()
+    quote = "<blockquote>only here</blockquote>"
+    sources = [page.format(k=k, clock=k, more="") for k in range(6)] + [page.format(k="one", clock=k, more=quote) for k in range(20)]
+    for n, source in enumerate(sources):
+        (w, half)[n % 2].add(wrappers.parse(source))
+    w.join(wrappers.Wrapper.load(half.dump()))
+    assert wrappers.main_text(wrappers.parse(sources[-1]), frozenset(w.template())) == "one\nonly here"
+
+
 # ------------------------------------------------ pipeline
 
 

@@ -10,7 +10,7 @@ The result is the wrapper of the host.
 
 With the expression go figures for each text slot: pages, characters, and a
 bounded sketch of its distinct values. A slot with one value on all of several
-different pages is part of the template.
+pages of different main text is part of the template.
 
 Wrappers are folded where the pages are: each task keeps one per host and emits
 it once; these few rows are merged per host in two steps. A host with a third
@@ -47,7 +47,7 @@ from ..session import through_table
 from .columns import without
 
 SKETCH = 64
-#: A slot is template text from this many pages with one value, on a host with as many different pages.
+#: A slot is template text from this many pages of different main text with one value, on a host with as many different pages.
 TEMPLATE_PAGES = 5
 LONGEST_GROUP = 4
 RESULT = ["text", "n_chars"]
@@ -289,7 +289,7 @@ class Wrapper:
         self.seen: set[str] = set()
         self.pages = 0
         self.different: list[int] = []
-        self.slots: dict[str, list] = {}  # path: pages, characters, sketch of values
+        self.slots: dict[str, list] = {}  # path: pages, characters, sketch of values, least digests of main texts
 
     def add(self, tree: Element) -> None:
         values: dict[str, list[str]] = {}
@@ -303,9 +303,12 @@ class Wrapper:
             self.seq = seq if self.seq is None else fold(merge(self.seq, seq))
         self.pages += 1
         whole = blake2b(digest_size=8)
+        # Copies of an article are one page to its slots, whatever else differs around it.
+        main = int.from_bytes(blake2b(main_text(tree, frozenset()).encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
         for path, texts in values.items():
-            slot = self.slots.setdefault(path, [0, 0, []])
+            slot = self.slots.setdefault(path, [0, 0, [], []])
             slot[0] += 1
+            _sketch(slot[3], main, TEMPLATE_PAGES)
             for t in texts:
                 raw = t.encode("utf-8", "surrogatepass")
                 slot[1] += len(t)
@@ -319,17 +322,19 @@ class Wrapper:
         self.pages += other.pages
         for h in other.different:
             _sketch(self.different, h)
-        for path, (pages, size, sketch) in other.slots.items():
-            slot = self.slots.setdefault(path, [0, 0, []])
+        for path, (pages, size, sketch, different) in other.slots.items():
+            slot = self.slots.setdefault(path, [0, 0, [], []])
             slot[0] += pages
             slot[1] += size
             for h in sketch:
                 _sketch(slot[2], h)
+            for h in different:
+                _sketch(slot[3], h, TEMPLATE_PAGES)
 
     def template(self) -> list[str]:
         if len(self.different) < TEMPLATE_PAGES:
             return []
-        return sorted(p for p, (pages, _, sketch) in self.slots.items() if pages >= TEMPLATE_PAGES and len(sketch) == 1)
+        return sorted(p for p, (_, _, sketch, different) in self.slots.items() if len(different) >= TEMPLATE_PAGES and len(sketch) == 1)
 
     def dump(self) -> str:
         return json.dumps([self.seq, self.pages, self.different, self.slots])
@@ -341,11 +346,11 @@ class Wrapper:
         return w
 
 
-def _sketch(least: list[int], value: int) -> None:
-    """Keep the ``SKETCH`` least distinct digests."""
+def _sketch(least: list[int], value: int, size: int = SKETCH) -> None:
+    """Keep the ``size`` least distinct digests."""
     if value in least:
         return
-    if len(least) < SKETCH:
+    if len(least) < size:
         least.append(value)
         return
     top = max(least)
