@@ -9,13 +9,13 @@ def lowered(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (text or ""))
 
 
-def jaccard(rows):
+def jaccard(rows, size=5):
     """id: (set size, least id of its component)."""
     sets = {}
     for i, text in rows:
         words = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
-        if len(words) >= 5:
-            sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+        if len(words) >= size:
+            sets[i] = {tuple(words[k : k + size]) for k in range(len(words) - size + 1)}
         else:
             sets[i] = {tuple(words)} if words else set()
     root = {i: i for i in sets}

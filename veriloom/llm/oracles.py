@@ -40,12 +40,15 @@ SELECT t.doc_id, len(h) // 2 AS n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT)
 FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id
 """
 
-OP7_SQL = f"""
+
+def _linked_sql(size: int, more: str = "") -> str:
+    """Components of texts whose sets of ``size``-word shingles reach a similarity of 0.8."""
+    return f"""
 WITH RECURSIVE worded AS (
   SELECT doc_id, list_filter(string_split_regex({lowered('text')}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents
 ), shingles AS (
-  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
-  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM worded WHERE len(ws) > 0)
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + {size - 1}], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {size - 1}, 1) + 1)) AS i FROM worded WHERE len(ws) > 0)
 ), sizes AS (
   SELECT doc_id, COUNT(*) AS n FROM shingles GROUP BY doc_id
 ), shared AS (
@@ -59,10 +62,14 @@ WITH RECURSIVE worded AS (
 ), roots AS (
   SELECT x, MIN(y) AS y FROM reach GROUP BY x
 )
-SELECT d.doc_id, COALESCE(n, 0) AS n_shingles, LEAST(d.doc_id, COALESCE(y, d.doc_id)) AS component_id
+SELECT d.doc_id, COALESCE(n, 0) AS n_shingles, LEAST(d.doc_id, COALESCE(y, d.doc_id)) AS component_id{more}
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN roots r ON r.x = d.doc_id
 """
 
+
+OP7_SQL = _linked_sql(5)
+OP11_SQL = _linked_sql(2, ", d.doc_id = LEAST(d.doc_id, COALESCE(y, d.doc_id)) AS kept")
+
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 OP8_SQL = f"""

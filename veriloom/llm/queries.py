@@ -1,6 +1,22 @@
 """The registered queries of this package."""
 
-from . import decontaminate, jaccard, mixing, oracles, pseudonyms, quality, repeats, secrets, sharding, token_shards, wrappers
+from . import (
+    clusters,
+    decontaminate,
+    jaccard,
+    mixing,
+    odd_sketches,
+    oracles,
+    pseudonyms,
+    quality,
+    repeats,
+    secrets,
+    sharding,
+    token_shards,
+    vector_codes,
+    vector_oracles,
+    wrappers,
+)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +29,9 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_main_text": wrappers.op9_main_text,
     "op10_pseudonyms": pseudonyms.op10_pseudonyms,
+    "op11_odd_sketches": odd_sketches.op11_odd_sketches,
+    "op12_orchard_clusters": clusters.op12_orchard_clusters,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 #: The others have no SQL form: a permutation, a greedy schedule, inferred wrappers, keyed pseudonyms.
 ORACLES = {
@@ -22,4 +41,7 @@ ORACLES = {
     "op5_quality_rules": quality.OP5_SQL,
     "op7_jaccard_join": oracles.OP7_SQL,
     "op8_decontamination": oracles.OP8_SQL,
+    "op11_odd_sketches": oracles.OP11_SQL,
+    "op12_orchard_clusters": vector_oracles.OP12_SQL,
+    "op13_vector_codes": vector_oracles.OP13_SQL,
 }
