@@ -60,5 +60,5 @@ def test_delimiter_detection(spark, sep):
 def test_ranking_areas_with_ties(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.9), (1, 0.5), (0, 0.1)], "y int, p double")
     for small in (0, 10):
-        r = M.ranking_areas(df, "y", "p", small_rows=small).first()
+        r = M.ranking_areas(df, "y", "p").first()
         assert r["roc_auc"] == 0.625 + 0.0 and r["average_precision"] == pytest.approx(0.583333, abs=1e-6)

@@ -36,21 +36,88 @@ def test_bm25_against_formula(spark):
     assert set(out) == {2, 3}
 
 
-def test_salted_and_broadcast_joins_agree(spark, monkeypatch):
-    q = queries(spark, "kablosuz kulaklık", "kırmızı mouse")
-    a = R.search_bm25(index(spark), q, "q", "text", 4).collect()
-    monkeypatch.setattr(R, "MAX_QUERY_TERMS", 0)
-    b = R.search_bm25(index(spark), q, "q", "text", 4).collect()
-    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
-
-
-def test_dense_ties_and_passes(spark, monkeypatch):
-    docs = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "d long, v array<float>")
+def test_open_index_searches_without_building(spark, tmp_path):
+    """Another session knows no tables; it registers the stored ones and reads the buckets of the query terms."""
+    from veriloom.operators import lexical as L
+
+    rows = [(n, " ".join(f"w{(n * 7 + k * k) % 97}" for k in range(30))) for n in range(60)]
+    path = tmp_path.as_uri()
+    built = R.write_index(spark.createDataFrame(rows[:40], "d long, text string"), "d", "text", path)
+    grown = R.append_documents(built, spark.createDataFrame(rows[40:], "d long, text string"), "text")
+    q = queries(spark, "w3 w50 w8", "w12")
+    want = R.search_bm25(R.build_index(spark.createDataFrame(rows, "d long, text string"), "d", "text"), q, "q", "text", 5).collect()
+    for index in (built, grown):
+        for name in ("postings", "terms"):
+            spark.sql(f"DROP TABLE {L._table_name(f'{path}/generation={index.generation}/{name}')}")
+    again = R.open_index(spark, path)
+    assert (again.generation, again.n_docs, again.fingerprint) == (1, 60, grown.fingerprint) and built.fingerprint != grown.fingerprint
+    assert sorted(map(tuple, R.search_bm25(again, q, "q", "text", 5).collect())) == sorted(map(tuple, want))
+    terms = L.bm25_scoring(again, q, "q", "text").terms
+    plan = L._of_terms(again, again.postings, terms).join(terms.hint("merge"), "term")._jdf.queryExecution().toString()
+    physical = plan[plan.index("Physical Plan") :]
+    branch = physical[physical.index("SortMergeJoin") : physical.index("SelectedBucketsCount: 4 out of 32")]
+    assert "weight" in branch and "Exchange" not in branch
+
+
+def test_bounds_leave_few_pairs_and_lose_none(spark):
+    import random
+
+    from veriloom.operators import lexical as L
+
+    r = random.Random(4)
+    common, rare = [f"c{k}" for k in range(12)], [f"r{k}" for k in range(400)]
+    rows = [(n, " ".join(r.choices(common, k=r.randrange(4, 30)) + r.choices(rare, k=3))) for n in range(600)]
+    asked = [" ".join(r.sample(common, 5) + r.sample(rare, 3)) for _ in range(40)]
+    index_ = R.build_index(spark.createDataFrame(rows, "d long, text string"), "d", "text", min_df=1)
+    q = queries(spark, *asked)
+    df, lengths = {}, {d: len(t.split()) for d, t in rows}
+    for _, t in rows:
+        for w in set(t.split()):
+            df[w] = df.get(w, 0) + 1
+    avg = sum(lengths.values()) / len(rows)
+
+    def bm25(text, document, d):
+        words, total = document.split(), 0.0
+        for w in set(text.split()):
+            tf = words.count(w)
+            total += math.log(1 + (600 - df.get(w, 0) + 0.5) / (df.get(w, 0) + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * lengths[d] / avg)) if tf else 0
+        return round(total, 9)
+
+    want = {(n, d, s) for n, text in enumerate(asked) for s, d in sorted(((bm25(text, t, d), d) for d, t in rows), key=lambda x: (-x[0], x[1]))[:3]}
+    got = {(x["q"], x["d"], x["score"]) for x in R.search_bm25(index_, q, "q", "text", 3).collect()}
+    assert {(a, b) for a, b, _ in got} == {(a, b) for a, b, _ in want}
+    kept, _ = L.candidates([L.bm25_scoring(index_, q, "q", "text")], "q", "d", 3)
+    assert kept.count() < 40 * 600 / 20
+
+
+def test_dense_ties_and_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "d long, v array<float>")
     qs = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 1.0])], "q long, v array<float>")
     expected = {(7, 0, 1), (7, 1, 2), (7, 2, 3), (8, 2, 1), (8, 0, 2), (8, 1, 3)}
     assert {(r["q"], r["d"], r["rank"]) for r in R.search_dense(docs, "d", "v", qs, "q", "v", 3).collect()} == expected
-    monkeypatch.setattr(R, "MAX_QUERY_VECTORS", 1)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 1)
+    monkeypatch.setattr(R, "DOC_BLOCK", 1)
     assert {(r["q"], r["d"], r["rank"]) for r in R.search_dense(docs, "d", "v", qs, "q", "v", 3).collect()} == expected
+    assert {(r["q"], r["d"], r["rank"]) for r in R.search_dense(docs, "d", "v", qs, "q", "v", 1).collect()} == {(7, 0, 1), (8, 2, 1)}
+    assert R.search_dense(docs, "d", "v", qs.limit(0), "q", "v", 3).count() == 0 == R.search_dense(docs.limit(0), "d", "v", qs, "q", "v", 3).count()
+
+
+def test_approximate_recall(spark):
+    import random
+
+    r = random.Random(2)
+
+    def unit(center):
+        v = [c + r.gauss(0, 0.6) / 4 for c in center]
+        length = math.sqrt(sum(x * x for x in v))
+        return [x / length for x in v]
+
+    centers = [[r.gauss(0, 0.25) for _ in range(16)] for _ in range(8)]
+    docs = spark.createDataFrame([(n, unit(centers[n % 8])) for n in range(400)], "d long, v array<double>")
+    qs = spark.createDataFrame([(n, unit(centers[n])) for n in range(8)], "q long, v array<double>")
+    exact = R.search_dense(docs, "d", "v", qs, "q", "v", 10)
+    near = R.search_dense_approximate(docs, "d", "v", qs, "q", "v", 10)
+    assert R.recall_of(near, exact, "q", "d").first()["recall"] >= 0.9
 
 
 def test_retrieval_metrics_example(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import any_of, as_column, band, flag, is_true, literal_rows, ratio, to_number
-from .ordered import exact_quantiles, join_groups, keep_first
+from .ordered import join_groups, keep_first, quantile_values
 
 # Cut points, band names and action texts that users see.
 BAND_CUTS_SERVICE = [0.4, 0.7]
@@ -34,9 +34,8 @@ def coerce_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def impute_median(df: DataFrame, columns: list[str], fit: DataFrame | None = None) -> DataFrame:
     """Nulls become the exact median of the fit set (default: the table itself)."""
-    q = exact_quantiles(df if fit is None else fit, columns, [0.5])
-    medians = {c: q.where(F.col("column_name") == c).agg(F.max("q")).scalar() for c in columns}
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), m) for c, m in medians.items()})
+    medians = quantile_values(df if fit is None else fit, columns, [0.5])
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians.get((c, 0.5)))) for c in columns})
 
 
 def most_frequent(fit: DataFrame, column: str) -> Column:
@@ -72,10 +71,10 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return keep_first(df, keys, order)
 
 
-def flag_repeated_keys(df: DataFrame, keys: list[str], name: str = "is_duplicate", hot_rows: int = 100_000) -> DataFrame:
-    """True on every row whose key occurs more than once; hot keys are salted."""
+def flag_repeated_keys(df: DataFrame, keys: list[str], name: str = "is_duplicate") -> DataFrame:
+    """True on every row whose key occurs more than once."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    return join_groups(df, sizes, keys, "_size", hot_rows=hot_rows).withColumn(name, F.col("_size") > 1).drop("_size")
+    return join_groups(df, sizes, keys, "_size").withColumn(name, F.col("_size") > 1).drop("_size")
 
 
 def keep_valid(df: DataFrame, invalid: list[Column]) -> DataFrame:

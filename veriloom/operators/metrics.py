@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import literal_rows, ratio, ratio_or_zero
-from .ordered import _bisect, rank_by_value, running, singleton, value_buckets
+from .ordered import _bisect, rank_by_value, running_in_order, singleton
 
 THRESHOLDS = [float(x) for x in np.linspace(0.1, 0.9, 33)]
 RETRIEVAL_KS = [1, 5, 10, 20, 50, 100]
@@ -127,18 +127,17 @@ def operating_points(table: DataFrame) -> DataFrame:
     return wide.select(F.explode(named).alias("e")).select("e.operating_point", "e.row.*")
 
 
-def score_curve(df: DataFrame, label: str, score: str, small_rows: int | None = None) -> DataFrame:
+def score_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """``(score, pos, neg, tp, fp)`` per distinct score, cumulated from the top."""
     hist = df.groupBy(F.col(score).alias("score")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg")
     )
-    bucket = value_buckets(hist, "score", descending=True, small_rows=small_rows)
-    return running(hist, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")}, bucket)
+    return running_in_order(hist, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")})
 
 
-def ranking_areas(df: DataFrame, label: str, score: str, small_rows: int | None = None) -> DataFrame:
+def ranking_areas(df: DataFrame, label: str, score: str) -> DataFrame:
     """Exact ROC area and average precision, equal scores counted as one step."""
-    curve = score_curve(df, label, score, small_rows)
+    curve = score_curve(df, label, score)
     tp, fp, pos, neg = (F.col(c).cast("double") for c in ("tp", "fp", "pos", "neg"))
     sums = curve.agg(
         F.sum("pos").cast("double").alias("p"),
@@ -211,7 +210,7 @@ def _ideal(hits: Column, k: int) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in table]), (F.least(hits, F.lit(k)) + 1).cast("int"))
 
 
-def group_ranking_metrics(df: DataFrame, group: str, item: str, label: str, score: str, small_rows: int | None = None) -> DataFrame:
+def group_ranking_metrics(df: DataFrame, group: str, item: str, label: str, score: str) -> DataFrame:
     """NDCG@1/3/5/10, MRR and P/R/MAP@5,10 per group; equal scores rank by id.
 
     MAP is the mean precision at the hits inside the first k. Ranks are taken
@@ -220,7 +219,7 @@ def group_ranking_metrics(df: DataFrame, group: str, item: str, label: str, scor
     """
     y = F.col(label) == 1
     ranked = rank_by_value(
-        df.select(group, item, F.col(label), score), score, item, "rank", [group], True, {"hits": F.when(y, 1).otherwise(0)}, small_rows
+        df.select(group, item, F.col(label), score), score, item, "rank", [group], True, {"hits": F.when(y, 1).otherwise(0)}
     )
     rank = F.col("rank")
     aggs = [F.count(F.lit(1)).alias("n"), F.count_if(y).alias("pos"), F.min(F.when(y, rank)).alias("first_hit")]

@@ -3,21 +3,25 @@
 A plain window sorts one whole group in one task. The functions here cut a
 group into ordered buckets, work inside the buckets, and add the totals of the
 earlier buckets; a group holding a third of all rows is then spread over many
-tasks.
+tasks. There is one path for every size; Spark joins small buckets.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import as_column, hash_order
+from ..functions.scalars import as_column, hash_order, literal_rows
+from ..session import through_table
 
-SMALL_ROWS = 2_000_000  # up to this many rows one task may sort a group
-SMALL_DISTINCT = 1_000_000  # up to this many distinct values fit one aggregate
-SPLITS = 255
+#: Values of one bracket that are put in order by one aggregate.
+BRACKET_ROWS = 4096
+#: Rank error of the quantile sketch, as one part in so many.
+SKETCH = 4096
 
 
 def _bisect(value: Column, points: list[float], inclusive: bool) -> Column:
@@ -33,40 +37,16 @@ def _bisect(value: Column, points: list[float], inclusive: bool) -> Column:
     return node(0, len(points))
 
 
-def value_buckets(
-    df: DataFrame,
-    value: str,
-    tie: str | None = None,
-    descending: bool = False,
-    small_rows: int | None = None,
-    splits: int = SPLITS,
-) -> Column | None:
-    """Bucket number that grows along the order ``value [desc], tie asc``.
-
-    One aggregate reads the row count and the split points. A value frequent
-    enough to be a split point gets a bucket of its own, cut further along a
-    numeric ``tie``. Small inputs need no buckets: the result is ``None``.
+def in_ranges(df: DataFrame, order: list[Column], within: list[str] | None = None) -> DataFrame:
+    """Rows dealt into ranges of ``within`` and ``order``, stored with the number of their range as ``_bucket``.
+
+    One exchange samples the split points. The numbers are written with the
+    rows, so later reads and retried tasks see the same ones. A group of any
+    size is cut like the rest, as the order includes a tie key; Spark joins
+    small ranges.
     """
-    limit = SMALL_ROWS if small_rows is None else small_rows
-    shares = [i / (splits + 1) for i in range(1, splits + 1)]
-    spec = F.array(*[F.lit(s) for s in shares])
-    asks = [F.count(F.lit(1)).alias("n"), F.percentile_approx(F.col(value).cast("double"), spec, 10_000).alias("v")]
-    if tie is not None and dict(df.dtypes)[tie] != "string":
-        asks.append(F.percentile_approx(F.col(tie).cast("double"), spec, 10_000).alias("t"))
-    row = df.agg(*asks).first()
-    if row["n"] <= limit or row["v"] is None:
-        return None
-    points = sorted(set(row["v"]))
-    v = F.col(value).cast("double")
-    below, upto = _bisect(v, points, False), _bisect(v, points, True)
-    bucket = below + upto
-    if descending:
-        bucket = F.lit(2 * len(points)) - bucket
-    if "t" in row.asDict():
-        cuts = sorted(set(row["t"]))
-        inner = F.when(upto > below, _bisect(F.col(tie).cast("double"), cuts, True)).otherwise(F.lit(0))
-        bucket = bucket * F.lit(len(cuts) + 1) + inner
-    return bucket
+    ranged = df.repartitionByRange(*[F.col(k) for k in within or []], *order)
+    return through_table(ranged.withColumn("_bucket", F.spark_partition_id()), "ranges")
 
 
 def hash_bucket(digest: Column) -> Column:
@@ -78,35 +58,52 @@ def running(
     df: DataFrame,
     order: list[Column],
     sums: dict[str, Column],
-    bucket: Column | None,
+    bucket: Column,
     partition: list[str] | None = None,
 ) -> DataFrame:
-    """Add running sums along ``order``; ``bucket`` must follow the same order.
-
-    Without a bucket (an input known to be small) one window does it.
-    """
+    """Add running sums along ``order``; ``bucket`` must follow the same order."""
     keys = list(partition or [])
-    if bucket is None:
-        whole = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(whole).alias(n) for n, c in sums.items()])
     rows = df.withColumn("_bucket", bucket)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     part = rows.select("*", *[F.sum(c).over(inside).alias(f"_in_{n}") for n, c in sums.items()])
-    totals = rows.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()])
-    earlier = (
-        Window.partitionBy(*(keys or [F.lit(0)]))
-        .orderBy("_bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    joined = part.join(_offsets(rows, sums, keys), _same(keys), "inner")
+    return joined.select(
+        *[F.col(c) for c in df.columns], *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in sums]
     )
-    offsets = totals.select(
+
+
+def _same(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_bucket") == F.col("_k_bucket")])
+
+
+def _offsets(rows: DataFrame, sums: dict[str, Column], keys: list[str]) -> DataFrame:
+    """Sums over the earlier buckets of the same group, and which of its buckets this is."""
+    totals = rows.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()])
+    group = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket")
+    earlier = group.rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("_bucket").alias("_k_bucket"),
+        F.row_number().over(group).alias("_nth"),
         *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_off_{n}") for n in sums],
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_bucket") == F.col("_k_bucket")]
-    joined = part.join(offsets, reduce(lambda a, b: a & b, same), "inner")
+
+
+def running_in_order(df: DataFrame, order: list[Column], sums: dict[str, Column], within: list[str] | None = None) -> DataFrame:
+    """Running sums along ``order`` in each group, whatever the sizes of the groups.
+
+    Rows are cut into ranges; a window works inside a range. Only a group that
+    crosses a border has later ranges, at most one group per border, so the
+    table of their offsets has fewer rows than there are ranges.
+    """
+    keys = list(within or [])
+    rows = in_ranges(df.select("*", *[c.alias(f"_v_{n}") for n, c in sums.items()]), order, keys)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    part = rows.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_in_{n}") for n in sums])
+    later = _offsets(rows, {n: F.col(f"_v_{n}") for n in sums}, keys).where("_nth > 1")
+    joined = part.join(F.broadcast(later), _same(keys), "left")
     return joined.select(
-        *[F.col(c) for c in df.columns], *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in sums]
+        *[F.col(c) for c in df.columns], *[(F.col(f"_in_{n}") + F.coalesce(f"_off_{n}", F.lit(0))).alias(n) for n in sums]
     )
 
 
@@ -133,142 +130,123 @@ def rank_by_value(
     within: list[str] | None = None,
     descending: bool = True,
     extra: dict[str, Column] | None = None,
-    small_rows: int | None = None,
 ) -> DataFrame:
     """1-based rank by value and tie key per group, with optional running sums."""
     first = F.col(value).desc() if descending else F.col(value).asc()
-    bucket = value_buckets(df, value, tie, descending, small_rows)
-    return running(df, [first, F.col(tie).asc()], {name: F.lit(1), **(extra or {})}, bucket, within)
-
-
-def histogram_of(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column_name, value, n)`` of non-null values, combined before the shuffle."""
-    pairs = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns])
-    )
-    return (
-        df.select(*columns)
-        .select(pairs.alias("p"))
-        .select("p.column_name", "p.value")
-        .where("value is not null")
-        .groupBy("column_name", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
-def exact_quantiles(
-    df: DataFrame, columns: list[str], shares: list[float], small_distinct: int | None = None, splits: int = 1024
-) -> DataFrame:
-    """Exact linear-interpolated quantiles: ``(column_name, share, q)``.
-
-    Values are counted first, so repeated values cost one row. When every
-    column has few distinct values (checked) one aggregate holds the counts;
-    otherwise approximate splits bracket each wanted position and only the
-    bracketed values are ordered.
+    return running_in_order(df, [first, F.col(tie).asc()], {name: F.lit(1), **(extra or {})}, within)
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """Exact linear-interpolated quantiles: ``(column_name, share, q)``; columns without values have none."""
+    found = quantile_values(df, columns, shares)
+    rows = [(c, float(s), found[c, s]) for c in columns for s in shares if (c, s) in found]
+    schema = "column_name string, share double, q double"
+    return literal_rows(df.sparkSession, rows, schema) if rows else df.sparkSession.createDataFrame([], schema)
+
+
+@dataclass
+class _Bracket:
+    """Positions of one column that lie strictly between two values; no value is no border."""
+
+    column: str
+    low: float | None
+    high: float | None
+    before: int
+    inside: int
+    targets: list[int]
+
+    def holds(self) -> Column:
+        """The value, if it is inside."""
+        x, within = F.col(self.column), F.lit(True)
+        if self.low is not None:
+            within = within & (x > F.lit(self.low))
+        if self.high is not None:
+            within = within & (x < F.lit(self.high))
+        return F.when(within, x)
+
+    def shares(self) -> list[float]:
+        """Shares of the sketch that surround every target whatever its error."""
+        sides = [(t - self.before + 0.5) / self.inside + e for t in self.targets for e in (-2 / SKETCH, 2 / SKETCH)]
+        return sorted({min(max(x, 0.0), 1.0) for x in sides})
+
+
+def quantile_values(df: DataFrame, columns: list[str], shares: list[float], bracket_rows: int = BRACKET_ROWS) -> dict[tuple[str, float], float]:
+    """Exact quantiles of all columns by narrowing, in a few aggregates of one row each.
+
+    A mergeable sketch surrounds every wanted position with cuts; the next
+    aggregate counts the values at and below the cuts. A position at a cut is
+    found; others have a smaller bracket. Brackets with few values are put in
+    order by one aggregate, others are cut again. Sketches only choose the cuts
+    and cannot change the result, and no values are shuffled. At most eight
+    columns share an aggregate, which keeps it in one generated function.
     """
-    limit = SMALL_DISTINCT if small_distinct is None else small_distinct
-    distinct = df.agg(*[F.approx_count_distinct(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    hist = histogram_of(df, columns)
-    if max(distinct) <= limit:
-        values = F.array(*[F.lit(float(s)) for s in shares])
-        return (
-            hist.groupBy("column_name")
-            .agg(F.percentile("value", values, F.col("n")).alias("qs"))
-            .select(
-                "column_name",
-                F.explode(F.arrays_zip(values.alias("share"), F.col("qs").alias("q"))).alias("z"),
-            )
-            .select("column_name", F.col("z.share").alias("share"), F.col("z.q").alias("q"))
-        )
-    return _quantiles_by_brackets(hist, shares, splits)
-
-
-STEP = 32
-
-
-def _cut_index(value: str) -> Column:
-    """Number of sorted cuts below the value: whole steps first, then inside one."""
-    whole = F.size(F.filter(F.col("steps"), lambda c: c < F.col(value)))
-    part = F.filter(F.slice(F.col("cuts"), whole * STEP + 1, F.lit(STEP)), lambda c: c < F.col(value))
-    return whole * STEP + F.size(part)
-
-
-def _quantiles_by_brackets(hist: DataFrame, shares: list[float], splits: int) -> DataFrame:
-    """Brackets carry their own value range and exact offset, so the split
-    points only steer balance and can never change the result."""
-    cuts = hist.groupBy("column_name").agg(
-        F.percentile_approx("value", F.array(*[F.lit(i / splits) for i in range(1, splits)]), 10_000).alias("cuts")
-    ).withColumn("steps", F.filter("cuts", lambda c, i: i % STEP == STEP - 1))
-    # one row per profiled column, each with a fixed number of cut points
-    placed = hist.join(F.broadcast(cuts), "column_name").withColumn("b", _cut_index("value"))
-    ranges = placed.groupBy("column_name", "b").agg(
-        F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("rows")
-    )
-    upto = Window.partitionBy("column_name").orderBy("b")
-    everything = Window.partitionBy("column_name")
-    ranges = ranges.select(
-        "column_name",
-        "low",
-        "high",
-        (F.sum("rows").over(upto) - F.col("rows")).alias("before"),
-        F.sum("rows").over(upto).alias("after"),
-        F.sum("rows").over(everything).alias("total"),
-    )
-    wanted = ranges.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares]))).withColumn(
-        "position", F.col("share") * (F.col("total") - 1)
-    )
-    sides = wanted.withColumn(
-        "target", F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position"))))
-    ).where("before <= target and target < after")
-    brackets = sides.select("column_name", "share", "position", "target", "low", "high", "before")
-    # at most two brackets per wanted quantile
-    inside = hist.alias("h").join(
-        F.broadcast(brackets).alias("k"),
-        (F.col("h.column_name") == F.col("k.column_name")) & F.col("h.value").between(F.col("k.low"), F.col("k.high")),
-    )
-    order = Window.partitionBy("k.column_name", "k.share", "k.target").orderBy("h.value")
-    hit = inside.select(
-        F.col("k.column_name").alias("column_name"),
-        "share",
-        "position",
-        "target",
-        "value",
-        (F.col("before") + F.sum("h.n").over(order)).alias("upto"),
-        F.col("h.n").alias("n"),
-    ).where((F.col("upto") > F.col("target")) & (F.col("upto") - F.col("n") <= F.col("target")))
-    return hit.groupBy("column_name", "share", "position").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi")
-    ).select(
-        "column_name",
-        "share",
-        (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("position") - F.floor("position"))).alias("q"),
-    )
-
-
-def join_groups(
-    rows: DataFrame,
-    groups: DataFrame,
-    keys: list[str],
-    size: str,
-    how: str = "inner",
-    hot_rows: int = 100_000,
-    salts: int = 64,
-) -> DataFrame:
-    """Join a per-group table back to its rows, with hot groups salted.
-
-    ``groups`` carries the row count of each group in ``size``. A group is hot
-    above ``hot_rows`` and a thousandth of all rows, so there are at most a
-    thousand hot groups and their list is safe to broadcast.
+    out: dict[tuple[str, float], float] = {}
+    for first in range(0, len(columns), 8):
+        out |= _narrowed(df, columns[first : first + 8], shares, bracket_rows)
+    return out
+
+
+def _narrowed(df: DataFrame, columns: list[str], shares: list[float], bracket_rows: int) -> dict[tuple[str, float], float]:
+    names = {c: f"c{i}" for i, c in enumerate(columns)}
+    table = df.select(*[F.col(c).cast("double").alias(n) for c, n in names.items()])
+    sizes = table.agg(*[F.count(n).alias(n) for n in names.values()]).first().asDict()
+    places = {(c, s): s * (sizes[n] - 1) for c, n in names.items() if sizes[n] for s in shares}
+    brackets = [
+        _Bracket(n, None, None, 0, sizes[n], sorted({int(f(p)) for (k, _), p in places.items() if k == c for f in (floor, ceil)}))
+        for c, n in names.items() if sizes[n]
+    ]
+    found: dict[tuple[str, int], float] = {}
+    while brackets:
+        wide = [b for b in brackets if b.inside > bracket_rows]
+        small = [b for b in brackets if b.inside <= bracket_rows]
+        asks = [F.percentile_approx(b.holds(), F.array(*map(F.lit, b.shares())), SKETCH).alias(f"s{i}") for i, b in enumerate(wide)]
+        asks += [F.sort_array(F.collect_list(b.holds())).alias(f"v{i}") for i, b in enumerate(small)]  # few values each, as counted
+        row = table.agg(*asks).first()
+        for i, b in enumerate(small):
+            found |= {(b.column, t): row[f"v{i}"][t - b.before] for t in b.targets}
+        cuts = [sorted(set(row[f"s{i}"])) for i in range(len(wide))]
+        asks = [
+            F.count_if(test).alias(f"{kind}{i}_{j}")
+            for i, b in enumerate(wide)
+            for j, cut in enumerate(cuts[i])
+            for kind, test in (("below", F.col(b.column) < F.lit(cut)), ("at", F.col(b.column) == F.lit(cut)))
+        ]
+        brackets = []
+        if asks:
+            row = table.agg(*asks).first()
+        for i, b in enumerate(wide):
+            edges = [(cut, row[f"below{i}_{j}"], row[f"at{i}_{j}"]) for j, cut in enumerate(cuts[i])]
+            pieces: dict[int, _Bracket] = {}
+            for t in b.targets:
+                hit = next((cut for cut, below, at in edges if below <= t < below + at), None)
+                if hit is not None:
+                    found[b.column, t] = hit
+                    continue
+                j = sum(below <= t for _, below, _ in edges)  # cuts below the target
+                low, before = (edges[j - 1][0], edges[j - 1][1] + edges[j - 1][2]) if j else (b.low, b.before)
+                high, upto = (edges[j][0], edges[j][1]) if j < len(edges) else (b.high, b.before + b.inside)
+                pieces.setdefault(j, _Bracket(b.column, low, high, before, upto - before, [])).targets.append(t)
+            brackets += pieces.values()
+    out = {}
+    for (c, s), p in places.items():
+        low, high = found[names[c], int(floor(p))], found[names[c], int(ceil(p))]
+        out[c, s] = low + (high - low) * (p - floor(p))
+    return out
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """Join a per-group table back to its rows without gathering hot groups.
+
+    ``groups`` carries the row count of each group in ``size``. At most a
+    thousand groups hold more than a thousandth of all rows; these go to the
+    tasks of their rows, the others are joined by key. ``how`` is inner or left.
     """
     total = groups.agg(F.sum(size).alias("total")).scalar()
-    hot = groups.where((F.col(size) > F.lit(hot_rows)) & (F.col(size) * 1000 > total)).select(
-        *keys, F.lit(True).alias("_hot")
-    )
-    salt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    spread = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
-    right = groups.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(spread)).drop("_hot")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    hot = groups.where(F.col(size) * 1000 > total)
+    marks = F.broadcast(hot.select(*keys))
+    out = rows.join(F.broadcast(hot), keys).select(*rows.columns, *[c for c in groups.columns if c not in keys])
+    cold = rows.join(marks, keys, "left_anti").join(groups.where(F.col(size) * 1000 <= total), keys, how)
+    return out.unionByName(cold)
 
 
 def top_k(df: DataFrame, k: int, order: list[Column], within: list[str], name: str = "rank") -> DataFrame:
@@ -290,13 +268,14 @@ __all__ = [
     "as_column",
     "exact_quantiles",
     "hash_bucket",
-    "histogram_of",
+    "in_ranges",
     "join_groups",
     "keep_first",
     "rank_by_hash",
     "rank_by_value",
+    "quantile_values",
     "running",
+    "running_in_order",
     "singleton",
     "top_k",
-    "value_buckets",
 ]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import any_of, flag, literal_rows
-from .ordered import exact_quantiles, singleton, top_k
+from .ordered import exact_quantiles, quantile_values, singleton, top_k
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -86,11 +86,14 @@ def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def describe_numeric(
-    df: DataFrame, columns: list[str] | None = None, shares: tuple[float, ...] = (0.25, 0.5, 0.75), digits: int = 4,
-    small_distinct: int | None = None,
+    df: DataFrame, columns: list[str] | None = None, shares: tuple[float, ...] = (0.25, 0.5, 0.75), digits: int = 4
 ) -> DataFrame:
     """count, mean, std (n-1), min, quantiles, max; one row per numeric column."""
     cols = columns or numeric_columns(df)
+    return _with_quantiles(_basics(df, cols), df, cols, shares, digits)
+
+
+def _basics(df: DataFrame, cols: list[str]) -> DataFrame:
     wide = df.agg(
         *[
             f(F.col(c).cast("double")).alias(f"{p}_{i}")
@@ -98,12 +101,11 @@ def describe_numeric(
             for p, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_samp), ("lo", F.min), ("hi", F.max))
         ]
     )
-    basics = _per_column(wide, cols, {"count": "n", "mean": "m", "std": "s", "min": "lo", "max": "hi"})
-    return _with_quantiles(basics, df, cols, shares, digits, small_distinct)
+    return _per_column(wide, cols, {"count": "n", "mean": "m", "std": "s", "min": "lo", "max": "hi"})
 
 
-def _with_quantiles(basics, df, cols, shares, digits, small_distinct=None):
-    q = exact_quantiles(df, cols, list(shares), small_distinct)
+def _with_quantiles(basics, df, cols, shares, digits):
+    q = exact_quantiles(df, cols, list(shares))
     wide = q.groupBy("column_name").agg(
         *[F.max(F.when(F.col("share") == s, F.col("q"))).alias(f"q{round(s * 100):02d}") for s in shares]
     )
@@ -214,21 +216,24 @@ def schema_match(columns: DataFrame, required: DataFrame, aliases: DataFrame) ->
     )
 
 
-def iqr_report(df: DataFrame, columns: list[str], factor: float = 1.5, digits: int = 4, small_distinct: int | None = None) -> DataFrame:
-    """Spread, fences, values outside the fences and rows left, per column."""
-    stats = describe_numeric(df, columns, digits=12, small_distinct=small_distinct)
-    fences = stats.withColumn("iqr", F.col("q75") - F.col("q25")).withColumns(
-        {"lower": F.col("q25") - factor * F.col("iqr"), "upper": F.col("q75") + factor * F.col("iqr")}
-    )
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])
-    # one fence row per inspected column
-    outside = (
-        df.select(F.explode(pairs).alias("p"))
-        .select("p.*")
-        .join(F.broadcast(fences.select("column_name", "lower", "upper")), "column_name")
-        .groupBy("column_name")
-        .agg(F.count_if((F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper"))).alias("outliers"))
-    )
+def iqr_report(df: DataFrame, columns: list[str], factor: float = 1.5, digits: int = 4) -> DataFrame:
+    """Spread, fences, values outside the fences and rows left, per column.
+
+    The fences are two numbers per column; one aggregate counts what lies beyond them.
+    """
+    basics = _basics(df, columns)
+    found = quantile_values(df, columns, [0.25, 0.5, 0.75])
+    rows, counts = [], []
+    for i, c in enumerate(columns):
+        low, mid, high = (found.get((c, s)) for s in (0.25, 0.5, 0.75))
+        lower, upper = (None, None) if low is None else (low - factor * (high - low), high + factor * (high - low))
+        rows.append((c, low, mid, high, None if low is None else high - low, lower, upper))
+        v = F.col(c).cast("double")
+        counts.append(F.count_if((v < F.lit(lower)) | (v > F.lit(upper))).alias(f"o_{i}"))
+    names = ["q25", "q50", "q75", "iqr", "lower", "upper"]
+    fences = literal_rows(df.sparkSession, rows, "column_name string, " + ", ".join(f"{n} double" for n in names))
+    outside = _per_column(df.agg(*counts), columns, {"outliers": "o"})
+    fences = basics.join(F.broadcast(fences), "column_name")
     joined = fences.join(outside, "column_name")
     return joined.select(
         "column_name",

@@ -34,20 +34,20 @@ def shared_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return left.select(*keys).distinct().intersect(right.select(*keys).distinct()).agg(F.count(F.lit(1)).alias("shared"))
 
 
-def dense_codes(df: DataFrame, key: str, name: str = "code", small_rows: int | None = None) -> DataFrame:
+def dense_codes(df: DataFrame, key: str, name: str = "code") -> DataFrame:
     """0-based code of each key in sorted order, on every row.
 
     Ranks are taken over the distinct keys only and joined back by key.
     """
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    codes = rank_by_value(sizes, key, key, name, descending=False, small_rows=small_rows)
+    codes = rank_by_value(sizes, key, key, name, descending=False)
     return join_groups(df, codes.withColumn(name, (F.col(name) - 1).cast("int")), [key], "_n").drop("_n")
 
 
-def rank_change(df: DataFrame, group: str, item: str, before: str, after: str, small_rows: int | None = None) -> DataFrame:
+def rank_change(df: DataFrame, group: str, item: str, before: str, after: str) -> DataFrame:
     """Ranks of each item in its group by two scores, and the places gained."""
-    first = rank_by_value(df, before, item, "rank_before", [group], small_rows=small_rows)
-    second = rank_by_value(df.select(group, item, after), after, item, "rank_after", [group], small_rows=small_rows)
+    first = rank_by_value(df, before, item, "rank_before", [group])
+    second = rank_by_value(df.select(group, item, after), after, item, "rank_after", [group])
     joined = first.join(second.select(group, item, "rank_after"), [group, item])
     return joined.withColumn("rank_change", F.col("rank_before") - F.col("rank_after"))
 

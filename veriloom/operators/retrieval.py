@@ -6,43 +6,38 @@ has no fixed order, and ties must fall to the smaller id, not to noise.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.scalars import as_column
-from .features import idf, term_counts, tfidf, vocabulary
+from ..session import scratch_path
+from .lexical import (
+    SCORE_DIGITS,
+    LexicalIndex,
+    Scoring,
+    append_documents,
+    best,
+    bm25_scoring,
+    bounded_search,
+    index_statistics,
+    open_index,
+    tfidf_scoring,
+    write_index,
+)
 from .ordered import top_k
 
-SCORE_DIGITS = 9
-MAX_QUERY_TERMS = 2_000_000  # larger query tables join on salted terms instead of being broadcast
-MAX_QUERY_VECTORS = 20_000  # vectors per dense pass
-
-
-@dataclass
-class LexicalIndex:
-    """Postings partitioned by document, a bounded vocabulary and the document count."""
-
-    doc: str
-    counts: DataFrame
-    vocab: DataFrame
-    docs: DataFrame
-    n_docs: Column
-    analyzer: str
-    ngrams: int
-
-    def persist(self) -> LexicalIndex:
-        self.counts = self.counts.persist()
-        self.vocab = self.vocab.persist()
-        return self
+QUERY_BLOCK = 1024  # query vectors in one block
+DOC_BLOCK = 4096  # document vectors in one block
 
 
 def build_index(
@@ -54,91 +49,8 @@ def build_index(
     min_df: int = 2,
     max_features: int | None = None,
 ) -> LexicalIndex:
-    """Postings, vocabulary and size of a text collection; ``persist()`` before repeated use."""
-    counts = term_counts(docs, doc, text, analyzer, ngrams)
-    vocab = vocabulary(counts, min_df, max_features)
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    return LexicalIndex(doc, counts, vocab, docs.select(doc), n_docs, analyzer, ngrams)
-
-
-def index_statistics(index: LexicalIndex) -> DataFrame:
-    """Postings, terms, documents and the bytes of a compressed sparse row form."""
-    kept = index.counts.join(index.vocab.select("term"), "term", "left_semi")
-    return (
-        kept.agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("term_occurrences"))
-        .withColumn("vocabulary", index.vocab.agg(F.count(F.lit(1))).scalar())
-        .withColumn("documents", index.n_docs)
-        .withColumn("index_bytes", F.col("postings") * 12 + (F.col("documents") + 1) * 4)
-    )
-
-
-def _join_terms(postings: DataFrame, query_terms: DataFrame, raw_terms: DataFrame) -> DataFrame:
-    """Postings with the query terms they match.
-
-    The query side is broadcast when its raw term count is small enough; the
-    postings then stay partitioned by document and summing per document needs
-    no shuffle. Otherwise both sides shuffle by term, every term split over
-    salts.
-    """
-    if raw_terms.limit(MAX_QUERY_TERMS + 1).count() <= MAX_QUERY_TERMS:
-        return postings.join(F.broadcast(query_terms), "term")
-    return _salted_term_join(postings, query_terms)
-
-
-def _salted_term_join(postings: DataFrame, query_terms: DataFrame, salts: int = 32) -> DataFrame:
-    """Join on term where each term's postings are spread over ``salts`` tasks."""
-    left = postings.withColumn("_salt", F.pmod(F.xxhash64(*postings.columns), F.lit(salts)).cast("int"))
-    right = query_terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, ["term", "_salt"]).drop("_salt")
-
-
-def tfidf_scores(index: LexicalIndex, queries: DataFrame, query: str, text: str, weight: float = 1.0) -> DataFrame:
-    """Cosine of every query with every document sharing a term with it."""
-    docs = tfidf(index.counts, index.doc, index.vocab, index.n_docs)
-    counts = term_counts(queries, query, text, index.analyzer, index.ngrams)
-    terms = tfidf(counts, query, index.vocab, index.n_docs).select(query, "term", F.col("weight").alias("qw"))
-    joined = _join_terms(docs, terms, counts)
-    return joined.groupBy(index.doc, query).agg(F.sum(F.col("weight") * F.col("qw") * F.lit(weight)).alias("score"))
-
-
-def bm25_scores(
-    index: LexicalIndex,
-    queries: DataFrame,
-    query: str,
-    text: str,
-    settings: tuple[tuple[float, float], ...] = ((1.5, 0.75),),
-) -> DataFrame:
-    """BM25 for one or several ``(k1, b)`` in one job: ``(query, doc, k1, b, score)``.
-
-    Document length and its mean count words of the vocabulary only; every
-    distinct query word counts once.
-    """
-    df = F.col("df")
-    weights = index.vocab.select("term", F.log(1 + (index.n_docs - df + 0.5) / (df + 0.5)).alias("_idf"))
-    mean_length = F.greatest(index.vocab.agg(F.sum("cf")).scalar() / index.n_docs, F.lit(1.0))
-    postings = index.counts.join(weights, "term").withColumn(
-        "_dl", F.sum("tf").over(Window.partitionBy(index.doc))
-    )
-    terms = term_counts(queries, query, text, index.analyzer, index.ngrams).select(query, "term")
-    tf, dl = F.col("tf"), F.col("_dl")
-    gains = [
-        F.sum(F.col("_idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * dl / mean_length))).alias(f"s{i}")
-        for i, (k1, b) in enumerate(settings)
-    ]
-    wide = _join_terms(postings, terms, terms).groupBy(index.doc, query).agg(*gains)
-    entries = F.array(
-        *[
-            F.struct(F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"), F.col(f"s{i}").alias("score"))
-            for i, (k1, b) in enumerate(settings)
-        ]
-    )
-    return wide.select(index.doc, query, F.explode(entries).alias("e")).select(index.doc, query, "e.*")
-
-
-def best(scores: DataFrame, query: list[str], doc: str, k: int) -> DataFrame:
-    """Top ``k`` per query by rounded score, ties by id: adds ``rank``."""
-    rounded = scores.withColumn("score", F.round("score", SCORE_DIGITS)).where("score > 0")
-    return top_k(rounded, k, [F.desc("score"), F.asc(doc)], query)
+    """An index in a new folder of the shared folder; ``write_index`` takes a path to keep it."""
+    return write_index(docs, doc, text, scratch_path(docs.sparkSession, "index"), analyzer, ngrams, min_df, max_features)
 
 
 def pad_with_zero(hits: DataFrame, queries: DataFrame, docs: DataFrame, query: str, doc: str, k: int) -> DataFrame:
@@ -160,26 +72,39 @@ def pad_with_zero(hits: DataFrame, queries: DataFrame, docs: DataFrame, query: s
     return lists.select(query, F.explode(F.concat("_h", pads)).alias("e")).select(query, "e.*")
 
 
-def search_tfidf(index: LexicalIndex, queries: DataFrame, query: str, text: str, k: int = 100, pad: bool = True) -> DataFrame:
-    hits = best(tfidf_scores(index, queries, query, text), [query], index.doc, k)
+def _search(parts: list[Scoring], queries: DataFrame, query: str, k: int, pad: bool) -> DataFrame:
+    index = parts[0].index
+    hits = bounded_search(parts, query, index.doc, k)
     return pad_with_zero(hits, queries, index.docs, query, index.doc, k) if pad else hits
 
 
+def search_tfidf(index: LexicalIndex, queries: DataFrame, query: str, text: str, k: int = 100, pad: bool = True) -> DataFrame:
+    """Cosine of unit-length TF-IDF vectors."""
+    return _search([tfidf_scoring(index, queries, query, text)], queries, query, k, pad)
+
+
 def search_bm25(
     index: LexicalIndex, queries: DataFrame, query: str, text: str, k: int = 100, k1: float = 1.5, b: float = 0.75, pad: bool = True
 ) -> DataFrame:
-    scores = bm25_scores(index, queries, query, text, ((k1, b),)).select(query, index.doc, "score")
-    hits = best(scores, [query], index.doc, k)
-    return pad_with_zero(hits, queries, index.docs, query, index.doc, k) if pad else hits
+    return _search([bm25_scoring(index, queries, query, text, k1, b)], queries, query, k, pad)
+
+
+def search_bm25_grid(index: LexicalIndex, queries: DataFrame, query: str, text: str, settings: list[tuple[float, float]], k: int = 100) -> DataFrame:
+    """``(k1, b, query, document, score, rank)`` of every setting, in one job."""
+    out = None
+    for k1, b in settings:
+        hits = search_bm25(index, queries, query, text, k, k1, b, pad=False)
+        part = hits.select(F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"), query, index.doc, "score", "rank")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def search_combined(
     word: LexicalIndex, char: LexicalIndex, queries: DataFrame, query: str, text: str, k: int = 100, share: float = 0.6
 ) -> DataFrame:
     """``share`` of the word cosine plus the rest of the character cosine, summed before the cut."""
-    both = tfidf_scores(word, queries, query, text, share).unionByName(tfidf_scores(char, queries, query, text, 1 - share))
-    summed = both.groupBy(word.doc, query).agg(F.sum("score").alias("score"))
-    return pad_with_zero(best(summed, [query], word.doc, k), queries, word.docs, query, word.doc, k)
+    parts = [tfidf_scoring(word, queries, query, text, share), tfidf_scoring(char, queries, query, text, 1 - share)]
+    return _search(parts, queries, query, k, True)
 
 
 # --- dense ---------------------------------------------------------------------------
@@ -240,57 +165,127 @@ def encode_texts(
     return df.withColumn(output, encode(checked))
 
 
-def _block_scan(matrix: np.ndarray, query_ids: list, k: int, doc: str, vector: str, query: str):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+def _packed(size: int):
+    """Rows (id, vector) as blocks: one row with a list of ids and the vectors end to end."""
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, len(batch), size):
+                ids, vectors = batch.column(0).slice(first, size), batch.column(1).slice(first, size)
+                flat = vectors.flatten().cast(pa.float64())
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([one(ids), one(flat)], ["ids", "flat"])
+
+    return run
+
+
+def _blocks(df: DataFrame, key: str, vector: str, size: int, prefix: str) -> DataFrame:
+    kind = dict(df.dtypes)[key]
+    packed = df.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(_packed(size), f"ids array<{kind}>, flat array<double>")
+    return packed.select(F.col("ids").alias(f"{prefix}_ids"), F.col("flat").alias(f"{prefix}_flat"))
+
+
+def _best_of_blocks(k: int, query: str, doc: str, schema: pa.Schema):
+    """The best ``k`` of each query among the document blocks that this task has seen with it."""
+
+    def best_rows(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row-wise the ``k`` largest scores, ties to the smaller id; rows are cut at the k-th value before they are sorted."""
+        if scores.shape[1] > k:
+            floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k, None]
+            most = int((scores >= floor).sum(1).max())
+            rank = np.argsort(-scores, axis=1, kind="stable")[:, :most]
+            scores, ids = np.take_along_axis(scores, rank, 1), np.take_along_axis(ids, rank, 1)
+        order = np.lexsort((ids, -scores), axis=1)[:, :k]
+        return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+    def emit(queries, held):
+        scores, ids = held
+        rows = np.repeat(np.arange(len(queries)), scores.shape[1])
+        columns = [queries.take(pa.array(rows)), pa.array(ids.ravel()), pa.array(scores.ravel())]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], [f.name for f in schema])
+
+    def run(batches):
+        last, held, queries = None, None, None
         for batch in batches:
-            if batch.empty:
-                continue
-            ids = batch[doc].to_numpy()
-            block = np.stack(batch[vector].to_numpy()).astype(np.float64)
-            scores = np.round(matrix @ block.T, SCORE_DIGITS)
-            parts = []
-            for row, name in enumerate(query_ids):
-                s = scores[row]
-                if len(s) > k:
-                    s_idx = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-                else:
-                    s_idx = np.arange(len(s))
-                order = s_idx[np.lexsort((ids[s_idx], -s[s_idx]))][:k]
-                parts.append(pd.DataFrame({query: name, doc: ids[order], "score": s[order]}))
-            fresh = pd.concat(parts, ignore_index=True)
-            held = fresh if held is None else pd.concat([held, fresh], ignore_index=True)
-            held = held.sort_values([query, "score", doc], ascending=[True, False, True]).groupby(query, sort=False).head(k)
+            for row in range(len(batch)):
+                docs, mine = batch.column(0)[row].values, batch.column(2)[row].values
+                if last is None or not mine.equals(last):
+                    if held is not None:
+                        yield emit(queries, held)
+                    last, held, queries = mine, None, mine
+                    matrix = batch.column(3)[row].values.to_numpy(zero_copy_only=False).reshape(len(mine), -1)
+                block = batch.column(1)[row].values.to_numpy(zero_copy_only=False).reshape(len(docs), -1)
+                scores = np.round(matrix @ block.T, SCORE_DIGITS)
+                ids = np.broadcast_to(docs.to_numpy(zero_copy_only=False), scores.shape)
+                fresh = best_rows(scores, ids)
+                held = fresh if held is None else best_rows(*[np.concatenate(x, axis=1) for x in zip(held, fresh)])
         if held is not None:
-            yield held
+            yield emit(queries, held)
 
-    return scan
+    return run
 
 
 def search_dense(
     docs: DataFrame, doc: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int = 100
 ) -> DataFrame:
-    """Exact inner-product top ``k``; each task multiplies blocks and keeps its own best.
+    """Exact inner-product top ``k`` in one job, however many queries there are.
 
-    Query vectors travel in passes of bounded size, so a larger query table
-    costs more scans but never a larger broadcast.
+    Vectors are packed into blocks inside the tasks. Every block of the stated
+    queries meets every block of documents once; the product of two blocks is
+    one matrix product, of which a task keeps the best ``k`` per query. Rows
+    without a vector are left out.
     """
-    n = queries.count()
-    passes = max(1, -(-n // MAX_QUERY_VECTORS))
     schema = f"{query} {dict(queries.dtypes)[query]}, {doc} {dict(docs.dtypes)[doc]}, score double"
-    out = None
-    for i in range(passes):
-        part = queries.where(F.pmod(F.xxhash64(query), F.lit(passes)) == i) if passes > 1 else queries
-        rows = part.select(query, query_vector).collect()  # at most about MAX_QUERY_VECTORS rows
-        if not rows:
-            continue
-        matrix = np.array([r[1] for r in rows], dtype=np.float64)
-        scan = _block_scan(matrix, [r[0] for r in rows], k, doc, vector, query)
-        local = docs.select(doc, vector).mapInPandas(scan, schema)
-        out = local if out is None else out.unionByName(local)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], schema + ", rank int")
-    return top_k(out, k, [F.desc("score"), F.asc(doc)], [query])
+    blocks = _blocks(docs, doc, vector, DOC_BLOCK, "doc")
+    asked = _blocks(queries.repartition(F.col(query)), query, query_vector, QUERY_BLOCK, "query")
+    spark = docs.sparkSession
+    arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    near = blocks.crossJoin(asked).mapInArrow(_best_of_blocks(k, query, doc, arrow), schema)
+    return top_k(near, k, [F.desc("score"), F.asc(doc)], [query])
+
+
+def search_dense_approximate(
+    docs: DataFrame,
+    doc: str,
+    vector: str,
+    queries: DataFrame,
+    query: str,
+    query_vector: str,
+    k: int = 100,
+    tables: int = 24,
+    hashes: int = 3,
+    bucket: float = 0.3,
+    seed: int = 42,
+) -> DataFrame:
+    """Top ``k`` by inner product among the unit vectors that share a table entry with the query.
+
+    A table entry is ``hashes`` bucketed random projections together. Documents
+    and queries meet by entry, so work follows the matches; pairs are scored in
+    full. Measure the recall on your vectors (``recall_of``).
+    """
+    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=tables * hashes, seed=seed)
+
+    def prepared(df: DataFrame, key: str, column: str) -> DataFrame:
+        return df.where(F.col(column).isNotNull()).select(key, F.transform(column, lambda x: x.cast("double")).alias("_x"), array_to_vector(column).alias("_v"))
+
+    left, right = prepared(docs, doc, vector), prepared(queries, query, query_vector)
+    model = lsh.fit(left)
+
+    def entries(df: DataFrame, key: str) -> DataFrame:
+        hashed = model.transform(df).select(key, F.transform("_h", lambda h: vector_to_array(h)[0].cast("int")).alias("_h"))
+        own = F.array(*[F.xxhash64(F.lit(n), *[F.get("_h", F.lit(n * hashes + i)) for i in range(hashes)]) for n in range(tables)])
+        return hashed.select(key, F.explode(own).alias("_entry"))
+
+    met = entries(right, query).join(entries(left, doc), "_entry").select(query, doc).distinct()
+    scored = met.join(left.select(doc, "_x"), doc).join(right.select(query, F.col("_x").alias("_y")), query)
+    scores = scored.select(query, doc, F.round(V.dot("_x", "_y"), SCORE_DIGITS).alias("score"))
+    return top_k(scores, k, [F.desc("score"), F.asc(doc)], [query])
+
+
+def recall_of(found: DataFrame, exact: DataFrame, query: str, doc: str) -> DataFrame:
+    """One row: wanted, found and their ratio."""
+    both = exact.select(query, doc).join(found.select(query, doc, F.lit(1).alias("_hit")), [query, doc], "left")
+    return both.agg(F.count(F.lit(1)).alias("wanted"), F.count("_hit").alias("found")).withColumn("recall", F.round(F.col("found") / F.col("wanted"), 6))
 
 
 def class_centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -318,7 +313,7 @@ def overlap_signal(results: DataFrame, query_text: str, title: str) -> DataFrame
 
 
 __all__ = [
-    "LexicalIndex", "best", "bm25_scores", "build_index", "class_centroids", "encode_texts", "filter_results",
-    "hashing_encoder", "idf", "index_statistics", "overlap_signal", "pad_with_zero", "search_bm25", "search_combined",
-    "search_dense", "search_tfidf", "tfidf_scores",
+    "LexicalIndex", "append_documents", "best", "bounded_search", "build_index", "class_centroids", "encode_texts", "filter_results",
+    "hashing_encoder", "index_statistics", "open_index", "overlap_signal", "pad_with_zero", "recall_of", "search_bm25",
+    "search_bm25_grid", "search_combined", "search_dense", "search_dense_approximate", "search_tfidf", "write_index",
 ]

@@ -106,7 +106,7 @@ def _(t):
 def _(t):
     """Untied scores through the path for more distinct scores than one task orders."""
     df = roles.scored(t).withColumn("p", hash_unit(42, "event_id") * 1000)
-    return M.ranking_areas(df, "label", "p", small_rows=0)
+    return M.ranking_areas(df, "label", "p")
 
 
 @query(
@@ -198,7 +198,7 @@ def _(t):
 @query("E10_group_ranking_bucketed", f"WITH {_RANKED} SELECT term_id, {_RANK_OUT} FROM ag")
 def _(t):
     """Same metrics through the path for groups too large for one task."""
-    return M.group_ranking_metrics(roles.graded_events(t), "term_id", "item_id", "label", "score", small_rows=0)
+    return M.group_ranking_metrics(roles.graded_events(t), "term_id", "item_id", "label", "score")
 
 
 @query(

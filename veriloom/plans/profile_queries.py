@@ -104,7 +104,7 @@ def _(t):
 @query("Q4_describe_by_brackets", _describe_sql("lineitem", ["l_extendedprice"]))
 def _(t):
     """The path for columns with too many distinct values for one aggregate."""
-    return P.describe_numeric(t.lineitem, ["l_extendedprice"], small_distinct=0)
+    return P.describe_numeric(t.lineitem, ["l_extendedprice"])
 
 
 @query(

@@ -110,14 +110,14 @@ def _(t):
 )
 def _(t):
     """The path for groups too large for one task, taken here on purpose."""
-    return rank_by_value(t.events.select("user_id", "event_id", "value"), "value", "event_id", "rank", ["user_id"], small_rows=0).select(
+    return rank_by_value(t.events.select("user_id", "event_id", "value"), "value", "event_id", "rank", ["user_id"]).select(
         "user_id", "event_id", "rank"
     )
 
 
 @query("W2_global_rank", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders")
 def _(t):
-    return rank_by_value(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", "rank", small_rows=0).select("o_orderkey", "rank")
+    return rank_by_value(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", "rank").select("o_orderkey", "rank")
 
 
 @query("W3_dense_group_code", "SELECT event_id, user_id, CAST(dense_rank() OVER (ORDER BY user_id) - 1 AS INTEGER) AS code FROM events")

@@ -87,8 +87,7 @@ def _grid_sql() -> str:
 @query("R4_bm25_grid", _grid_sql())
 def _(t):
     index = roles.index(t)
-    scores = R.bm25_scores(index, roles.passages(t), "term_id", "query", tuple(_GRID))
-    return R.best(scores, ["k1", "b", "term_id"], "doc_id", 10)
+    return R.search_bm25_grid(index, roles.passages(t), "term_id", "query", _GRID, 10)
 
 
 def _variant_sql(variant: str, text: str) -> str:

@@ -6,7 +6,7 @@ expression for the oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_unit
@@ -216,40 +216,44 @@ def _judgments(t) -> DataFrame:
     A contained passage brings along every run of its inner words, so an
     equality join on one run of up to six of them finds all candidates and the
     containment test only confirms them. Passages of one or two words have no
-    inner word; blocks of them are tested while the documents are read.
+    inner word; their first characters, up to four, are looked up instead. Both
+    kinds of digest are plain longs: distinct per document, and met by the few
+    wanted ones under Spark's own size check. Digests of a kind that no passage
+    needs are not made.
     """
-    passages_ = t.benchmark.select(F.col("item_id").alias("term_id"), F.col("text").alias("passage"), F.split("text", r"\s+").alias("ws"))
-    width = F.least(F.lit(6), F.size("ws") - 2)
-    probe = passages_.where(F.size("ws") > 2).select(
-        "term_id", "passage", width.alias("width"), F.xxhash64(F.array_join(F.slice("ws", F.lit(2), width), " ")).alias("run")
-    )
-    widths = [r[0] for r in probe.select("width").distinct().collect()]  # at most six numbers
-    docs = t.documents.select("doc_id", "text", F.split("text", r"\s+").alias("ws"))
-
-    def runs(w: int):
-        starts = F.sequence(F.lit(1), F.size("ws") - w + 1)
-        hashed = F.transform(starts, lambda i: F.struct(F.lit(w).alias("width"), F.xxhash64(F.array_join(F.slice("ws", i, F.lit(w)), " ")).alias("run")))
-        return F.when(F.size("ws") >= w, F.array_distinct(hashed)).otherwise(F.array().cast("array<struct<width:int,run:bigint>>"))
-
-    found = []
-    if widths:
-        entries = docs.select("doc_id", F.explode(F.flatten(F.array(*[runs(w) for w in widths]))).alias("e")).select("doc_id", "e.*")
-        candidates = entries.join(probe, ["width", "run"]).select("term_id", "doc_id", "passage").distinct()
-        found.append(candidates.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select("term_id", "doc_id"))
-    short = passages_.where(F.size("ws") <= 2).select("term_id", "passage")
-    block: list = []
-    for row in [*short.toLocalIterator(), None]:
-        if row is not None:
-            block.append(row)
-        if block and (row is None or len(block) == 1000):
-            known = F.array(*[F.struct(F.lit(r["term_id"]).alias("term_id"), F.lit(r["passage"]).alias("passage")) for r in block])
-            hits = F.filter(known, lambda p: F.contains(F.col("text"), p["passage"]))
-            found.append(docs.select("doc_id", F.explode(hits).alias("h")).select("h.term_id", "doc_id"))
-            block = []
-    whole = found[0] if found else docs.select(F.lit(0).cast("long").alias("term_id"), "doc_id").limit(0)
-    for part in found[1:]:
-        whole = whole.unionByName(part)
-    return whole.select("term_id", F.col("doc_id").alias("item_id"), F.lit(1).alias("relevance_label"))
+    split = F.split("text", r"\s+").alias("ws")
+    wanted = t.benchmark.where("text is not null").select(F.col("item_id").alias("term_id"), F.col("text").alias("passage"), split)
+    inner, head = F.least(F.lit(6), F.size("ws") - 2), F.least(F.lit(4), F.length("passage"))
+    wanted = wanted.withColumn("inner", F.greatest(inner, F.lit(0))).withColumn("head", F.when(inner > 0, F.lit(0)).otherwise(head))
+    kinds = [tuple(r) for r in wanted.select("inner", "head").distinct().collect()]  # at most six and five numbers
+    docs = t.documents.select("doc_id", "text", split, F.split("text", "").alias("cs"))
+
+    def runs(items: str, n: int, first: Column) -> Column:
+        """Digests of all runs of ``n`` items."""
+        digest = F.transform(first, lambda i: F.xxhash64(F.lit(n), *[F.get(items, i + k) for k in range(n)]))
+        return F.when(F.size(items) >= n, F.array_distinct(digest)).otherwise(F.array().cast("array<bigint>"))
+
+    def everywhere(items: str, n: int) -> Column:
+        return runs(items, n, F.sequence(F.lit(0), F.size(items) - n))
+
+    found = docs.select(F.lit(0).cast("long").alias("term_id"), "doc_id").limit(0)
+    if any(n for kind in kinds for n in kind):
+        widths, heads = sorted({w for w, _ in kinds if w}), sorted({h for _, h in kinds if h})
+        own = F.coalesce(
+            *[F.when(F.col("inner") == w, runs("ws", w, F.array(F.lit(1)))) for w in widths],
+            *[F.when(F.col("head") == h, runs("cs", h, F.array(F.lit(0)))) for h in heads],
+        )
+        probe = wanted.where("inner > 0 or head > 0").withColumn("cs", F.split("passage", "")).select("term_id", "passage", F.get(own, F.lit(0)).alias("run"))
+        made = F.flatten(F.array(*[everywhere("ws", w) for w in widths], *[everywhere("cs", h) for h in heads]))
+        entries = docs.select("doc_id", F.explode(made).alias("run"))
+        candidates = entries.join(probe, "run").select("term_id", "doc_id", "passage").distinct()
+        found = found.unionByName(
+            candidates.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select("term_id", "doc_id")
+        )
+    if (0, 0) in kinds:  # an empty passage is in every text
+        blank = wanted.where("passage = ''").agg(F.collect_list("term_id")).scalar()
+        found = found.unionByName(docs.where("text is not null").select(F.explode(blank).alias("term_id"), "doc_id"))
+    return found.select("term_id", F.col("doc_id").alias("item_id"), F.lit(1).alias("relevance_label"))
 
 
 JUDGMENTS = """judgments AS (
@@ -296,7 +300,7 @@ def index(t, analyzer: str = "word", ngrams: int = 1):
     return _once(
         t,
         f"index_{analyzer}_{ngrams}",
-        lambda: R.build_index(t.documents, "doc_id", "text", analyzer=analyzer, ngrams=ngrams).persist(),
+        lambda: R.build_index(t.documents, "doc_id", "text", analyzer=analyzer, ngrams=ngrams),
     )
 
 

@@ -111,6 +111,20 @@ def _(t):
     return files.file_inventory(t.spark, {n: t.path(n) for n in TABLE_NAMES})
 
 
+def _contents_sql(name: str) -> str:
+    columns = f"SELECT string_agg(column_name, ',' ORDER BY ordinal_position) AS columns, count(*) AS n FROM information_schema.columns WHERE table_name = '{name}'"
+    return f"SELECT '{name}' AS table_name, (SELECT count(*) FROM {name}) AS row_count, n AS column_count, columns, true AS readable FROM ({columns})"
+
+
+@query("S9_file_contents", " UNION ALL ".join(_contents_sql(n) for n in TABLE_NAMES))
+def _(t):
+    """Rows and columns as the files themselves state them."""
+    inventory = files.file_inventory(t.spark, {n: t.path(n) for n in TABLE_NAMES})
+    return inventory.groupBy("table_name").agg(
+        F.sum("row_count").alias("row_count"), F.max("column_count").cast("long").alias("column_count"), F.max("columns").alias("columns"), F.bool_and("readable").alias("readable")
+    )
+
+
 @query("S10_inventory_summary")
 def _(t):
     return files.inventory_summary(files.file_inventory(t.spark, {n: t.path(n) for n in TABLE_NAMES}))

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import csv
 import hashlib
+import io
+import json
 import re
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.scalars import blank_to_empty, literal_rows
-from ..operators.ordered import running, value_buckets
+from ..functions.scalars import blank_to_empty
+from ..operators.ordered import running_in_order
 
 CHUNK = 1 << 22  # bytes of a file in memory at a time
 
@@ -67,7 +70,7 @@ def assemble_records(lines: DataFrame, source: str, number: str, line: str) -> D
     file are ordered by ``number``.
     """
     labelled = (F.instr(F.col(line), "\t") > 0).cast("long")
-    upto = running(lines, [F.col(number)], {"_labels": labelled}, value_buckets(lines, number), [source])
+    upto = running_in_order(lines, [F.col(number)], {"_labels": labelled}, [source])
     numbered = upto.withColumn("record", F.col("_labels") - labelled)
     grouped = numbered.groupBy(source, "record").agg(
         F.array_join(
@@ -83,42 +86,35 @@ def assemble_records(lines: DataFrame, source: str, number: str, line: str) -> D
     ).where((F.col("text") != "") | F.col("label").isNotNull())
 
 
+INVENTORY = """path string, sha256 string, readable boolean, row_count long, column_count int, columns string"""
+#: Endings that carry no format of their own.
+PACKED = {"gz": "gzip", "bz2": "bz2", "zst": "zstd"}
+
+
 def file_inventory(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
-    """One row per file: path, extension, size, digest, rows, columns.
+    """One row per file below the paths of ``tables``: size, digest, format, rows and columns.
 
-    Sizes come from one listing of all paths. Digests read each file in chunks
-    inside its task, whatever its size; row counts read no columns; schemas
-    come from the footers Spark reads anyway.
+    Paths come from Spark's listing; each file is opened once, inside a task,
+    and read in chunks, whatever its size. Parquet counts come from the footer,
+    CSV and JSON counts from the records. A file that cannot be read as what its
+    ending says has ``readable`` false and no counts; other files are digested
+    only. So one broken file is a row of the result, not the end of the job.
     """
-    paths = list(tables.values())
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    facts = listing.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
-    digests = listing.select("path").mapInArrow(_digest_files, "path string, sha256 string")
-    frames, schemas = [], []
+    listing = None
     for name, path in tables.items():
-        df = spark.read.parquet(path)
-        frames.append(
-            df.groupBy(F.col("_metadata.file_path").alias("path"))
-            .agg(F.count(F.lit(1)).alias("row_count"))
-            .withColumn("table_name", F.lit(name))
-        )
-        schemas.append((name, len(df.columns), ",".join(df.columns)))
-    rows = frames[0]
-    for f in frames[1:]:
-        rows = rows.unionByName(f)
-    columns = literal_rows(spark, schemas, "table_name string, column_count int, columns string")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        part = files.select(F.lit(name).alias("table_name"), "path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
+        listing = part if listing is None else listing.unionByName(part)
+    facts = listing.select("path").mapInArrow(_inspect_files, INVENTORY)
     return (
-        facts.withColumn("path", _plain_path("path"))
-        .join(digests.withColumn("path", _plain_path("path")), "path", "left")
-        .join(rows.withColumn("path", _plain_path("path")), "path", "left")
-        .join(F.broadcast(columns), "table_name", "left")
+        listing.join(facts, "path", "left")
         .select(
             "table_name",
             F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
             F.regexp_extract("path", r"(\.[^./]+)$", 1).alias("extension"),
             "size_bytes",
             "sha256",
-            F.col("row_count").isNotNull().alias("readable"),
+            "readable",
             "row_count",
             "column_count",
             "columns",
@@ -127,19 +123,60 @@ def file_inventory(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
     )
 
 
-def _digest_files(batches):
+def _contents(store: fs.FileSystem, name: str) -> tuple[int | None, list[str] | None]:
+    """(rows, column names) by the ending of the file name; nothing for other formats."""
+    endings = name.rsplit("/", 1)[-1].lower().split(".")[1:]
+    packing = PACKED.get(endings[-1]) if endings else None
+    kind = (endings[:-1] if packing else endings)[-1:]
+    if kind == ["parquet"]:
+        with store.open_input_file(name) as source:
+            footer = pq.ParquetFile(source)
+            return footer.metadata.num_rows, footer.schema_arrow.names
+    if kind in (["csv"], ["json"], ["jsonl"]):
+        with store.open_input_stream(name, compression=packing) as source:
+            if kind == ["csv"]:
+                return _csv_contents(source)
+            return _json_contents(source)
+    return None, None
+
+
+def _csv_contents(source) -> tuple[int, list[str]]:
+    """Records of a header CSV; quoted fields may hold line ends."""
+    text = io.TextIOWrapper(source, encoding="utf-8-sig", newline="")
+    head = text.readline()
+    fields = {c: next(csv.reader([head], delimiter=c), []) for c in (",", ";")}
+    separator = max(fields, key=lambda c: len(fields[c]))
+    return sum(1 for row in csv.reader(text, delimiter=separator) if row), fields[separator]
+
+
+def _json_contents(source) -> tuple[int, list[str]]:
+    """Objects of a file of JSON lines, and all their names in order of first use."""
+    rows, names = 0, {}
+    for line in io.TextIOWrapper(source, encoding="utf-8"):
+        if line.strip():
+            names |= dict.fromkeys(json.loads(line))
+            rows += 1
+    return rows, list(names)
+
+
+def _inspect_files(batches):
     for batch in batches:
         for path in batch.column(0).to_pylist():
-            store, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
-            digest = hashlib.sha256()
-            with store.open_input_stream(name) as source:
-                while block := source.read(CHUNK):
-                    digest.update(block)
-            yield pa.RecordBatch.from_pydict({"path": [path], "sha256": [digest.hexdigest()]})
-
-
-def _plain_path(c: str):
-    return F.regexp_replace(F.col(c), r"^[a-z0-9]+:/+", "/")
+            sha256 = rows = names = None
+            try:
+                store, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                digest = hashlib.sha256()
+                with store.open_input_stream(name, compression=None) as source:
+                    while block := source.read(CHUNK):
+                        digest.update(block)
+                sha256 = digest.hexdigest()
+                rows, names = _contents(store, name)
+                readable = True
+            except (OSError, ValueError, csv.Error, AttributeError, TypeError):  # broken contents, whatever the format calls them
+                readable = False
+            found = [path, sha256, readable, rows, None if names is None else len(names), None if names is None else ",".join(names)]
+            kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(found, kinds)], [c.split()[0] for c in INVENTORY.split(", ")])
 
 
 def inventory_summary(inventory: DataFrame) -> DataFrame:
