@@ -65,16 +65,23 @@ def test_sketches_estimate_and_never_drop_links():
         assert abs(np.mean([odd_sketches.similarity(o) for o in odds]) - share) < 0.03
 
 
-def test_faced_blocks_give_all_possible_pairs():
-    r = np.random.default_rng(9)
-    base = r.integers(-(2**63), 2**63 - 1, 16)
-    block = [{"node": k, "n": 100 + k, "root": k % 3, "sketch": (base ^ (r.integers(-(2**63), 2**63 - 1, 16) * (r.random(16) < 0.4))).tolist()} for k in range(60)]
-    kind = pa.list_(pa.struct([("node", pa.int64()), ("n", pa.int32()), ("root", pa.int64()), ("sketch", pa.list_(pa.int64()))]))
+def test_faced_blocks_give_all_links(monkeypatch):
+    monkeypatch.setattr(odd_sketches, "WIDE", 16)
+    r = random.Random(9)
+    texts = [f"t{k % 5} " + " ".join(f"w{k % 5}_{j}" if r.random() > 0.04 else f"x{r.randrange(10**6)}" for j in range(60)) for k in range(60)]
+    sets = [s for _, s in shingling.sets(pa.array(texts), 2)]
+    samples = odd_sketches.samples_of(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    sketches = odd_sketches.sketches_of(samples)
+    block = [{"node": k, "n": len(s), "root": k % 7, "sketch": sketches[k].tolist(), "shingles": s.view(np.int64).tolist()} for k, s in enumerate(sets)]
+    longs = pa.list_(pa.int64())
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("n", pa.int64()), ("root", pa.int64()), ("sketch", longs), ("shingles", longs)]))
     batch = pa.RecordBatch.from_arrays([pa.array([block], kind), pa.array([block], kind)], ["held", "faced"])
     got = {(a, b) for out in odd_sketches._face(80)([batch]) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
-    odd = lambda x, y: sum(((v ^ w) & (2**64 - 1)).bit_count() for v, w in zip(x["sketch"], y["sketch"]))
-    want = {(x["node"], y["node"]) for x in block for y in block if x["node"] < y["node"] and x["root"] != y["root"] and 100 * x["n"] >= 80 * y["n"] and odd(x, y) <= odd_sketches.most_odd()}
-    assert got == want and want
+    link = lambda x, y: 100 * len(set(x.tolist()) & set(y.tolist())) >= 80 * len(set(x.tolist()) | set(y.tolist()))
+    want = {(x, y) for x in range(60) for y in range(x + 1, 60) if x % 7 != y % 7 and link(sets[x], sets[y])}
+    assert got <= want and want and len(got) < len(want)
+    # Every class has a link to every component that it links to.
+    assert {(x, y % 7) for a, b in got for x, y in ((a, b), (b, a))} == {(x, y % 7) for a, b in want for x, y in ((a, b), (b, a))}
 
 
 def test_samples_follow_similarity():

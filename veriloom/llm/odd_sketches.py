@@ -19,8 +19,10 @@ Groups of thousands never meet pair by pair. First each class is compared with
 one other, of the best connected members of its bands the one it shares most
 bands with; the links are merged to components. Then classes of one band that
 are still apart meet: in short bands by a join, in long bands once under their
-best connected member, in blocks of a bounded size whose sketches are compared
-inside the tasks. The list of block pairs is dealt out by block, not by group.
+best connected member, in blocks of a bounded size. A task compares the
+sketches of two blocks and counts what the remaining pairs share on whole sets,
+so only links leave it. The list of block pairs is dealt out by block, not by
+group.
 
 Null and empty texts, and texts without words, have no shingles and no links; a
 text of one word is one shingle. Whole texts are read, however long. Repeated
@@ -49,7 +51,9 @@ BANDS, ROWS = 52, 5
 BITS = 1024
 #: Bands with more classes than this are compared in blocks of about ``BLOCK`` classes.
 LONG_BAND = 16
-BLOCK = 1024
+BLOCK = 512
+#: Shingles whose membership is multiplied at once.
+WIDE = 4096
 #: Parts into which rows that meet one family's number of blocks are spread.
 SPREAD = 32
 _U = np.uint64
@@ -176,12 +180,17 @@ def _wanted_sets(batches):
         )
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """The pairs whose whole sets reach the threshold; only the texts of their classes are read again."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets_of(nodes: DataFrame, texts: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """(node, shingles) of some classes; only their texts are read again."""
     wanted = classes.join(nodes, "node", "left_semi").select(F.col("node").alias("id"), "h", "node", "k1", "k2")
     found = texts.join(wanted, ["id", "h"]).select("text", "node", "k1", "k2").mapInArrow(_wanted_sets, "node long, shingles array<long>")
-    held = through_table(found.distinct(), "sets")
+    return through_table(found.distinct(), name)
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """The pairs whose whole sets reach the threshold."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    held = _sets_of(nodes, texts, classes, "sets")
     left = held.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
     right = held.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
@@ -189,32 +198,76 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, threshold
     return through_table(pairs.join(left, "a").join(right, "b").where(100 * both >= threshold * union).select("a", "b").distinct(), "links")
 
 
+class _Block:
+    """Classes of one block as arrays."""
+
+    def __init__(self, held: pa.StructArray) -> None:
+        self.node, self.n, self.root = (held.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("node", "n", "root"))
+        sketch, sets_ = held.field("sketch"), held.field("shingles")
+        self.sketch = sketch.flatten().to_numpy(zero_copy_only=False).reshape(len(self.n), -1).view(_U)  # numpy counts the bits of absolute values
+        self.flat = sets_.flatten().to_numpy(zero_copy_only=False)
+        self.owner = np.repeat(np.arange(len(self.n)), self.n)
+
+
+def shared_sizes(one: _Block, two: _Block, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Sizes of all intersections between chosen sets, exactly: products of membership matrices, a few shingles at a time."""
+    place, other = np.full(len(one.n), -1), np.full(len(two.n), -1)
+    place[rows], other[columns] = np.arange(len(rows)), np.arange(len(columns))
+    mine, yours = place[one.owner] >= 0, other[two.owner] >= 0
+    a, b = one.flat[mine], two.flat[yours]
+    common = np.intersect1d(a, b)
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for first in range(0, len(common), WIDE):
+        some = common[first : first + WIDE]
+        sides = []
+        for values, owner, size in ((a, place[one.owner[mine]], len(rows)), (b, other[two.owner[yours]], len(columns))):
+            at = np.minimum(np.searchsorted(some, values), len(some) - 1)
+            here = some[at] == values
+            member = np.zeros((size, len(some)), np.float32)
+            member[owner[here], at[here]] = 1
+            sides.append(member)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
 def _face(threshold: int):
-    """Pairs of two blocks of classes that are apart and whose sizes and sketches allow the threshold."""
-    most = most_odd(threshold)
+    """Links between two blocks of classes; of those from a class to one component, the first.
 
-    def load(block):
-        n, root, node = (np.array([x[c] for x in block], np.int64) for c in ("n", "root", "node"))
-        return n, root, node, np.array([x["sketch"] for x in block], np.int64).view(_U)  # numpy counts the bits of absolute values
+    Only pairs in different components whose sizes and sketches allow the
+    threshold are counted on whole sets, inside the task.
+    """
+    most = most_odd(threshold)
 
     def run(batches):
         for batch in batches:
-            for mine, yours in zip(batch.column(0), batch.column(1)):
-                (n, root, node, sketch), (n2, root2, node2, sketch2) = load(mine.as_py()), load(yours.as_py())
-                for i in range(len(n)):
-                    at = np.flatnonzero((root2 != root[i]) & (100 * np.minimum(n2, n[i]) >= threshold * np.maximum(n2, n[i])))
-                    at = at[np.bitwise_count(sketch2[at] ^ sketch[i]).sum(1) <= most]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node2[at], node[i])), pa.array(np.maximum(node2[at], node[i]))], ["a", "b"])
+            for k in range(len(batch)):
+                one, two = _Block(batch.column(0)[k].values), _Block(batch.column(1)[k].values)
+                possible = np.zeros((len(one.n), len(two.n)), bool)
+                for i in range(len(one.n)):
+                    at = np.flatnonzero((two.root != one.root[i]) & (100 * np.minimum(two.n, one.n[i]) >= threshold * np.maximum(two.n, one.n[i])))
+                    possible[i, at[np.bitwise_count(two.sketch[at] ^ one.sketch[i]).sum(1) <= most]] = True
+                rows, columns = np.flatnonzero(possible.any(1)), np.flatnonzero(possible.any(0))
+                if not len(rows):
+                    continue
+                both = shared_sizes(one, two, rows, columns)
+                union = one.n[rows][:, None] + two.n[columns][None, :] - both
+                linked = possible[np.ix_(rows, columns)] & (100 * both >= threshold * union)
+                i, j = np.nonzero(linked)
+                if len(i):
+                    _, first = np.unique(np.stack([i, two.root[columns[j]]]), axis=1, return_index=True)
+                    a, b = one.node[rows[i[first]]], two.node[columns[j[first]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 
 
-def _families(apart: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Candidate pairs of long bands: families under one hub, in blocks that face each other."""
-    family = apart.groupBy("hub", "node").agg(F.first("root").alias("root")).join(classes.select("node", "n", "sketch"), "node")
+def _families(apart: DataFrame, texts: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Links in long bands: families under one hub, in blocks that face each other."""
+    members = apart.groupBy("hub", "node").agg(F.first("root").alias("root"))
+    held = _sets_of(members.select("node").distinct(), texts, classes, "family-sets")
+    family = members.join(classes.select("node", "n", "sketch"), "node").join(held, "node")
     # Blocks hold members of the family's largest component or others, so blocks of one component never meet.
-    sizes = family.groupBy("hub", "root").agg(F.count("*").alias("c"))
+    sizes = members.groupBy("hub", "root").agg(F.count("*").alias("c"))
     dealt = sizes.groupBy("hub").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"), F.max(F.struct("c", "root")).alias("top"))
     dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     blocks = through_table(
@@ -222,15 +275,15 @@ def _families(apart: DataFrame, classes: DataFrame, threshold: int) -> DataFrame
         .join(dealt, ["hub", "part"])
         .withColumn("block", 2 * F.pmod(F.xxhash64("node"), "blocks").cast("int") + (F.col("root") == F.col("top.root")).cast("int"))
         .groupBy("hub", "block")
-        .agg(F.collect_list(F.struct("node", "n", "root", "sketch")).alias("held"), F.min("root").alias("low"), F.max("root").alias("high")),
+        .agg(F.collect_list(F.struct("node", "n", "root", "sketch", "shingles")).alias("held"), F.min("root").alias("low"), F.max("root").alias("high")),
         "blocks",
     )
     listed = blocks.select("hub", "block", "low", "high")
     other = listed.select("hub", F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     facing = listed.join(other, "hub").where("block <= other and not (low = high and low2 = high2 and low = low2)").select("hub", "block", "other")
-    held = facing.join(blocks.select("hub", "block", "held"), ["hub", "block"])
-    held = held.join(blocks.select("hub", F.col("block").alias("other"), F.col("held").alias("faced")), ["hub", "other"])
-    return held.select("held", "faced").mapInArrow(_face(threshold), "a long, b long")
+    pairs = facing.join(blocks.select("hub", "block", "held"), ["hub", "block"])
+    pairs = pairs.join(blocks.select("hub", F.col("block").alias("other"), F.col("held").alias("faced")), ["hub", "other"])
+    return through_table(pairs.select("held", "faced").mapInArrow(_face(threshold), "a long, b long").distinct(), "links")
 
 
 def near_copies(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,14 +320,15 @@ def near_copies(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
     short = apart.where(F.col("size") <= LONG_BAND)
     side = lambda name: short.select("band", F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
     met = side("a").join(side("b"), "band").where("a < b and a_root <> b_root").select("a", "b").distinct()
-    rest = _screened(met, classes, threshold).union(_families(apart.where(F.col("size") > LONG_BAND), classes, threshold))
-    second = _confirmed(through_table(rest.distinct().join(stars, ["a", "b"], "left_anti"), "pairs"), texts, classes, threshold)
+    rest = _screened(met, classes, threshold).join(stars, ["a", "b"], "left_anti")
+    second = _confirmed(through_table(rest, "pairs"), texts, classes, threshold)
+    third = _families(apart.where(F.col("size") > LONG_BAND), texts, classes, threshold)
 
     # Rows of one id in several classes tie these together.
     own = digests.where("n > 0 and id is not null").select("id", "k1", "k2").distinct()
     several = own.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
     tied = own.join(several, "id").join(classes.select("k1", "k2", "node"), ["k1", "k2"]).select(F.col("id").alias("a"), F.col("node").alias("b"))
-    merged = components(first.union(second).union(tied))
+    merged = components(first.union(second).union(third).union(tied))
     named = classes.select("k1", "k2", "node").join(merged, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component"))
     component = F.coalesce("component", "id")
     return digests.select("id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select(
