@@ -6,9 +6,10 @@ import pytest
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml import Pipeline
+from pyspark.sql import functions as F
 
 from veriloom import session
-from veriloom.operators import contracts, features, models, sampling, scoring, stats
+from veriloom.operators import contracts, features, relevance, sampling, scoring, stats
 from veriloom.plans import roles
 from veriloom.sources import files
 
@@ -98,13 +99,16 @@ def test_pair_weights_are_metric_changes(spark):
             total += y * hits / k
         return total / sum(order)
 
-    got = models._ranked_pairs(df, "g", "item", "y", ["f"], "item", 4, "map").collect()
-    assert len(got) == 8
-    for r in got:
-        swapped = list(labels)
-        p, n = r["positive"] - 1, r["negative"] - 1
-        swapped[p], swapped[n] = swapped[n], swapped[p]
-        assert r["pair_weight"] == pytest.approx(abs(precision(swapped) - precision(labels)) + 1e-6)
+    for top in (None, 2):
+        got = relevance.weighted_pairs(df.withColumn("s", -F.col("item")), "g", "item", "y", ["f"], "s", "map", top).collect()
+        assert len(got) == (8 if top is None else 4)
+        for r in got:
+            swapped = list(labels)
+            p, n = r["positive"] - 1, r["negative"] - 1
+            assert (r["rank_pos"], r["rank_neg"]) == (p + 1, n + 1) and r["d_f"] == p - n
+            assert top is None or min(p, n) < top
+            swapped[p], swapped[n] = swapped[n], swapped[p]
+            assert r["pair_weight"] == pytest.approx(abs(precision(swapped) - precision(labels)) + 1e-6)
 
 
 def test_a_cluster_must_name_its_shared_folder():

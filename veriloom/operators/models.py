@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
@@ -39,9 +40,8 @@ from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasLabelCol, HasO
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as T
 from ..functions.scalars import literal_rows
@@ -82,12 +82,18 @@ class ModeImputerModel(Model, HasInputCols, HasOutputCols, DefaultParamsReadable
         return dataset.withColumns({out: F.coalesce(F.col(c).cast("string"), F.lit(m)) for c, out, m in fills})
 
 
-_VECTOR = StructType([StructField("v", VectorUDT())])
-_PARTS = "v struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+@F.arrow_udf(returnType=VectorUDT())
+def _damped(vectors: pa.Array) -> pa.Array:
+    """``1 + ln(count)`` for all counts of a batch at once."""
+    counts = vectors.field("values")
+    offsets = counts.offsets.to_numpy()
+    flat = pa.array(1 + np.log(counts.flatten().to_numpy(zero_copy_only=False)))
+    parts = [vectors.field(c) for c in ("type", "size", "indices")]
+    return pa.StructArray.from_arrays([*parts, pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), flat)], ["type", "size", "indices", "values"])
 
 
 class SublinearCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Counts of a sparse vector replaced by ``1 + ln(count)``, in the JVM."""
+    """Counts of a sparse vector replaced by ``1 + ln(count)``."""
 
     @keyword_only
     def __init__(self, *, inputCol=None, outputCol=None):
@@ -95,14 +101,7 @@ class SublinearCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        parts = F.from_json(F.to_json(F.struct(F.col(self.getInputCol()).alias("v"))), _PARTS)["v"]
-        scaled = F.struct(
-            parts["type"].alias("type"),
-            parts["size"].alias("size"),
-            parts["indices"].alias("indices"),
-            F.transform(parts["values"], lambda x: 1 + F.log(x)).alias("values"),
-        )
-        return dataset.withColumn(self.getOutputCol(), F.from_json(F.to_json(F.struct(scaled.alias("v"))), _VECTOR)["v"])
+        return dataset.withColumn(self.getOutputCol(), _damped(F.col(self.getInputCol())))
 
 
 class SmoothIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -183,12 +182,15 @@ def tabular_stages(numeric: list[str], categorical: list[str], output: str = "fe
     ]
 
 
-def text_stages(column: str, output: str, analyzer: str = "word", max_features: int = 12_000, min_df: float = 2.0) -> list:
-    """Sublinear, smoothed, unit-length TF-IDF of one text column."""
+def text_stages(
+    column: str, output: str, analyzer: str = "word", max_features: int = 20_000, min_df: float = 2.0, max_df: float | None = None
+) -> list:
+    """Sublinear, smoothed, unit-length TF-IDF of one text column; ``max_df`` below 1 is a share of the documents."""
+    limits = {"minDF": min_df, **({} if max_df is None else {"maxDF": max_df})}
     p = f"_{output}"
     return [
         Terms(inputCol=column, outputCol=f"{p}_terms", analyzer=analyzer),
-        CountVectorizer(inputCol=f"{p}_terms", outputCol=f"{p}_counts", vocabSize=max_features, minDF=min_df),
+        CountVectorizer(inputCol=f"{p}_terms", outputCol=f"{p}_counts", vocabSize=max_features, **limits),
         SublinearCounts(inputCol=f"{p}_counts", outputCol=f"{p}_tf"),
         SmoothIdf(inputCol=f"{p}_tf", outputCol=f"{p}_weighted"),
         Normalizer(inputCol=f"{p}_weighted", outputCol=output, p=2.0),
@@ -297,7 +299,7 @@ def balanced_weights(df: DataFrame, label: str, name: str = "class_weight") -> D
     """Row weight ``n / (classes * rows of the class)`` for a 0/1 label."""
     n = df.agg(F.count(F.lit(1))).scalar()
     pos = df.agg(F.count_if(F.col(label) == 1)).scalar()
-    return df.withColumn(name, F.when(F.col(label) == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))))
+    return df.withColumn(name, F.when(F.col(label) == 1, F.try_divide(n, 2 * pos)).otherwise(F.try_divide(n, 2 * (n - pos))))
 
 
 def prior_scores(train: DataFrame, df: DataFrame, label: str, name: str = "score") -> DataFrame:
@@ -405,8 +407,9 @@ def fit_isotonic(scored: DataFrame, score: str, label: str):
     return IsotonicRegression(featuresCol="_x", labelCol="_y", predictionCol="calibrated").fit(prepared)
 
 
-def apply_isotonic(model, df: DataFrame, score: str) -> DataFrame:
-    return model.transform(df.withColumn("_x", F.col(score).cast("double"))).drop("_x")
+def apply_isotonic(model, df: DataFrame, score: str, name: str = "calibrated") -> DataFrame:
+    fitted = model.copy({model.predictionCol: name})
+    return fitted.transform(df.withColumn("_x", F.col(score).cast("double"))).drop("_x")
 
 
 def calibration_summary(scored: DataFrame, label: str, score: str, name: str) -> DataFrame:
@@ -443,17 +446,8 @@ def ranking_pairs(df: DataFrame, group: str, item: str, label: str, features: li
     return joined.select(group, "positive", "negative", *[(F.col(f"_p_{f}") - F.col(f"_n_{f}")).alias(f"d_{f}") for f in features])
 
 
-def fit_ranker(df: DataFrame, group: str, item: str, label: str, features: list[str], objective: str = "pairwise", rank: str | None = None, per_item: int = 4):
-    """Linear ranker on feature differences.
-
-    ``pairwise`` weighs pairs equally; ``ndcg`` and ``map`` weigh a pair by
-    how much swapping its first-stage ranks (column ``rank``) would change
-    NDCG or average precision of its group.
-    """
-    if objective == "pairwise" or not rank:
-        pairs = ranking_pairs(df, group, item, label, features, per_item).withColumn("pair_weight", F.lit(1.0))
-    else:
-        pairs = _ranked_pairs(df, group, item, label, features, rank, per_item, objective)
+def fit_pairs(pairs: DataFrame, features: list[str]) -> PipelineModel:
+    """Linear ranker on the differences ``d_*`` of pairs, each taken both ways, weighted by ``pair_weight``."""
     signed = pairs.withColumn("_sign", F.explode(F.array(F.lit(1.0), F.lit(-1.0)))).select(
         *[(F.col(f"d_{f}") * F.col("_sign")).alias(f) for f in features], ((F.col("_sign") + 1) / 2).alias("_better"), "pair_weight"
     )
@@ -464,35 +458,6 @@ def fit_ranker(df: DataFrame, group: str, item: str, label: str, features: list[
     return Pipeline(stages=stages).fit(signed)
 
 
-def _ranked_pairs(df: DataFrame, group: str, item: str, label: str, features: list[str], rank: str, per_item: int, objective: str) -> DataFrame:
-    """Pairs weighted by the change of NDCG, or of average precision, when the two rows swap their ranks.
-
-    Hits and the sum of 1 / rank over the hits up to a row give both ends of
-    the change of average precision; positives and negatives carry their own
-    figures through the pairing.
-    """
-    hit = (F.col(label) == 1).cast("double")
-    upto = Window.partitionBy(group).orderBy(rank, item).rowsBetween(Window.unboundedPreceding, 0)
-    all_of = df.groupBy(group).agg(F.sum(hit).alias("_hits_all"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_hits_all").cast("int"))), F.lit(0.0), lambda s, k: s + 1 / F.log2(k + 1.0))
-    figured = df.join(all_of, group).withColumns(
-        {"_at": F.col(rank).cast("double"), "_c": F.sum(hit).over(upto), "_s": F.sum(hit / F.col(rank)).over(upto), "_all": F.col("_hits_all"), "_ideal": ideal}
-    )
-    own = ["_at", "_c", "_s", "_all", "_ideal"]
-    sides = {f"{c}{mark}": F.when(F.col(label) == y, F.col(c)).otherwise(0.0) for c in own for mark, y in (("_p", 1), ("_n", 0))}
-    doubled = figured.withColumns(sides).drop(*own, "_hits_all")
-    pairs = ranking_pairs(doubled, group, item, label, [*features, *sides], per_item)
-    value = {c: F.col(f"d_{c}") if c.endswith("_p") else -F.col(f"d_{c}") for c in sides}
-    p, q = value["_at_p"], value["_at_n"]
-    if objective == "ndcg":
-        weight = F.abs(1 / F.log2(p + 1) - 1 / F.log2(q + 1)) / value["_ideal_p"]
-    else:
-        rises = (value["_c_n"] + 1) / q + (value["_s_p"] - 1 / p - value["_s_n"]) - value["_c_p"] / p
-        falls = value["_c_p"] / p + (value["_s_n"] - value["_s_p"]) - value["_c_n"] / q
-        weight = F.when(q < p, rises).otherwise(falls) / value["_all_p"]
-    return pairs.withColumns({"rank_pos": p, "rank_neg": q, "pair_weight": weight + F.lit(1e-6)}).drop(*[f"d_{c}" for c in sides])
-
-
 def apply_ranker(model: PipelineModel, df: DataFrame, features: list[str], name: str = "rank_score") -> DataFrame:
     """Linear score of every row; the learned weights are a handful of literals."""
     weights = model.stages[-1].coefficients.toArray()

@@ -9,14 +9,15 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.text import clean_review
 from ..operators import features as X
 from ..operators import metrics as M
 from ..operators import models as D
+from ..operators import relevance as V
 from ..operators import sampling as S
 from ..operators import scoring as B
 from ..operators import stats as ST
-from ..operators.ordered import rank_by_value
 from ..session import scratch_path
 from . import roles
 from .evaluation_queries import scored_pairs
@@ -89,11 +90,11 @@ def _tabular(estimator):
 
 
 def _text(estimator):
-    return [*D.text_stages("text", "features"), estimator]
+    return [*D.text_stages("text", "features", max_features=20_000, max_df=0.98), estimator]
 
 
 def _fit_and_test(split, stages):
-    model = Pipeline(stages=stages).fit(_part(split, "train"))
+    model = Pipeline(stages=stages).fit(D.balanced_weights(_part(split, "train"), "label"))
     return D.classification_summary(D.with_scores(model, _part(split, "test")), "label")
 
 
@@ -144,7 +145,7 @@ def _(t):
 
 @query("M7_linear_svc")
 def _(t):
-    return _fit_and_test(reviews(t), _text(D.classifier("linear_svc")))
+    return _fit_and_test(reviews(t), _text(D.classifier("linear_svc", weight="class_weight")))
 
 
 @query("M8_naive_bayes")
@@ -154,17 +155,17 @@ def _(t):
 
 @query("M9_decision_tree")
 def _(t):
-    return _fit_and_test(customer_split(t), _tabular(D.classifier("decision_tree")))
+    return _fit_and_test(customer_split(t), _tabular(D.classifier("decision_tree", weight="class_weight")))
 
 
 @query("M9_random_forest")
 def _(t):
-    return _fit_and_test(customer_split(t), _tabular(D.classifier("random_forest")))
+    return _fit_and_test(customer_split(t), _tabular(D.classifier("random_forest", weight="class_weight")))
 
 
 @query("M10_extra_trees_substitute")
 def _(t):
-    return _fit_and_test(customer_split(t), _tabular(D.classifier("extra_trees")))
+    return _fit_and_test(customer_split(t), _tabular(D.classifier("extra_trees", weight="class_weight")))
 
 
 @query("M11_gradient_boosting")
@@ -244,32 +245,43 @@ def _(t):
     return D.out_of_fold(folded, _pair_stages(), "pair", "fold", 3).select("pair", "term_id", "fold", "label", F.round("oof", 6).alias("oof"))
 
 
+@query("M18_stacking")
+def _(t):
+    """Metrics of two base models and of the model stacked on their scores, on groups that none of them saw."""
+    split = pair_split(t)
+    train = roles.stored(t, "stack_train", lambda: S.group_folds(_part(split, "train"), "term_id", 3))
+    bases = {"base_probability": _pair_stages(), "base_margin": _pair_stages("linear_svc")}
+    final = lambda scores: _pair_stages("tuned_logistic", [*PAIR_COLUMNS, *scores])
+    return V.two_levels(train, _part(split, "test"), bases, final, "pair", "label", "fold", 3)
+
+
 @query("M19_calibration")
 def _(t):
-    folded = customer_folds(t)
-    oof = D.out_of_fold(folded, _tabular(D.classifier("linear_svc")), "c_custkey", "fold", 3, "margin").select("c_custkey", "label", "margin")
-    plain = oof.withColumn("p", B.margin_confidence("margin"))
-    platt = D.apply_platt(D.fit_platt(oof, "margin", "label"), oof)
-    isotonic = D.apply_isotonic(D.fit_isotonic(oof, "margin", "label"), oof, "margin")
-    return (
-        D.calibration_summary(plain, "label", "p", "uncalibrated")
-        .unionByName(D.calibration_summary(platt, "label", "calibrated", "sigmoid"))
-        .unionByName(D.calibration_summary(isotonic, "label", "calibrated", "isotonic"))
-    )
+    """Models and calibrators are fitted on training folds and judged on the validation rows."""
+    split = customer_split(t)
+    train = roles.stored(t, "calibration_folds", lambda: S.row_folds(_part(split, "train"), ["c_custkey"], 3, strata=["label"]))
+    rows, stages = _part(split, "validation"), _tabular(D.classifier("linear_svc"))
+    plain = D.with_scores(Pipeline(stages=stages).fit(train), rows, "margin").withColumn("p", B.margin_confidence("margin"))
+    out = D.calibration_summary(plain, "label", "p", "uncalibrated")
+    for method in ("sigmoid", "isotonic"):
+        scored = V.cross_calibrated(train, rows, stages, "label", "fold", 3, method)
+        out = out.unionByName(D.calibration_summary(scored, "label", "calibrated", method))
+    return out
+
+
+# The objectives that are compared, and the ranks that top-k pairs must touch.
+RANKERS = {"pairwise": ("pairwise", None), "ndcg": ("ndcg", None), "ndcg_topk": ("ndcg", 4), "map": ("map", None)}
 
 
 @query("M20_learning_to_rank")
 def _(t):
     split = pair_split(t)
     columns = ["jaccard", "query_coverage", "title_coverage", "attributes_overlap", "bm25"]
-    train = roles.stored(
-        t, "ranked_train", lambda: rank_by_value(_part(split, "train"), "bm25", "doc_id", "first_rank", ["term_id"])
-    )
-    test, out = _part(split, "test"), None
-    for objective in ("pairwise", "ndcg", "map"):
-        model = D.fit_ranker(train, "term_id", "doc_id", "label", columns, objective, None if objective == "pairwise" else "first_rank")
+    train, test, out = _part(split, "train"), _part(split, "test"), None
+    for name, (objective, top) in RANKERS.items():
+        model = V.fit_ranking_rounds(train, "term_id", "doc_id", "label", columns, "bm25", objective, top)
         detail = M.group_ranking_metrics(D.apply_ranker(model, test, columns), "term_id", "doc_id", "label", "rank_score")
-        row = M.mean_metrics(detail, [], ["ndcg_10", "mrr", "recall_10"]).withColumn("objective", F.lit(objective))
+        row = M.mean_metrics(detail, [], ["ndcg_10", "mrr", "recall_10"]).withColumn("objective", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -329,18 +341,37 @@ def _relevance_frame(t):
     product = X.product_document("title", "category", "brand", "attributes")
     text = roles.pairs(t).select("*", product.alias("product_text")).withColumn("pair_text", X.pair_document("query", F.col("product_text")))
     frame = X.pair_features(text, "query", "title", "category", "brand", "attributes").select(
-        "term_id", "doc_id", "label", F.col("query").alias("query_text"), "product_text", "pair_text", *X.PAIR_FEATURES
+        "term_id", "doc_id", "label", T.normalize_basic("query").alias("query_text"), "product_text", "pair_text", *X.PAIR_FEATURES
     )
     return S.split_groups(frame, "term_id")
 
 
 @query("T14_relevance_features")
 def _(t):
-    """Word, character and explicit blocks of the relevance feature set."""
-    split = roles.stored(t, "relevance_frame", lambda: _relevance_frame(t))
-    stages = D.relevance_stages("word", "query_text", "product_text", "pair_text", X.PAIR_FEATURES)
-    model = Pipeline(stages=[*stages, D.classifier("logistic_regression")]).fit(_part(split, "train"))
-    return D.classification_summary(D.with_scores(model, _part(split, "test")), "label")
+    """Word, character and combined blocks beside the explicit columns."""
+    split, out = roles.stored(t, "relevance_frame", lambda: _relevance_frame(t)), None
+    for name in ("word", "char", "combined"):
+        stages = D.relevance_stages(name, "query_text", "product_text", "pair_text", X.PAIR_FEATURES)
+        model = Pipeline(stages=[*stages, D.classifier("logistic_regression")]).fit(_part(split, "train"))
+        row = D.classification_summary(D.with_scores(model, _part(split, "test")), "label").withColumn("feature_set", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _product_pairs(t):
+    """Pairs with the columns of a product; language and source take the places of gender and age group."""
+    return roles.pairs(t).select("*", F.col("doc_id").alias("item_id"), F.col("category").alias("gender"), F.col("brand").alias("age_group"))
+
+
+@query("T14_dense_features")
+def _(t):
+    """The fitted stage, saved and loaded, over training and test groups."""
+    split = roles.stored(t, "product_pairs", lambda: S.split_groups(_product_pairs(t), "term_id"))
+    path = scratch_path(t.spark, "dense-features-model")
+    V.DenseFeatures().fit(_part(split, "train")).write().save(path)
+    model = V.DenseFeaturesModel.load(path)
+    rounded = [F.round(c, 6).alias(c) for c in model.names()]
+    return model.transform(split).select("term_id", "doc_id", "split", *rounded)
 
 
 @query("R17_classifier_ranking")
