@@ -42,6 +42,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as T
 from ..functions.scalars import literal_rows
@@ -82,7 +83,6 @@ class ModeImputerModel(Model, HasInputCols, HasOutputCols, DefaultParamsReadable
         return dataset.withColumns({out: F.coalesce(F.col(c).cast("string"), F.lit(m)) for c, out, m in fills})
 
 
-@F.arrow_udf(returnType=VectorUDT())
 def _damped(vectors: pa.Array) -> pa.Array:
     """``1 + ln(count)`` for all counts of a batch at once."""
     counts = vectors.field("values")
@@ -101,7 +101,15 @@ class SublinearCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.withColumn(self.getOutputCol(), _damped(F.col(self.getInputCol())))
+        name, names = self.getInputCol(), [*dataset.columns, self.getOutputCol()]
+
+        def run(batches):
+            for batch in batches:
+                damped = _damped(batch.column(batch.schema.get_field_index(name)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, damped], names)
+
+        # Whole rows, not a column function: Spark does not take nested lambdas, which make the terms, as its arguments.
+        return dataset.mapInArrow(run, StructType([*dataset.schema, StructField(self.getOutputCol(), VectorUDT())]))
 
 
 class SmoothIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):

@@ -18,7 +18,7 @@ from ..operators import relevance as V
 from ..operators import sampling as S
 from ..operators import scoring as B
 from ..operators import stats as ST
-from ..session import scratch_path
+from ..session import scratch_path, through_table
 from . import roles
 from .evaluation_queries import scored_pairs
 from .registry import query
@@ -262,9 +262,10 @@ def _(t):
     train = roles.stored(t, "calibration_folds", lambda: S.row_folds(_part(split, "train"), ["c_custkey"], 3, strata=["label"]))
     rows, stages = _part(split, "validation"), _tabular(D.classifier("linear_svc"))
     plain = D.with_scores(Pipeline(stages=stages).fit(train), rows, "margin").withColumn("p", B.margin_confidence("margin"))
+    plain = through_table(plain, "scored")
     out = D.calibration_summary(plain, "label", "p", "uncalibrated")
     for method in ("sigmoid", "isotonic"):
-        scored = V.cross_calibrated(train, rows, stages, "label", "fold", 3, method)
+        scored = through_table(V.cross_calibrated(train, rows, stages, "label", "fold", 3, method), "scored")
         out = out.unionByName(D.calibration_summary(scored, "label", "calibrated", method))
     return out
 
