@@ -2,7 +2,9 @@
 
 import hashlib
 import heapq
+import random
 import re
+import time
 import zlib
 
 import brute
@@ -222,3 +224,19 @@ def test_overlaps_and_edges(table):
     text = "4785380592391139 4785380592391139 \U0001f600 x@y.zz"
     r = pseudonyms.pseudonymise(table([(1, text)]), "k").first()
     assert [(s.kind, s.start, s.stop) for s in r["spans"]] == [("card", 0, 16), ("card", 17, 33), ("email", 36, 42)]
+
+
+def test_rows_without_id_are_drawn_and_placed_each_on_its_own(table):
+    rows = [(None, f"text number {k} of many", "a") for k in range(1000)] + [(7, f"another text {k}", "a") for k in range(300)]
+    out = mixing.mix(table(rows, "doc_id long, text string, source string"))
+    got = out.collect()
+    assert 1150 < len(got) < 1450 and len({r["mix_key"] for r in got}) == len(got)
+    assert len({r["text"] for r in got if r["doc_id"] == 7}) > 150
+
+
+def test_one_long_candidate(table):
+    r = random.Random(1)
+    blob = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(100_000))
+    start = time.time()
+    out = secrets.scan(table([(1, f"x {blob} y")])).first()
+    assert time.time() - start < 60 and sum(s["stop"] - s["start"] for s in out["spans"] if s["kind"] == "entropy") > 20_000

@@ -87,9 +87,9 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, exponent: fl
     return F.broadcast(rates) if whole[2] <= BROADCAST_SOURCES else rates
 
 
-def copies(rates: DataFrame, docs: DataFrame, seed: int, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with the rate of its source and the number of copies."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+def copies(rates: DataFrame, docs: DataFrame, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``__v_key``, the rate of its source and the number of copies."""
+    key = F.col("__v_key")
     count = F.aggregate(
         F.transform(
             F.sequence(F.lit(1), F.col("__v_draws")),
@@ -103,7 +103,10 @@ def copies(rates: DataFrame, docs: DataFrame, seed: int, id_col: str = "doc_id")
         lambda a, b: a + b,
     )
     renamed = rates.withColumnRenamed("source", "__v_source")
-    return docs.join(renamed, F.col("source").eqNullSafe(F.col("__v_source")), "inner").withColumn("__v_copies", count)
+    # Id and text together: rows that share an id, or have none, are drawn and placed each on its own.
+    own = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text_of(text_col)))
+    named = docs.withColumn("__v_key", own)
+    return named.join(renamed, F.col("source").eqNullSafe(F.col("__v_source")), "inner").withColumn("__v_copies", count)
 
 
 def mix(
@@ -118,7 +121,7 @@ def mix(
     """The mixture: ``docs`` with ``rate, copy_no, mix_key``, one row per copy, in the order of ``mix_key``."""
     base = without(docs, RESULT)
     counted = copies(source_rates(base, weights, exponent, epochs), base, seed, id_col)
-    key = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.col("copy_no").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    key = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.col("copy_no").cast("string"), F.col("__v_key")))
     out = (
         counted.where("__v_copies > 0")
         .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__v_copies"))))
@@ -150,14 +153,14 @@ WITH sizes AS (
   SELECT source, list(below ORDER BY k) AS cdf FROM entries GROUP BY source
 ), units AS (
   SELECT d.doc_id, r.source, j,
-         CAST(('0x' || substr(md5('7|' || j || '|' || COALESCE(CAST(d.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
+         CAST(('0x' || substr(md5('7|' || j || '|' || COALESCE(CAST(d.doc_id AS VARCHAR), '') || '|' || md5(COALESCE(d.text, ''))), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
   FROM documents d JOIN drawn r ON d.source IS NOT DISTINCT FROM r.source, range(1, 1001) t(j) WHERE j <= r.draws
 ), counted AS (
   SELECT u.doc_id, SUM(len(list_filter(t.cdf, lambda p: p <= u.u))) AS n
   FROM units u JOIN tables t ON u.source IS NOT DISTINCT FROM t.source GROUP BY u.doc_id
 )
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, ROUND(r.rate, 9) AS rate, CAST(c.k AS INTEGER) AS copy_no,
-       substr(md5('order7|' || c.k || '|' || COALESCE(CAST(d.doc_id AS VARCHAR), '')), 1, 16) AS mix_key
+       substr(md5('order7|' || c.k || '|' || COALESCE(CAST(d.doc_id AS VARCHAR), '') || '|' || md5(COALESCE(d.text, ''))), 1, 16) AS mix_key
 FROM documents d JOIN drawn r ON d.source IS NOT DISTINCT FROM r.source JOIN counted n ON n.doc_id = d.doc_id,
      range(1, 1001) c(k) WHERE c.k <= n.n
 """
