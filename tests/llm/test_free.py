@@ -280,6 +280,24 @@ def test_names_within_an_article_drop_no_sections():
         assert wrappers.main_text(wrappers.parse(page.format(a + parts, b)), frozenset()) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body><form id=aspnetForm><div class=content><p>Hello real text</p></div></form></body>", "Hello real text"),
+        ("<body><form><p>Hello real text</p></form></body>", "Hello real text"),
+        ("<body><article><p>Text</p>%s</article></body>", "Text"),
+        ("<body><article><p>Other story</p></article><div class='post-body'><p>The story itself, much longer than the teaser</p></div></body>",
+         "The story itself, much longer than the teaser"),
+        ("<body><form class=search><input></form><article><p>Text</p></article></body>", "Text"),
+    ],
+)
+def test_forms_comments_and_teasers(page, want):
+    added = ["<section class=comments><p>nice</p></section>", "<div id=comments><p>nice</p></div>", "<ol class=comment-list><li>nice</ol>",
+             "<div class=share-buttons>tell</div>", "<div class=related-posts><p>more</p></div>"]
+    for part in added if "%s" in page else [""]:
+        assert wrappers.main_text(wrappers.parse(page.replace("%s", part)), frozenset()) == want
+
+
 def test_template_slots_go(table):
     page = "<body><div><p>Always here</p></div><section><h3>{k}</h3></section></body>"
     rows = [(k, "http://h.org/", page.format(k=f"text {k}")) for k in range(6)]

@@ -81,10 +81,17 @@ FURNITURE = frozenset(
     "modal overlay newsletter subscribe subscription signup login search toolbar widget skip hidden complementary contentinfo "
     "site-header site-footer".split()
 )
+# Whole class names and ids of what readers and sites add below or beside an article's own text.
+ADDED = frozenset(
+    "comments comment-list commentlist comments-area comments-section comment-section comment-respond reader-comments disqus_thread "
+    "share-buttons share-bar share-links social-share social-links related-posts related-articles related-stories recommended-posts "
+    "newsletter-signup ad-slot ad-container".split()
+)
 #: Dropped outside the main region only: an article's own header holds its title.
 HEADERS = frozenset("header masthead".split())
 #: Not dropped by name within an article: their names often repeat titles.
-TITLED = frozenset("section h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TITLED = HEADINGS | {"section"}
 DEEPEST = 300
 CONTENT_WORDS = frozenset("article content post entry story maincontent articlebody".split())
 
@@ -120,6 +127,8 @@ class Element:
                 self.furniture = True
             whole = {token for k in ("class", "role") for token in named.get(k, "").lower().split()}
             self.aside = self.aside or hidden or tag not in TITLED and bool(whole & FURNITURE)
+            named_whole = {token for k in ("class", "id") for token in named.get(k, "").lower().split()}
+            self.aside = self.aside or tag not in HEADINGS and bool(named_whole & ADDED)
             self.header = self.header or bool(words & HEADERS)
             if named.get("role") == "main" or named.get("itemprop", "").lower() == "articlebody":
                 self.content = True
@@ -425,18 +434,23 @@ def main_text(tree: Element, template: frozenset[str]) -> str:
             else:
                 find(c, f"{path}/{c.label}")
 
+    marked: list[tuple[Element, str]] = []
+
     def find_marked(node: Element, path: str) -> None:
+        """Elements marked as content by name that neither are nor hold one of the regions."""
         for c in node.children:
-            if isinstance(c, str) or c.furniture:
+            if isinstance(c, str) or c.furniture and c.tag != "form" or any(c is r for r, _ in regions):
                 continue
-            if c.content:
-                regions.append((c, f"{path}/{c.label}"))
+            if c.content and not (regions and _holds(c, regions)):
+                marked.append((c, f"{path}/{c.label}"))
             else:
                 find_marked(c, f"{path}/{c.label}")
 
     find(tree, "")
-    if not regions:
-        find_marked(tree, "")
+    find_marked(tree, "")
+    # An article element may be a teaser beside the text itself.
+    if marked and sum(_size(r) for r, _ in marked) > 2 * sum(_size(r) for r, _ in regions):
+        regions = marked
     inside = bool(regions)
     blocks: list[str] = []
     text: list[str] = []
@@ -469,9 +483,31 @@ def main_text(tree: Element, template: frozenset[str]) -> str:
 
     for node, path in regions or [(tree, "")]:
         walk(node, path, inside and not _has_article(node))
+    if not blocks and not inside:
+        # Some sites wrap the whole page in one form.
+        for form in _forms(tree):
+            walk(form, "/form", False)
     return "\n".join(blocks)
 
 
+def _forms(node: Element) -> list[Element]:
+    """Outermost forms outside other furniture."""
+    out = []
+    for c in node.children:
+        if not isinstance(c, str):
+            out += [c] if c.tag == "form" else [] if c.furniture else _forms(c)
+    return out
+
+
+def _size(node: Element) -> int:
+    """Characters of text that is not furniture."""
+    return sum(len(c.strip()) if isinstance(c, str) else 0 if c.aside or c.tag in RAW else _size(c) for c in node.children)
+
+
+def _holds(node: Element, regions: list) -> bool:
+    return any(not isinstance(c, str) and (any(c is r for r, _ in regions) or _holds(c, regions)) for c in node.children)
+
+
 def _has_article(node: Element) -> bool:
     return any(not isinstance(c, str) and (c.tag == "article" or _has_article(c)) for c in node.children)
 
