@@ -50,11 +50,7 @@ def type_summary(df: DataFrame) -> DataFrame:
 
 
 def cardinality(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Distinct non-null values per column.
-
-    The exact form counts one column at a time, so each scan reads one column
-    and shuffles its distinct values only; no aggregate holds a value set.
-    """
+    """Distinct non-null values per column, exactly or by a mergeable sketch."""
     if approximate:
         wide = df.agg(*[F.approx_count_distinct(c).alias(f"n_{i}") for i, c in enumerate(df.columns)])
         return _per_column(wide, df.columns, {"n_unique": "n"})
@@ -62,15 +58,25 @@ def cardinality(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def _distinct_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """``table_name, column_name, n_unique``; texts count by a 128-bit digest, whatever their length."""
-    out = None
+    """``table_name, column_name, n_unique`` from one scan per table and one shuffle.
+
+    A value travels as 128 bits of digest with the number of its column, and
+    each task drops its own repeats before the shuffle, so a column costs its
+    distinct values, whatever their length.
+    """
+    cells, columns = None, []
     for name, df in tables.items():
-        for c, kind in df.dtypes:
-            value = F.unhex(F.md5(F.col(c).cast("binary"))) if kind == "string" else F.col(c)
-            part = df.select(value.alias("v")).agg(F.count_distinct("v").alias("n_unique"))
-            part = part.select(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), "n_unique")
-            out = part if out is None else out.unionByName(part)
-    return out
+        entries = []
+        for c in df.columns:
+            value = F.col(c)
+            mark = F.struct(F.lit(len(columns)).alias("at"), F.xxhash64(value).alias("h"), F.xxhash64(F.lit(1), value).alias("g"))
+            entries.append(F.when(value.isNotNull(), mark))
+            columns.append((len(columns), name, c))
+        part = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where("at is not null")
+        cells = part if cells is None else cells.unionByName(part)
+    counts = cells.distinct().groupBy("at").agg(F.count(F.lit(1)).alias("n"))
+    names = literal_rows(next(iter(tables.values())).sparkSession, columns, "at int, table_name string, column_name string")
+    return names.join(counts, "at", "left").select("table_name", "column_name", F.coalesce("n", F.lit(0)).alias("n_unique"))
 
 
 def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -162,8 +168,8 @@ def shape(df: DataFrame) -> DataFrame:
 def table_profiles(tables: dict[str, DataFrame]) -> DataFrame:
     """Column profile of several tables: type, nulls and distinct values.
 
-    Rows and nulls are one aggregate per table, distinct values one narrow
-    aggregate per column; nothing is exploded. Types join on names, never on
+    Rows and nulls are one aggregate per table; distinct values of all tables
+    are one more scan of each and one shuffle. Types join on names, never on
     position.
     """
     facts, kinds = None, []

@@ -12,6 +12,7 @@ from ..operators import retrieval as R
 from ..operators import sampling as S
 from ..operators import stats as ST
 from ..operators.clean import pivot_delta
+from ..session import scratch_path
 from . import roles
 from . import sql_text as Q
 from .registry import query
@@ -129,6 +130,24 @@ def _(t):
     return R.index_statistics(roles.index(t))
 
 
+@query("R6_stored_index_search", f"WITH {Q.bm25_ctes(k=10)} SELECT * FROM {Q.padded('bm25_hits', 10)}")
+def _(t):
+    """An index written in two batches of documents and opened again answers like one built at once."""
+    path, late = scratch_path(t.spark, "kept-index"), F.col("lang") == "en"
+    first = R.write_index(t.documents.where(~F.coalesce(late, F.lit(False))), "doc_id", "text", path)
+    R.append_documents(first, t.documents.where(late), "text")
+    return R.search_bm25(R.open_index(t.spark, path), roles.passages(t), "term_id", "query", 10).select(*_COLS)
+
+
+@query("R7_dense_recall")
+def _(t):
+    """Share of the exact best fifty that bucketed projections find, for every vector label."""
+    centres = R.class_centroids(t.embeddings, "label", "embedding")
+    exact = R.search_dense(t.embeddings, "vec_id", "embedding", centres, "label", "centroid", 50)
+    near = R.search_dense_approximate(t.embeddings, "vec_id", "embedding", centres, "label", "centroid", 50)
+    return R.recall_of(near, exact, "label", "vec_id")
+
+
 @query(
     "R7_dense_search",
     """WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) r(i) GROUP BY ALL),
