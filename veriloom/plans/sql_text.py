@@ -144,9 +144,18 @@ def normalize_basic(c: str) -> str:
     return rf"regexp_replace(regexp_replace({low}, '[/|>\\]+', ' ', 'g'), '\s+', ' ', 'g')"
 
 
-def normalize_search(c: str) -> str:
+def squeezed(s: str) -> str:
+    """Runs of four or more equal characters cut to two: from the third on, a character with four equal ones around it goes."""
+    gone = "i > 2 AND c = l[i - 1] AND c = l[i - 2] AND (coalesce(c = l[i - 3], false) OR coalesce(c = l[i + 1], false))"
+    return f"list_transform([string_split({s}, '')], lambda l: array_to_string(list_filter(l, lambda c, i: NOT ({gone})), ''))[1]"
+
+
+def normalize_search(c: str, squeeze: bool = True) -> str:
+    """The whole normaliser for texts that NFKC and entity decoding leave as they are, as those of the given tables."""
     s = rf"regexp_replace(lower(translate(coalesce({c}, ''), 'İI', 'iı')), '<[^>]+>', ' ', 'g')"
     s = f"translate({s}, '’–—', '''--')"
     s = rf"regexp_replace({s}, '[^\p{{L}}\p{{N}}_\s\-+]', ' ', 'g')"
     s = rf"regexp_replace({s}, '(\p{{Nd}})\s*(ml|lt|l|kg|gr|g|cm|mm|gb|tb|w|mah)([^\p{{L}}\p{{N}}_]|$)', '\1\2\3', 'g')"
+    if squeeze:
+        s = squeezed(s)
     return rf"trim(regexp_replace({s}, '\s+', ' ', 'g'))"

@@ -18,12 +18,12 @@ def _(t):
     return t.documents.select("doc_id", T.normalize_basic("text").alias("norm"))
 
 
-@query("T2_normalize_search_builtin", f"SELECT page_id, {Q.normalize_search('html')} AS norm FROM pages")
+@query("T2_normalize_search_builtin", f"SELECT page_id, {Q.normalize_search('html', squeeze=False)} AS norm FROM pages")
 def _(t):
     return t.pages.select("page_id", T.normalize_search("html", fold=False, squeeze=False).alias("norm"))
 
 
-@query("T2_normalize_search")
+@query("T2_normalize_search", f"SELECT doc_id, {Q.normalize_search('text')} AS norm FROM documents")
 def _(t):
     return t.documents.select("doc_id", T.normalize_search("text").alias("norm"))
 
@@ -38,14 +38,11 @@ _FIELDS = {"title": "title", "category": "category", "brand": "brand", "attribut
     SELECT item_id, ti AS title_only, concat_ws(' ', nullif(ti, ''), nullif(ti, ''), nullif(ca, ''), nullif(br, ''), nullif(att, '')) AS enriched FROM n""",
 )
 def _(t):
-    def norm(c):
-        return T.normalize_search(c, fold=False, squeeze=False)
-
     cat = roles.catalogue(t)
     return cat.select(
         "item_id",
-        X.searchable_text(cat, _FIELDS, "title_only", normalize=norm).alias("title_only"),
-        X.searchable_text(cat, _FIELDS, weights={"title": 2}, normalize=norm).alias("enriched"),
+        X.searchable_text(cat, _FIELDS, "title_only").alias("title_only"),
+        X.searchable_text(cat, _FIELDS, weights={"title": 2}).alias("enriched"),
     )
 
 
@@ -195,7 +192,7 @@ def _(t):
     SELECT token, count(*) AS n_texts, count(*) <= 2 AS is_rare FROM t GROUP BY token""",
 )
 def _(t):
-    q = t.benchmark.select("item_id", T.normalize_search("text", fold=False, squeeze=False).alias("text"))
+    q = t.benchmark.select("item_id", T.normalize_search("text").alias("text"))
     return X.token_document_frequency(q, "item_id", "text")
 
 
@@ -204,12 +201,12 @@ def _(t):
 
 
 def segment_inputs(t):
-    q = roles.passages(t).select("term_id", T.normalize_search("query", fold=False, squeeze=False).alias("text"))
-    title = T.normalize_search(F.substring_index("text", "\n", 1), fold=False, squeeze=False)
-    brands = t.documents.select(T.normalize_search("source", fold=False, squeeze=False).alias("brand"))
+    q = roles.passages(t).select("term_id", T.normalize_search("query").alias("text"))
+    title = T.normalize_search(F.substring_index("text", "\n", 1))
+    brands = t.documents.select(T.normalize_search("source").alias("brand"))
     last = t.documents.select(F.element_at(T.words(title), -1).alias("word")).where("word is not null")
     every = t.documents.select(F.explode(T.words(title)).alias("word"))
-    docs = t.documents.select(F.col("doc_id").alias("item_id"), T.normalize_search("text", fold=False, squeeze=False).alias("doc"))
+    docs = t.documents.select(F.col("doc_id").alias("item_id"), T.normalize_search("text").alias("doc"))
     relevant = roles.judgments(t).select("term_id", "item_id").join(docs, "item_id").select("term_id", "doc")
     return q, brands, last, every, X.relevant_overlap(q, "term_id", "text", relevant, "doc")
 
