@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import top_k
-from .retrieval import SCORE_DIGITS
+from .retrieval import SCORE_DIGITS, filter_results
 
 # The parameter grids and the weights of the candidate union.
 ALPHAS = [0.20, 0.35, 0.50, 0.65, 0.80]
@@ -95,3 +95,25 @@ def choose_parameters(metrics: DataFrame, metric: str, groups: list[str], parame
 def deployed_parameter(choices: DataFrame, groups: list[str], parameter: str = "parameter") -> DataFrame:
     """Median of the per-seed choices (one row per seed)."""
     return choices.groupBy(*groups).agg(F.median(parameter).alias(parameter))
+
+
+def pool_size(k: int) -> int:
+    """Documents that are fused before filters cut them to ``k``."""
+    return max(5 * k, 100)
+
+
+def batch_search(
+    fused: DataFrame, aligned: DataFrame, chosen: DataFrame, catalogue: DataFrame, query: str, doc: str, filters: dict[str, str], k: int
+) -> DataFrame:
+    """Results of all queries for every chosen method, filtered and ranked anew.
+
+    ``fused`` holds the pools of all methods and parameters, ``chosen`` one
+    ``parameter`` (in hundredths) per method, a handful of rows. ``source`` says
+    which of the two lists hold the document.
+    """
+    picked = chosen.select(F.col("method").alias("_m"), F.col("parameter").alias("_p"))
+    own = (F.col("method") == F.col("_m")) & (F.round(F.col("parameter") * 100) == F.col("_p"))
+    pool = fused.where(F.col("rank") <= pool_size(k)).join(F.broadcast(picked), own).drop("_m", "_p")
+    both = F.when(F.col("lexical_rank").isNull(), "semantic").when(F.col("semantic_rank").isNull(), "lexical").otherwise("both")
+    parts = aligned.select(query, doc, "lexical_score", "semantic_score", both.alias("source"))
+    return filter_results(pool.join(parts, [query, doc]), catalogue, ["method", query], doc, filters, k)

@@ -297,13 +297,13 @@ def class_centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     return means.select(label, F.transform("m", lambda x: x / V.norm("m")).alias("centroid"))
 
 
-def filter_results(results: DataFrame, catalogue: DataFrame, query: str, doc: str, filters: dict[str, str], k: int) -> DataFrame:
-    """Equality filters on a retrieved pool, then ranks 1..k again."""
+def filter_results(results: DataFrame, catalogue: DataFrame, query: str | list[str], doc: str, filters: dict[str, str], k: int) -> DataFrame:
+    """Equality filters on a retrieved pool, then ranks 1..k again per query (one or several key columns)."""
     wanted = catalogue
     for column, value in filters.items():
         wanted = wanted.where(F.col(column) == value)
     kept = results.drop("rank").join(wanted.select(doc, *filters), doc)
-    return top_k(kept, k, [F.desc("score"), F.asc(doc)], [query])
+    return top_k(kept, k, [F.desc("score"), F.asc(doc)], [query] if isinstance(query, str) else query)
 
 
 def overlap_signal(results: DataFrame, query_text: str, title: str) -> DataFrame:

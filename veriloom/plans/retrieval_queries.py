@@ -351,23 +351,20 @@ def _(t):
     return U.deployed_parameter(_choices(t), ["family"])
 
 
-_LANG_FILTER = "SELECT f.term_id, f.doc_id, f.score, row_number() OVER (PARTITION BY f.term_id ORDER BY f.score DESC, f.doc_id) AS rank, f.ls, f.ss, d.lang FROM f JOIN documents d USING (doc_id) WHERE d.lang = 'en' QUALIFY row_number() OVER (PARTITION BY f.term_id ORDER BY f.score DESC, f.doc_id) <= 10"
-
-
 @query(
     "R16_batch_search",
-    f"""WITH {FUSED}, f AS (SELECT x.term_id, x.doc_id, x.score, a.ls, a.ss FROM fused x JOIN aligned a USING (term_id, doc_id) WHERE method = 'weighted' AND parameter = 0.5)
-    SELECT term_id, doc_id, rank, score AS hybrid_score, ls AS lexical_score, ss AS semantic_score, lang FROM ({_LANG_FILTER})""",
+    f"""WITH {SEED_METRICS_SQL}, {_CHOSEN}, dep AS (SELECT family, median(parameter) AS parameter FROM chosen GROUP BY family),
+    f AS (SELECT x.method, x.parameter, x.term_id, x.doc_id, x.score, a.ls, a.ss, CASE WHEN a.lr IS NULL THEN 'semantic' WHEN a.sr IS NULL THEN 'lexical' ELSE 'both' END AS source
+      FROM fused x JOIN aligned a USING (term_id, doc_id) JOIN dep ON dep.family = x.method AND dep.parameter = round(x.parameter * 100)),
+    r AS (SELECT f.*, d.lang, row_number() OVER (PARTITION BY f.method, f.term_id ORDER BY f.score DESC, f.doc_id) AS rank FROM f JOIN documents d USING (doc_id) WHERE d.lang = 'en')
+    SELECT method, parameter, term_id, doc_id, rank, score AS hybrid_score, ls AS lexical_score, ss AS semantic_score, source, lang FROM r WHERE rank <= 10""",
 )
 def _(t):
-    """All passages at once: hybrid scores, a language filter on the pool, ten results each."""
-    a = aligned(t)
-    hybrid = U.fuse(a, "term_id", "doc_id", 100, alphas=[0.5], rrf_ks=[], union=False).join(
-        a.select("term_id", "doc_id", "lexical_score", "semantic_score"), ["term_id", "doc_id"]
-    )
-    out = R.filter_results(hybrid, t.documents.select("doc_id", "lang"), "term_id", "doc_id", {"lang": "en"}, 10)
-    return out.select(
-        "term_id", "doc_id", "rank", F.col("score").alias("hybrid_score"), "lexical_score", "semantic_score", "lang"
+    """All passages at once with the deployed parameter of both methods, a language filter on the pool, ten results each."""
+    chosen = U.deployed_parameter(_choices(t), ["family"]).select(F.col("family").alias("method"), "parameter")
+    found = U.batch_search(fused(t), aligned(t), chosen, t.documents.select("doc_id", "lang"), "term_id", "doc_id", {"lang": "en"}, 10)
+    return found.select(
+        "method", "parameter", "term_id", "doc_id", "rank", F.col("score").alias("hybrid_score"), "lexical_score", "semantic_score", "source", "lang"
     )
 
 
@@ -397,33 +394,47 @@ def _(t):
     return ST.unchanged_check(q, old, ["method", "term_id"], _SHOWN)
 
 
+_EXAMPLES = """qd AS (SELECT term_id, max(CASE WHEN method = 'bm25' THEN recall_50 END) - max(CASE WHEN method = 'lexical' THEN recall_50 END) AS delta FROM qm GROUP BY term_id),
+    ex AS (SELECT * FROM (SELECT * FROM qd ORDER BY delta, term_id LIMIT 8) UNION SELECT * FROM (SELECT * FROM qd ORDER BY delta DESC, term_id LIMIT 8))"""
+
+
+def _examples(t):
+    """The queries at both ends of the difference between two methods."""
+    deltas = pivot_delta(query_metrics(t), ["term_id"], "method", "recall_50", "bm25", "lexical").select("term_id", "delta")
+    return ST.extremes(deltas, "delta", ["term_id"], 8)
+
+
 @query(
     "R19_query_examples",
-    f"""WITH {QUERY_METRICS_SQL}, qd AS (SELECT term_id, max(CASE WHEN method = 'bm25' THEN recall_50 END) - max(CASE WHEN method = 'lexical' THEN recall_50 END) AS delta FROM qm GROUP BY term_id),
-    ex AS (SELECT * FROM (SELECT * FROM qd ORDER BY delta, term_id LIMIT 8) UNION SELECT * FROM (SELECT * FROM qd ORDER BY delta DESC, term_id LIMIT 8)),
-    tt AS (SELECT l.term_id, string_agg(split_part(d.text, chr(10), 1), ' | ' ORDER BY rank) AS titles FROM lists l JOIN documents d USING (doc_id) WHERE l.source = 'lexical' AND rank <= 5 GROUP BY 1),
-    ms2 AS (SELECT j.term_id, string_agg(CAST(j.item_id AS VARCHAR), ',' ORDER BY j.item_id) AS missed FROM judgments j WHERE NOT EXISTS (SELECT 1 FROM lists l WHERE l.source = 'lexical' AND l.term_id = j.term_id AND l.doc_id = j.item_id) GROUP BY 1)
-    SELECT ex.term_id, round(delta, 6) AS delta, titles, coalesce(missed, '') AS missed FROM ex JOIN tt USING (term_id) LEFT JOIN ms2 USING (term_id)""",
+    f"""WITH {QUERY_METRICS_SQL}, {_EXAMPLES},
+    tt AS (SELECT l.source, l.term_id, string_agg(split_part(d.text, chr(10), 1), ' | ' ORDER BY rank) AS titles FROM lists l JOIN documents d USING (doc_id) WHERE rank <= 5 GROUP BY ALL)
+    SELECT ex.term_id, tt.source AS method, round(delta, 6) AS delta, titles FROM ex JOIN tt USING (term_id)""",
 )
 def _(t):
-    """Extreme queries with their best titles and the relevant ids they miss."""
-    deltas = pivot_delta(query_metrics(t), ["term_id"], "method", "recall_50", "bm25", "lexical").select("term_id", "delta")
-    chosen = ST.extremes(deltas, "delta", ["term_id"], 8)
-    lexical = roles.retrieval_lists(t).where("source = 'lexical'")
+    """Extreme queries with the best titles of every method."""
+    chosen = _examples(t)
     docs = t.documents.select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
-    top = lexical.where("rank <= 5").join(chosen, "term_id", "left_semi").join(docs, "doc_id")
-    titles = top.groupBy("term_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda s: s["title"]), " | ").alias("titles")  # five per query
-    )
-    judged = roles.judgments(t).select("term_id", F.col("item_id").alias("doc_id")).join(chosen, "term_id", "left_semi")
-    missed = judged.join(lexical, ["term_id", "doc_id"], "left_anti").groupBy("term_id").agg(
-        F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("missed")
-    )
-    return chosen.join(titles, "term_id").join(missed, "term_id", "left").select(
-        "term_id", F.round("delta", 6).alias("delta"), "titles", F.coalesce("missed", F.lit("")).alias("missed")
+    top = roles.retrieval_lists(t).where("rank <= 5").join(chosen, "term_id").join(docs, "doc_id")
+    titles = F.array_sort(F.collect_list(F.struct("rank", "title")))  # five per query and method
+    return top.groupBy("term_id", F.col("source").alias("method")).agg(
+        F.round(F.max("delta"), 6).alias("delta"), F.array_join(F.transform(titles, lambda s: s["title"]), " | ").alias("titles")
     )
 
 
+@query(
+    "R19_missed_items",
+    f"""WITH {QUERY_METRICS_SQL}, {_EXAMPLES}, ms3 AS (SELECT DISTINCT source FROM lists)
+    SELECT ex.term_id, ms3.source AS method, j.item_id AS doc_id FROM ex JOIN judgments j USING (term_id) CROSS JOIN ms3
+    WHERE NOT EXISTS (SELECT 1 FROM lists l WHERE l.source = ms3.source AND l.term_id = j.term_id AND l.doc_id = j.item_id)""",
+)
+def _(t):
+    """Relevant documents that a method does not list for an extreme query, one row each."""
+    judged = roles.judgments(t).select("term_id", F.col("item_id").alias("doc_id")).join(_examples(t).select("term_id"), "term_id", "left_semi")
+    methods = F.explode(F.array(*[F.lit(m) for m in ("bm25", "lexical", "semantic")])).alias("method")
+    listed = roles.retrieval_lists(t).select("term_id", "doc_id", F.col("source").alias("method"))
+    return judged.select("*", methods).join(listed, ["term_id", "doc_id", "method"], "left_anti").select("term_id", "method", "doc_id")
+
+
 # --- intervals over queries and seeds ---------------------------------------------------
 
 _UNIT = "CAST('0x' || substr(md5({seed} || '|' || {b} || '|' || {i}), 1, 8) AS BIGINT)"
