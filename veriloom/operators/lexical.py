@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import through_table
 from .features import idf, term_counts, vocabulary
 from .ordered import top_k
 
@@ -62,7 +63,7 @@ def write_index(
     buckets: int = BUCKETS,
 ) -> LexicalIndex:
     """Index ``docs`` in a new folder ``path``; ``open_index`` reads it in any later session."""
-    _write_batch(docs, doc, text, path, analyzer, ngrams, 0)
+    _write_batch(docs, doc, text, path, analyzer, ngrams, buckets, 0)
     return _derive(docs.sparkSession, path, doc, analyzer, ngrams, min_df, max_features, buckets, 0)
 
 
@@ -74,39 +75,47 @@ def append_documents(index: LexicalIndex, docs: DataFrame, text: str | Column) -
     readers of the earlier one are not disturbed.
     """
     generation = index.generation + 1
-    _write_batch(docs, index.doc, text, index.path, index.analyzer, index.ngrams, generation)
+    _write_batch(docs, index.doc, text, index.path, index.analyzer, index.ngrams, index.buckets, generation)
     return _derive(
         docs.sparkSession, index.path, index.doc, index.analyzer, index.ngrams, index.min_df, index.max_features, index.buckets, generation
     )
 
 
-def _write_batch(docs: DataFrame, doc: str, text: str | Column, path: str, analyzer: str, ngrams: int, batch: int) -> None:
-    term_counts(docs, doc, text, analyzer, ngrams).write.parquet(f"{path}/counts/batch={batch}")
+def _write_batch(docs: DataFrame, doc: str, text: str | Column, path: str, analyzer: str, ngrams: int, buckets: int, batch: int) -> None:
+    counts = term_counts(docs, doc, text, analyzer, ngrams).select("term", doc, "tf").repartition(buckets, "term")
+    _in_buckets(counts, f"{path}/counts/batch={batch}", buckets)
     docs.select(doc).write.parquet(f"{path}/documents/batch={batch}")
 
 
 def _derive(spark, path, doc, analyzer, ngrams, min_df, max_features, buckets, generation) -> LexicalIndex:
-    counts = spark.read.parquet(f"{path}/counts").where(F.col("batch") <= generation).drop("batch")
+    """Terms and postings of all batches.
+
+    Counts lie in buckets by term, so counting and weighing terms needs no
+    exchange; what is shuffled are sums per document. With one batch the
+    postings stay in their buckets from the first read to the last write.
+    """
+    if generation:  # read as plain files: a union of bucketed tables does not gather the rows of a term
+        files = spark.read.parquet(*[f"{path}/counts/batch={batch}" for batch in range(generation + 1)])
+        counts = files.repartition(buckets, "term")
+    else:
+        counts = _bucketed_table(spark, f"{path}/counts/batch=0", buckets)
     docs = spark.read.parquet(f"{path}/documents").where(F.col("batch") <= generation).select(doc)
-    vocab = vocabulary(counts, min_df, max_features)
     n_docs = docs.count()
-    weighted = counts.join(vocab.select("term", idf(F.col("df"), F.lit(n_docs)).alias("_idf")), "term")
-    own = Window.partitionBy(doc)
-    w = (1 + F.log("tf")) * F.col("_idf")
-    postings = weighted.withColumn("_w", w).select(
-        "term", doc, F.col("tf").cast("long").alias("tf"), F.sum("tf").over(own).alias("dl"),
-        (F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(own))).alias("weight"),
-    )
+    weight = (1 + F.log("tf")) * idf(F.col("df"), F.lit(n_docs))
     home = f"{path}/generation={generation}"
+    vocab = _in_buckets(vocabulary(counts, min_df, max_features).select("term", "df"), f"{home}/vocabulary", buckets)
+    weighted = counts.join(vocab.hint("merge"), "term").withColumn("_w", weight)
+    lengths = through_table(weighted.groupBy(doc).agg(F.sum("tf").alias("dl"), F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm")), "lengths")
+    postings = weighted.join(lengths, doc).select("term", doc, F.col("tf").cast("long").alias("tf"), "dl", (F.col("_w") / F.col("_norm")).alias("weight"))
     stored = _in_buckets(postings, f"{home}/postings", buckets)
     terms = stored.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("weight").alias("max_weight"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")
     )
     kept = _in_buckets(terms, f"{home}/terms", buckets)
-    marks = counts.agg(F.sum(F.xxhash64(doc, "term", "tf").cast("decimal(38,0)")).cast("string").alias("a"), F.count(F.lit(1)).alias("b")).first()
+    marks = stored.agg(F.sum(F.xxhash64(doc, "term", "tf").cast("decimal(38,0)")).cast("string").alias("a"), F.count(F.lit(1)).alias("b"), F.sum("tf").alias("c")).first()
     fingerprint = hashlib.sha256(f"{analyzer}|{ngrams}|{min_df}|{max_features}|{n_docs}|{marks['a']}|{marks['b']}".encode()).hexdigest()[:16]
-    total = kept.agg(F.coalesce(F.sum("cf"), F.lit(0))).first()[0]
-    facts = [(doc, analyzer, ngrams, min_df, max_features, buckets, generation, n_docs, max(total / n_docs if n_docs else 0.0, 1.0), fingerprint)]
+    mean = max((marks["c"] or 0) / n_docs if n_docs else 0.0, 1.0)
+    facts = [(doc, analyzer, ngrams, min_df, max_features, buckets, generation, n_docs, mean, fingerprint)]
     spark.createDataFrame(facts, _FACTS).coalesce(1).write.parquet(f"{path}/manifest/generation={generation}")
     return LexicalIndex(path, *facts[0], stored, kept, docs)
 
@@ -128,9 +137,9 @@ def _table_name(path: str) -> str:
 
 
 def _in_buckets(df: DataFrame, path: str, buckets: int) -> DataFrame:
-    """Write one file per bucket, sorted by term; the exchange uses the hash of the buckets."""
+    """Write buckets sorted by term; rows that are dealt by term already make one file per bucket."""
     name = _table_name(path)
-    df.repartition(buckets, "term").write.format("parquet").option("path", path).bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
+    df.write.format("parquet").option("path", path).bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
     return df.sparkSession.table(name)
 
 
@@ -171,7 +180,7 @@ class Scoring:
 
 def _asked(index: LexicalIndex, queries: DataFrame, query: str, text: str) -> DataFrame:
     """Terms of the queries that the index knows."""
-    counts = term_counts(queries, query, text, index.analyzer, index.ngrams).withColumnRenamed("tf", "_qtf")
+    counts = through_table(term_counts(queries, query, text, index.analyzer, index.ngrams).withColumnRenamed("tf", "_qtf"), "query-terms")
     return _of_terms(index, index.terms, counts).join(counts, "term")
 
 
@@ -220,7 +229,8 @@ def _placed(parts: list[Scoring], query: str, k: int) -> list[Scoring]:
     places = every.select(
         query, "term", "_part", (F.coalesce(F.sum("df").over(before), F.lit(0)) < 4 * k).alias("_seed"), F.sum("bound").over(after).alias("_rest")
     )
-    return [replace(p, terms=p.terms.join(places.where(F.col("_part") == n).drop("_part"), [query, "term"])) for n, p in enumerate(parts)]
+    placed = [p.terms.join(places.where(F.col("_part") == n).drop("_part"), [query, "term"]) for n, p in enumerate(parts)]
+    return [replace(p, terms=through_table(terms, "placed-terms")) for p, terms in zip(parts, placed)]
 
 
 def _gains(parts: list[Scoring], query: str, doc: str, chosen: Column) -> DataFrame:
@@ -263,7 +273,7 @@ def candidates(parts: list[Scoring], query: str, doc: str, k: int) -> tuple[Data
     seeds = top_k(_summed(_gains(parts, query, doc, F.col("_seed")), query, doc, "_s"), k, [F.desc("_s"), F.asc(doc)], [query])
     full = _summed(_looked_up(parts, seeds, query, doc, F.lit(True)), query, doc, "_s")
     reached = full.groupBy(query).agg(F.count(F.lit(1)).alias("_n"), F.min("_s").alias("_least")).where(F.col("_n") >= k)
-    floors = reached.select(query, (F.col("_least") - SLACK).alias("_floor"))
+    floors = through_table(reached.select(query, (F.col("_least") - SLACK).alias("_floor")), "floors")
     with_floor = [replace(p, terms=p.terms.join(floors, query, "left").withColumn("_floor", F.coalesce("_floor", F.lit(0.0)))) for p in parts]
     partial = _summed(_gains(with_floor, query, doc, F.col("_rest") >= F.col("_floor")), query, doc, "_s")
     dropped = None
@@ -278,6 +288,7 @@ def candidates(parts: list[Scoring], query: str, doc: str, k: int) -> tuple[Data
 def bounded_search(parts: list[Scoring], query: str, doc: str, k: int) -> DataFrame:
     """Exact ``(query, document, score, rank)`` of the best ``k``, ties by id."""
     kept, placed = candidates(parts, query, doc, k)
+    kept = through_table(kept, "candidates")
     more = _looked_up(placed, kept, query, doc, F.col("_rest") < F.col("_floor"))
     scored = kept.select(query, doc, F.col("_s").alias("_gain")).unionByName(more)
     return best(_summed(scored, query, doc, "score"), [query], doc, k)
