@@ -3,7 +3,7 @@
 Every source has a target share of the mixture. Its mean repetition rate is the
 wanted number of bytes over the bytes it has. A document's number of copies is
 the value of a Poisson distribution with that mean at a number in [0, 1) taken
-from a digest of seed and document id, so a rerun, a retried task or another
+from a digest of seed, id and text, so a rerun, a retried task or another
 cluster gives the same copies. The mean of the counts is the rate: fractional
 rates need no separate sampling step. Copies are dealt over the whole output in
 digest order, through a range exchange, so no source stays together.
@@ -18,7 +18,9 @@ adaptive execution splits a hot source.
 Null source: a source of its own. Null text: no bytes. A document counts one
 byte more than its text, so no source has size zero. Weights that are null or
 not above zero, and sources that the weights do not name, get rate 0 when a
-weight table is given. Repeated rows have equal ids and so equal counts. An
+weight table is given. Rows that share an id, or have none, are drawn and
+placed each on its own, by their texts; rows with equal id and text have equal
+counts. A text is whole in its row, however long. An
 empty table gives an empty mixture. Columns named like a result are replaced.
 """
 
