@@ -203,11 +203,11 @@ def _(t):
 
 @query(
     "E17_hard_negative_flags",
-    f"""WITH {_SCORED_PAIRS}, h AS (SELECT term_id, label = 0 AND jaccard >= 0.2 AS f1, label = 0 AND p >= 0.5 AS f2, label = 0 AND brand_mention > 0 AND category_overlap = 0 AS f3,
+    Q.every_term(f"""WITH {_SCORED_PAIRS}, h AS (SELECT term_id, label = 0 AND jaccard >= 0.2 AS f1, label = 0 AND p >= 0.5 AS f2, label = 0 AND brand_mention > 0 AND category_overlap = 0 AS f3,
       label = 0 AND category_overlap > 0 AND query_coverage < 0.5 AS f4, label = 0 AND title_coverage >= 0.5 AS f5, label = 0 AND char_length_ratio >= 0.5 AS f6,
       label = 0 AND attributes_overlap = 0 AND query_coverage >= 0.5 AS f7 FROM sp), sd AS (SELECT unnest([42, 52]) AS seed)
     SELECT seed, {', '.join(f'count(*) FILTER (f{i + 1}) AS {n}' for i, n in enumerate(ST.HARD_FLAGS))}, count(*) FILTER (f1 OR f2 OR f3 OR f4 OR f5 OR f6 OR f7) AS is_hard
-    FROM h, sd GROUP BY seed""",
+    FROM h, sd GROUP BY seed"""),
 )
 def _(t):
     flagged = ST.hard_negative_flags(scored_pairs(t), "label", "p")
