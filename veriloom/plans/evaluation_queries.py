@@ -147,10 +147,10 @@ def _scored_pairs(t):
 
 @query(
     "E8_error_lists",
-    f"""WITH {_SCORED_PAIRS}, o AS (SELECT term_id, doc_id, category, label, prediction, p, jaccard FROM sp)
+    Q.every_term(f"""WITH {_SCORED_PAIRS}, o AS (SELECT term_id, doc_id, category, label, prediction, p, jaccard FROM sp)
     SELECT *, 'false_positive' AS error_type FROM (SELECT * FROM o WHERE label = 0 AND prediction = 1 ORDER BY p DESC, term_id, doc_id LIMIT 500)
     UNION ALL SELECT *, 'false_negative' FROM (SELECT * FROM o WHERE label = 1 AND prediction = 0 ORDER BY p, term_id, doc_id LIMIT 500)
-    UNION ALL SELECT *, 'hardest' FROM (SELECT * FROM o ORDER BY abs(p - 0.5::DOUBLE), term_id, doc_id LIMIT 500)""",
+    UNION ALL SELECT *, 'hardest' FROM (SELECT * FROM o ORDER BY abs(p - 0.5::DOUBLE), term_id, doc_id LIMIT 500)"""),
 )
 def _(t):
     df = scored_pairs(t).select("term_id", "doc_id", "category", "label", "prediction", "p", "jaccard")
