@@ -162,11 +162,11 @@ _BUCKETS = ["(-0.01, 0.0]", "(0.0, 0.2]", "(0.2, 0.5]", "(0.5, 1.0]"]
 
 @query(
     "E9_segment_performance",
-    f"""WITH {_SCORED_PAIRS}, l AS (SELECT label, prediction, 'category' AS segment, category AS bucket FROM sp UNION ALL SELECT label, prediction, 'query_length', CAST(len(qw) AS VARCHAR) FROM sp
+    Q.every_term(f"""WITH {_SCORED_PAIRS}, l AS (SELECT label, prediction, 'category' AS segment, category AS bucket FROM sp UNION ALL SELECT label, prediction, 'query_length', CAST(len(qw) AS VARCHAR) FROM sp
       UNION ALL SELECT label, prediction, 'title_length', CAST(len(tw) AS VARCHAR) FROM sp UNION ALL SELECT label, prediction, 'lexical_overlap',
       CASE WHEN jaccard <= 0 THEN '(-0.01, 0.0]' WHEN jaccard <= 0.2 THEN '(0.0, 0.2]' WHEN jaccard <= 0.5 THEN '(0.2, 0.5]' ELSE '(0.5, 1.0]' END FROM sp),
     g AS (SELECT segment, bucket, {_CELLS}, count(*) AS n FROM l GROUP BY ALL), m AS (SELECT *, {_prf()} FROM g)
-    SELECT segment, bucket, n AS "rows", round((tp + fn)::DOUBLE / n, 6) AS positive_rate, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM m""",
+    SELECT segment, bucket, n AS "rows", round((tp + fn)::DOUBLE / n, 6) AS positive_rate, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM m"""),
 )
 def _(t):
     segments = {
