@@ -217,10 +217,10 @@ def _(t):
 
 @query(
     "P10_hard_pair_variants",
-    f"""WITH {_SCORED_PAIRS}, h AS (SELECT label = 0 AND (jaccard >= 0.2 OR p >= 0.5 OR (brand_mention > 0 AND category_overlap = 0) OR (category_overlap > 0 AND query_coverage < 0.5) OR title_coverage >= 0.5
+    Q.every_term(f"""WITH {_SCORED_PAIRS}, h AS (SELECT label = 0 AND (jaccard >= 0.2 OR p >= 0.5 OR (brand_mention > 0 AND category_overlap = 0) OR (category_overlap > 0 AND query_coverage < 0.5) OR title_coverage >= 0.5
       OR char_length_ratio >= 0.5 OR (attributes_overlap = 0 AND query_coverage >= 0.5)) AS hard FROM sp), c AS (SELECT count(*) AS n, count(*) FILTER (hard) AS k FROM h)
     SELECT 'original' AS variant, n AS "rows", n::DOUBLE AS weight FROM c UNION ALL SELECT 'weighted', n, (n + k)::DOUBLE FROM c
-    UNION ALL SELECT 'enriched', n + k, (n + k)::DOUBLE FROM c UNION ALL SELECT 'weighted_enriched', n + k, (n + 3 * k)::DOUBLE FROM c""",
+    UNION ALL SELECT 'enriched', n + k, (n + k)::DOUBLE FROM c UNION ALL SELECT 'weighted_enriched', n + k, (n + 3 * k)::DOUBLE FROM c"""),
 )
 def _(t):
     flagged = ST.hard_negative_flags(scored_pairs(t), "label", "p").select("term_id", "doc_id", "label", "is_hard", F.lit(1.0).alias("weight"))
