@@ -59,3 +59,23 @@ def test_pair_features(spark):
     assert (first["intersection"], first["union"], first["jaccard"]) == (2, 3, 2 / 3)
     assert first["query_coverage"] == 1.0 and first["category_overlap"] == 1 and first["attributes_overlap"] == 1
     assert all(empty[c] == 0 for c in X.PAIR_FEATURES)
+
+
+def test_sql_keeps_every_term(spark, tmp_path):
+    """More terms than the cap of the SQL blocks: the index keeps them all, and so does the corrected SQL."""
+    import duckdb
+
+    from veriloom.plans import ORACLES, QUERIES
+
+    n = 120_050
+    con = duckdb.connect()
+    con.execute(f"create table documents as select d as doc_id, string_agg('w' || i, ' ') as text from range(2) r(d), range({n}) s(i) group by d")
+    con.execute(f"copy documents to '{tmp_path}/documents.parquet'")
+    got = con.execute(ORACLES["R6_index_statistics"]).fetchall()
+    assert [tuple(r) for r in QUERIES["R6_index_statistics"](spark, str(tmp_path)).collect()] == got
+    assert got[0][:3] == (2 * n, 2 * n, n)
+    corrected = [
+        "C19_filtered_results", "C20_pivot_delta", "E12_mean_metrics", "E14_seed_intervals", "E17_hard_negative_flags", "E21_leaderboard", "E8_error_lists",
+        "E9_segment_performance", "J5_missed_relevant_ids", "P10_hard_pair_variants", "R4_bm25_grid", "R4_bm25_search", "R6_index_statistics", "R6_stored_index_search",
+    ]
+    assert not [name for name in corrected if "<= 120000" in ORACLES[name]]
