@@ -90,6 +90,35 @@ def test_bounds_leave_few_pairs_and_lose_none(spark):
     assert kept.count() < 40 * 600 / 20
 
 
+def test_every_match_in_blocks_of_queries(spark, monkeypatch):
+    """Words that are all about as frequent leave nothing to the bounds: postings meet their queries where the documents are."""
+    import random
+
+    from veriloom.operators import lexical as L
+
+    r = random.Random(7)
+    rows = [(n, " ".join(r.choices([f"w{k}" for k in range(20)], k=25))) for n in range(120)]
+    index_ = R.build_index(spark.createDataFrame(rows, "d long, text string"), "d", "text", min_df=1)
+    q = queries(spark, *[" ".join(r.sample([f"w{k}" for k in range(20)], 8)) for _ in range(6)])
+    parts = L._floored([L.bm25_scoring(index_, q, "q", "text")], "q", "d", 5)
+    assert not L._bounds_help(parts, "q")
+    monkeypatch.setattr(L, "ASKED_ROWS", 20)
+    got = {(x["q"], x["d"]): x["score"] for x in L._every_match(parts, "q", "d").collect()}
+    want = {(x["q"], x["d"]): x["s"] for x in L._summed(L._gains(parts, "q", "d", F.lit(True)), "q", "d", "s").collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    plan = L._every_match(parts, "q", "d")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(q" not in plan  # sums need no exchange of their own
+
+
+def test_texts_are_encoded_once_with_bounded_memory(spark):
+    docs = spark.createDataFrame([(n, f"one word{n} two") for n in range(5)], "d long, text string")
+    encoded = R.encode_texts(docs, "text", "passage", R.hashing_encoder(8), 8)
+    plan = R._blocks(encoded, "d", "embedding", 4, "doc")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1
+    place = next(c.cell_contents for c in R.hashing_encoder(8)().__closure__ if hasattr(c.cell_contents, "cache_info"))
+    assert place.cache_info().maxsize
+
+
 def test_dense_ties_and_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "d long, v array<float>")
     qs = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 1.0])], "q long, v array<float>")
