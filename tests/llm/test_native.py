@@ -240,3 +240,27 @@ def test_one_long_candidate(table):
     start = time.time()
     out = secrets.scan(table([(1, f"x {blob} y")])).first()
     assert time.time() - start < 60 and sum(s["stop"] - s["start"] for s in out["spans"] if s["kind"] == "entropy") > 20_000
+
+
+def test_op7_postings_are_made_once(spark, monkeypatch):
+    """They are the largest table of the join: making them twice moved them twice."""
+    from veriloom.llm import jaccard
+
+    made, asked, real = spark.sparkContext.accumulator(0), [], jaccard._signatures
+
+    def counted(*args):
+        asked.append(args)
+        run = real(*args)
+
+        def rows(batches):
+            for batch in run(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return rows
+
+    monkeypatch.setattr(jaccard, "_signatures", counted)
+    docs = spark.createDataFrame([(n, " ".join(f"w{(n % 4) * 50 + k}" for k in range(30))) for n in range(12)], "doc_id long, text string")
+    assert len({r["component_id"] for r in jaccard.near_copies(docs).collect()}) == 4
+    texts = docs.selectExpr("doc_id as id", "text")
+    assert made.value == texts.mapInArrow(real(*asked[0]), "sig long, key long, place long").count() > 0
