@@ -49,3 +49,30 @@ def test_text_features_match_formula(spark):
     raw = {"aa": (1 + math.log(2)) * (math.log(4 / 3) + 1), "cc": math.log(4 / 2) + 1, "aa aa": math.log(4 / 2) + 1, "aa cc": math.log(4 / 2) + 1}
     norm = math.sqrt(sum(x * x for x in raw.values()))
     assert all(abs(two[k] - raw[k] / norm) < 1e-9 for k in raw)
+
+
+def test_text_vocabulary_is_cut_by_a_rule(spark):
+    """Equally frequent terms were kept by chance, from lists of all terms that a partition held at once."""
+    import random
+
+    terms = [f"w{i:02d}" for i in range(40)]
+    shuffled = [random.Random(s).sample(terms, 40) for s in range(3)]
+    df = spark.createDataFrame([(" ".join(x),) for x in shuffled], "text string").repartition(7)
+    model = Pipeline(stages=D.text_stages("text", "f", max_features=5)).fit(df)
+    assert model.stages[1].vocabulary == terms[:5]
+    path = scratch_path(spark, "text-model")
+    model.write().save(path)
+    again = type(model).load(path).transform(df).select("text", "f").collect()
+    assert sorted(map(str, again)) == sorted(map(str, model.transform(df).select("text", "f").collect()))
+    assert all(v.size == 5 and abs(v.norm(2) - 1) < 1e-12 for _, v in again)
+
+
+def test_blocks_are_fitted_once_and_equal_the_stages(spark):
+    rows = [(i, f"red shoe {i % 3}", f"blue red hat no{i % 4} shoe", i % 2, "train" if i % 5 else "test") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, q string, p string, x int, split string").withColumn("pp", F.concat_ws(" ", "q", "p"))
+    fit, names = F.col("split") == "train", ["q", "p", "pp"]
+    stored = D.stored_blocks(df, ["id"], fit, D.relevance_blocks("combined", *names))
+    for name in ("word", "char", "combined"):
+        stages = D.relevance_stages(name, *names, ["x"])
+        whole = Pipeline(stages=stages).fit(df.where(fit)).transform(df).select("id", "features")
+        assert sorted(map(str, stages[-1].transform(stored).select("id", "features").collect())) == sorted(map(str, whole.collect()))

@@ -21,11 +21,8 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
-    ElementwiseProduct,
+    CountVectorizerModel,
     Imputer,
-    Normalizer,
     OneHotEncoder,
     StandardScaler,
     StringIndexer,
@@ -34,7 +31,7 @@ from pyspark.ml.feature import (
     VectorSlicer,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import DenseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasLabelCol, HasOutputCol, HasOutputCols
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
@@ -83,47 +80,83 @@ class ModeImputerModel(Model, HasInputCols, HasOutputCols, DefaultParamsReadable
         return dataset.withColumns({out: F.coalesce(F.col(c).cast("string"), F.lit(m)) for c, out, m in fills})
 
 
-def _damped(vectors: pa.Array) -> pa.Array:
-    """``1 + ln(count)`` for all counts of a batch at once."""
-    counts = vectors.field("values")
-    offsets = counts.offsets.to_numpy()
-    flat = pa.array(1 + np.log(counts.flatten().to_numpy(zero_copy_only=False)))
-    parts = [vectors.field(c) for c in ("type", "size", "indices")]
-    return pa.StructArray.from_arrays([*parts, pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), flat)], ["type", "size", "indices", "values"])
+class TfidfVocabulary(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """The ``vocabSize`` most frequent terms (ties: smaller term first) with their smoothed document frequencies.
 
+    Terms are counted as rows and never kept as lists of a whole partition. A
+    ``minDF`` or ``maxDF`` below 1 is a share of the documents.
+    """
 
-class SublinearCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Counts of a sparse vector replaced by ``1 + ln(count)``."""
+    vocabSize = Param(Params._dummy(), "vocabSize", "largest vocabulary", TypeConverters.toInt)
+    minDF = Param(Params._dummy(), "minDF", "least documents of a term", TypeConverters.toFloat)
+    maxDF = Param(Params._dummy(), "maxDF", "most documents of a term", TypeConverters.toFloat)
 
     @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None):
+    def __init__(self, *, inputCol=None, outputCol=None, vocabSize=20_000, minDF=1.0, maxDF=float(2**63)):
         super().__init__()
+        self._setDefault(vocabSize=20_000, minDF=1.0, maxDF=float(2**63))
         self._set(**self._input_kwargs)
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        name, names = self.getInputCol(), [*dataset.columns, self.getOutputCol()]
+    def _fit(self, dataset: DataFrame) -> Model:
+        terms = F.col(self.getInputCol())
+        n = dataset.count()
+        low, high = (x if x >= 1 else x * n for x in (self.getOrDefault(self.minDF), self.getOrDefault(self.maxDF)))
 
-        def run(batches):
-            for batch in batches:
-                damped = _damped(batch.column(batch.schema.get_field_index(name)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, damped], names)
+        def counted(items: Column, name: str) -> DataFrame:
+            """Outer rows, as ``term_counts`` has them: a filter below would make the terms a second time."""
+            rows = dataset.select(F.explode_outer(items).alias("term")).where("term is not null")
+            return rows.groupBy("term").agg(F.count(F.lit(1)).alias(name))
 
-        # Whole rows, not a column function: Spark does not take nested lambdas, which make the terms, as its arguments.
-        return dataset.mapInArrow(run, StructType([*dataset.schema, StructField(self.getOutputCol(), VectorUDT())]))
+        inside = counted(F.array_distinct(terms), "df").where((F.col("df") >= low) & (F.col("df") <= high))
+        kept = counted(terms, "cf").join(inside, "term").orderBy(F.desc("cf"), F.asc("term")).limit(self.getOrDefault(self.vocabSize)).collect()
+        if not kept:
+            raise ValueError("no term is in as many documents as asked")
+        weights = np.log((n + 1.0) / (np.array([r["df"] for r in kept]) + 1.0)) + 1.0
+        return TfidfModel(inputCol=self.getInputCol(), outputCol=self.getOutputCol(), terms=[r["term"] for r in kept], weights=weights.tolist())
 
 
-class SmoothIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Weights ``ln((1 + N) / (1 + df)) + 1``; the fitted stage is an element-wise product."""
+class TfidfModel(Model, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Unit vectors of ``(1 + ln(count)) * (ln((1 + N) / (1 + df)) + 1)`` in place of the column of terms."""
+
+    terms = Param(Params._dummy(), "terms", "vocabulary in its order", TypeConverters.toListString)
+    weights = Param(Params._dummy(), "weights", "weight of every term", TypeConverters.toListFloat)
 
     @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None):
+    def __init__(self, *, inputCol=None, outputCol=None, terms=None, weights=None):
         super().__init__()
         self._set(**self._input_kwargs)
 
-    def _fit(self, dataset: DataFrame) -> Transformer:
-        idf = IDF(inputCol=self.getInputCol(), outputCol="_idf").fit(dataset).idf
-        weights = DenseVector(np.asarray(idf.toArray()) + 1.0)
-        return ElementwiseProduct(scalingVec=weights, inputCol=self.getInputCol(), outputCol=self.getOutputCol())
+    @property
+    def vocabulary(self) -> list[str]:
+        return self.getOrDefault(self.terms)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        counter = CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol=self.getInputCol(), outputCol=self.getOutputCol())
+        counted = counter.transform(dataset).drop(self.getInputCol())
+        weights = dataset.sparkSession.sparkContext.broadcast(np.array(self.getOrDefault(self.weights)))
+
+        def run(batches):
+            for batch in batches:
+                at = batch.num_columns - 1
+                yield batch.set_column(at, batch.schema.names[at], _weighted(batch.column(at), weights.value))
+
+        # Whole rows, not a column function: Spark does not take nested lambdas, which make the terms, as its arguments.
+        # The terms stay behind: they are many times the text.
+        vectors = counted.mapInArrow(run, StructType([*counted.schema.fields[:-1], StructField(self.getOutputCol(), VectorUDT())]))
+        return vectors.withMetadata(self.getOutputCol(), {"ml_attr": {"num_attrs": len(self.vocabulary)}})
+
+
+def _weighted(vectors: pa.Array, weights: np.ndarray) -> pa.Array:
+    """Counts of all rows of a batch as unit vectors of weighted, damped counts."""
+    counts, indices = vectors.field("values"), vectors.field("indices")
+    offsets = counts.offsets.to_numpy() - counts.offsets[0].as_py()
+    places = indices.flatten().to_numpy(zero_copy_only=False)
+    flat = (1 + np.log(counts.flatten().to_numpy(zero_copy_only=False))) * weights[places]
+    lengths = np.diff(offsets)
+    squares = np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=flat * flat, minlength=len(lengths))
+    flat /= np.repeat(np.sqrt(squares), lengths)
+    parts = [vectors.field(c) for c in ("type", "size", "indices")]
+    return pa.StructArray.from_arrays([*parts, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["type", "size", "indices", "values"])
 
 
 class Terms(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -138,13 +171,11 @@ class Terms(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, Defau
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        text = F.coalesce(F.col(self.getInputCol()), F.lit(""))
+        text, name = F.coalesce(F.col(self.getInputCol()), F.lit("")), self.getOutputCol()
         if self.getOrDefault(self.analyzer) == "char":
-            terms = F.flatten(F.transform(T.words(F.lower(text)), lambda w: T.char_ngrams(w)))
-        else:
-            toks = T.tokens(text)
-            terms = F.concat(toks, T.bigrams(toks))
-        return dataset.withColumn(self.getOutputCol(), terms)
+            return dataset.withColumn(name, F.flatten(F.transform(T.words(F.lower(text)), lambda w: T.char_ngrams(w))))
+        toks = dataset.withColumn(name, T.tokens(text))  # a column of its own: word pairs name it several times
+        return toks.withColumn(name, F.concat(name, T.bigrams(F.col(name))))
 
 
 class L1Selector(Estimator, HasInputCol, HasOutputCol, HasLabelCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -195,27 +226,42 @@ def text_stages(
 ) -> list:
     """Sublinear, smoothed, unit-length TF-IDF of one text column; ``max_df`` below 1 is a share of the documents."""
     limits = {"minDF": min_df, **({} if max_df is None else {"maxDF": max_df})}
-    p = f"_{output}"
     return [
-        Terms(inputCol=column, outputCol=f"{p}_terms", analyzer=analyzer),
-        CountVectorizer(inputCol=f"{p}_terms", outputCol=f"{p}_counts", vocabSize=max_features, **limits),
-        SublinearCounts(inputCol=f"{p}_counts", outputCol=f"{p}_tf"),
-        SmoothIdf(inputCol=f"{p}_tf", outputCol=f"{p}_weighted"),
-        Normalizer(inputCol=f"{p}_weighted", outputCol=output, p=2.0),
+        Terms(inputCol=column, outputCol=f"_{output}_terms", analyzer=analyzer),
+        TfidfVocabulary(inputCol=f"_{output}_terms", outputCol=output, vocabSize=max_features, **limits),
     ]
 
 
-def relevance_stages(feature_set: str, query: str, product: str, pair: str, explicit: list[str], output: str = "features") -> list:
-    """Text blocks of a feature set (word, char or combined) before the explicit columns."""
-    stages, blocks = [], []
+def relevance_blocks(feature_set: str, query: str, product: str, pair: str) -> dict[str, list]:
+    """Stages of the text blocks of a feature set (word, char or combined), by their output column."""
+    blocks = {}
     if feature_set in ("word", "combined"):
         for column, size in ((query, 12_000), (product, 30_000), (pair, 30_000)):
-            stages += text_stages(column, f"{column}_tfidf", "word", size)
-            blocks.append(f"{column}_tfidf")
+            blocks[f"{column}_tfidf"] = text_stages(column, f"{column}_tfidf", "word", size)
     if feature_set in ("char", "combined"):
-        stages += text_stages(pair, f"{pair}_chars", "char", 20_000)
-        blocks.append(f"{pair}_chars")
-    return [*stages, VectorAssembler(inputCols=[*blocks, *explicit], outputCol=output)]
+        blocks[f"{pair}_chars"] = text_stages(pair, f"{pair}_chars", "char", 20_000)
+    return blocks
+
+
+def relevance_stages(feature_set: str, query: str, product: str, pair: str, explicit: list[str], output: str = "features") -> list:
+    """Text blocks of a feature set (word, char or combined) before the explicit columns."""
+    blocks = relevance_blocks(feature_set, query, product, pair)
+    return [*[stage for stages in blocks.values() for stage in stages], VectorAssembler(inputCols=[*blocks, *explicit], outputCol=output)]
+
+
+def stored_blocks(df: DataFrame, key: list[str], fit: Column, blocks: dict[str, list]) -> DataFrame:
+    """``df`` with the vectors of every block, fitted on the ``fit`` rows.
+
+    Each block is made once and written, so that no later stage makes its terms
+    again and no text passes through the stages of another block.
+    """
+    out = df
+    for name, stages in blocks.items():
+        column = stages[0].getInputCol()
+        model = Pipeline(stages=stages).fit(df.where(fit).select(column))
+        vectors = through_table(model.transform(df.select(*key, column)).select(*key, name), "block")
+        out = out.join(vectors, key)
+    return out
 
 
 def univariate_selector(features: str, label: str, k: int = 8, output: str = "selected") -> UnivariateFeatureSelector:
