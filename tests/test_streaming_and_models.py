@@ -76,3 +76,12 @@ def test_blocks_are_fitted_once_and_equal_the_stages(spark):
         stages = D.relevance_stages(name, *names, ["x"])
         whole = Pipeline(stages=stages).fit(df.where(fit)).transform(df).select("id", "features")
         assert sorted(map(str, stages[-1].transform(stored).select("id", "features").collect())) == sorted(map(str, whole.collect()))
+
+
+def test_stored_features_carry_no_slot_names(spark):
+    """Names of 92,000 slots went to the tasks with every iteration of a fit."""
+    df = spark.range(20).select("id", (F.col("id") % 2).alias("label"), F.lit(1.0).alias("x"))
+    assembler = D.relevance_stages("none", "q", "p", "pp", ["id", "x"])[-1]
+    out = D.stored_features(df, assembler, ["label"])
+    assert out.schema["features"].metadata == {} and assembler.transform(df).schema["features"].metadata
+    assert sorted(map(str, out.select("features").collect())) == sorted(map(str, assembler.transform(df).select("features").collect()))

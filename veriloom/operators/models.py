@@ -264,6 +264,16 @@ def stored_blocks(df: DataFrame, key: list[str], fit: Column, blocks: dict[str,
     return out
 
 
+def stored_features(df: DataFrame, assembler: VectorAssembler, keep: list[str]) -> DataFrame:
+    """Assembled vectors, written without the names of their slots.
+
+    An assembler names every slot in the column's metadata, and an iterative
+    fit sends that to its tasks once per iteration.
+    """
+    name = assembler.getOutputCol()
+    return through_table(assembler.transform(df).select(*keep, name).withMetadata(name, {}), "features")
+
+
 def univariate_selector(features: str, label: str, k: int = 8, output: str = "selected") -> UnivariateFeatureSelector:
     """The ``k`` features with the largest F statistic against a continuous label."""
     s = UnivariateFeatureSelector(featuresCol=features, outputCol=output, labelCol=label, selectionMode="numTopFeatures")

@@ -350,11 +350,13 @@ def _relevance_frame(t):
 @query("T14_relevance_features")
 def _(t):
     """Word, character and combined blocks beside the explicit columns."""
-    split, out = roles.stored(t, "relevance_frame", lambda: _relevance_frame(t)), None
+    frame, texts, out = roles.stored(t, "relevance_frame", lambda: _relevance_frame(t)), ["query_text", "product_text", "pair_text"], None
+    every = D.relevance_blocks("combined", *texts)
+    split = through_table(D.stored_blocks(frame, ["term_id", "doc_id"], F.col("split") == "train", every).drop(*texts), "relevance_blocks")
     for name in ("word", "char", "combined"):
-        stages = D.relevance_stages(name, "query_text", "product_text", "pair_text", X.PAIR_FEATURES)
-        model = Pipeline(stages=[*stages, D.classifier("logistic_regression")]).fit(_part(split, "train"))
-        row = D.classification_summary(D.with_scores(model, _part(split, "test")), "label").withColumn("feature_set", F.lit(name))
+        rows = D.stored_features(split, D.relevance_stages(name, *texts, X.PAIR_FEATURES)[-1], ["split", "label"])
+        model = Pipeline(stages=[D.classifier("logistic_regression")]).fit(_part(rows, "train"))
+        row = D.classification_summary(D.with_scores(model, _part(rows, "test")), "label").withColumn("feature_set", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 
