@@ -130,3 +130,18 @@ def test_splits_cut_at_exact_positions(spark, monkeypatch, most):
     twice = df.unionByName(df)
     assert {r["k"]: r["split"] for r in sampling.split_groups(twice, "k").collect()} == want
     assert sampling.holdout_groups(df.limit(0), "k").count() == 0
+
+
+def test_tables_for_fits_bound_the_rows_of_a_file(spark):
+    t = types.SimpleNamespace(spark=spark, folder="few-rows")
+    out = roles.stored(t, "few_rows", lambda: spark.range(0, 100, 1, 2), 10)
+    per_file = out.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sorted(r["n"] for r in per_file) == [10] * 10 and out.distinct().count() == 100
+
+
+def test_lines_meet_their_parts_without_a_sort(spark, folder):
+    from veriloom.plans import model_queries
+    from veriloom.plans.registry import Tables
+
+    plan = model_queries._priced_lines(Tables(spark, folder))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
