@@ -79,3 +79,24 @@ def test_sql_keeps_every_term(spark, tmp_path):
         "E9_segment_performance", "J5_missed_relevant_ids", "P10_hard_pair_variants", "R4_bm25_grid", "R4_bm25_search", "R6_index_statistics", "R6_stored_index_search",
     ]
     assert not [name for name in corrected if "<= 120000" in ORACLES[name]]
+
+
+def test_fold_holds_few_texts_at_once():
+    """A whole batch was held as Python strings, twice."""
+    import pyarrow as pa
+
+    from veriloom.functions import text
+
+    seen = []
+
+    class Values:
+        def __len__(self):
+            return 1000
+
+        def slice(self, first, n):
+            seen.append(n)
+            return pa.array(["ﬁ&amp;é", None, "a"] * 400)[first : min(first + n, 1000)]
+
+    out = text._fold_batch.func(Values())
+    assert out.to_pylist() == (["fi&é", None, "a"] * 400)[:1000] and max(seen) == text.FOLD_ROWS
+    assert text._fold_batch.func(pa.array([], pa.string())).to_pylist() == []
