@@ -1,5 +1,6 @@
 """Cases that earlier versions got wrong."""
 
+import hashlib
 import types
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veriloom import session
 from veriloom.operators import contracts, features, relevance, sampling, scoring, stats
+from veriloom.operators import retrieval as R
 from veriloom.plans import roles
 from veriloom.sources import files
 
@@ -145,3 +147,26 @@ def test_lines_meet_their_parts_without_a_sort(spark, folder):
 
     plan = model_queries._priced_lines(Tables(spark, folder))._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_words_are_indexed_from_the_counts_of_word_pairs(spark):
+    """Both indexes of one table tokenised it; the narrow one now takes the counts of the wide one."""
+    docs = spark.createDataFrame([(1, "red blue red"), (2, "blue green"), (3, None), (4, "red blue"), (5, "x")], "d int, text string")
+    more = spark.createDataFrame([(6, "green blue old"), (7, "old red")], "d int, text string")
+    wide, direct = (R.build_index(docs, "d", "text", ngrams=n) for n in (2, 1))
+    grown = [R.append_documents(i, more, "text") for i in (wide, direct)]
+    for source, wanted in ((wide, direct), grown):
+        narrow = R.build_word_index(source)
+        assert (narrow.n_docs, narrow.mean_length, narrow.fingerprint) == (wanted.n_docs, wanted.mean_length, wanted.fingerprint)
+        for table in ("postings", "terms"):
+            rows = [sorted(tuple(round(x, 12) if isinstance(x, float) else x for x in r) for r in getattr(i, table).collect()) for i in (narrow, wanted)]
+            assert rows[0] == rows[1] and rows[0]
+
+
+def test_counts_know_the_documents_of_a_term(spark):
+    """Terms were counted again and joined back twice; sorting by bucket found the bucket anew in every comparison."""
+    index = R.build_index(spark.createDataFrame([(1, "red blue"), (2, "red old"), (3, "red")], "d int, text string"), "d", "text")
+    counts = spark.read.parquet(f"{index.path}/counts/batch=0").where("term = 'red'")
+    assert [r["df"] for r in counts.collect()] == [3, 3, 3]
+    described = {r[0]: r[1] for r in spark.sql(f"DESCRIBE EXTENDED index_{hashlib.md5(f'{index.path}/generation=0/postings'.encode()).hexdigest()}").collect()}
+    assert described["Bucket Columns"] == "[`term`]" and described.get("Sort Columns", "[]") == "[]"
