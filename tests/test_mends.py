@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from veriloom import session
-from veriloom.operators import contracts, features, relevance, sampling, scoring, stats
+from veriloom.operators import contracts, features, models, relevance, sampling, scoring, stats
 from veriloom.operators import retrieval as R
 from veriloom.plans import roles
 from veriloom.sources import files
@@ -170,3 +170,15 @@ def test_counts_know_the_documents_of_a_term(spark):
     assert [r["df"] for r in counts.collect()] == [3, 3, 3]
     described = {r[0]: r[1] for r in spark.sql(f"DESCRIBE EXTENDED index_{hashlib.md5(f'{index.path}/generation=0/postings'.encode()).hexdigest()}").collect()}
     assert described["Bucket Columns"] == "[`term`]" and described.get("Sort Columns", "[]") == "[]"
+
+
+@pytest.mark.parametrize("name", ["random_forest", "extra_trees"])
+def test_levels_of_a_forest_start_where_the_last_one_ended(spark, name):
+    """Every level passed all rows down all trees from their roots."""
+    rows = [(float(i % 17), float(i * 7 % 23), float((i % 17) * (i * 7 % 23) % 3 == 0)) for i in range(600)]
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(rows, "a double, b double, label double"))
+    df = df.coalesce(1)
+    forest = models.classifier(name, numTrees=8, maxDepth=7)
+    plain = forest.copy({forest.cacheNodeIds: False}).fit(df)
+    trees = [m.toDebugString.split("\n", 1)[1] for m in (forest.fit(df), plain)]
+    assert forest.getCacheNodeIds() and trees[0] == trees[1]
