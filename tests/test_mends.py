@@ -1,12 +1,15 @@
 """Cases that earlier versions got wrong."""
 
 import hashlib
+import json
 import types
 
 import pytest
 from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml import Pipeline
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from veriloom import session
@@ -182,3 +185,32 @@ def test_levels_of_a_forest_start_where_the_last_one_ended(spark, name):
     plain = forest.copy({forest.cacheNodeIds: False}).fit(df)
     trees = [m.toDebugString.split("\n", 1)[1] for m in (forest.fit(df), plain)]
     assert forest.getCacheNodeIds() and trees[0] == trees[1]
+
+
+def _folded(spark):
+    rows = [(i, float(i * 7 % 31) if i % 13 else None, f"c{i % 3}", int((i * 7 % 31 + i % 5) > 16), i % 2) for i in range(160)]
+    return spark.createDataFrame(rows, "id int, x double, kind string, label int, fold int").coalesce(1)
+
+
+def test_a_grid_fits_shared_stages_once_per_fold(spark, monkeypatch):
+    """Every setting fitted the median, scale and codes of its training rows again; the results are those of Spark's cross-validator."""
+    df, lr, evaluator = _folded(spark), LogisticRegression(maxIter=10), BinaryClassificationEvaluator()
+    stages, fits = models.tabular_stages(["x"], ["kind"]), []
+    monkeypatch.setattr(models.ModeImputer, "_fit", lambda self, data, fit=models.ModeImputer._fit: fits.append(1) or fit(self, data))
+    best, table = models.grid_search(df, [*stages, lr], [(lr.regParam, [0.01, 1.0, 0.1])], evaluator, "fold", 2)
+    assert len(fits) == 3  # two folds and the best model
+    maps = ParamGridBuilder().addGrid(lr.regParam, [0.01, 1.0, 0.1]).build()
+    plain = CrossValidator(estimator=Pipeline(stages=[*stages, lr]), estimatorParamMaps=maps, evaluator=evaluator, foldCol="fold", numFolds=2).fit(df)
+    got = {json.loads(r["params"])["regParam"]: (r["mean_value"], r["std_value"]) for r in table.collect()}
+    assert [got[p] for p in (0.01, 1.0, 0.1)] == [pytest.approx(x) for x in zip(plain.avgMetrics, plain.stdMetrics)]
+    assert best.stages[-1].coefficients.toArray() == pytest.approx(plain.bestModel.stages[-1].coefficients.toArray())
+
+
+def test_candidates_share_the_stages_of_a_fold(spark, monkeypatch):
+    df, stages, fits = _folded(spark), models.tabular_stages(["x"], ["kind"]), []
+    monkeypatch.setattr(models.ModeImputer, "_fit", lambda self, data, fit=models.ModeImputer._fit: fits.append(1) or fit(self, data))
+    names = ("logistic_regression", "decision_tree")
+    shared = models.cross_validate(df, {n: [models.classifier(n)] for n in names}, "label", "fold", 2, stages)
+    assert len(fits) == 2
+    alone = models.cross_validate(df, {n: [*stages, models.classifier(n)] for n in names}, "label", "fold", 2)
+    assert sorted(shared.collect()) == sorted(alone.collect()) and shared.count() == 4

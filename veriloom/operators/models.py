@@ -7,6 +7,7 @@ pipelines can be written with ``save``.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,12 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasLabelCol, HasOutputCol, HasOutputCols
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
+from pyspark.util import inheritable_thread_target
 
 from ..functions import text as T
 from ..functions.scalars import literal_rows
@@ -400,19 +402,30 @@ def classification_summary(scored: DataFrame, label: str, score: str = "score")
     return basics.select("*", areas.select("roc_auc").scalar().alias("roc_auc"), areas.select("average_precision").scalar().alias("average_precision"))
 
 
-def cross_validate(df: DataFrame, candidates: dict[str, list], label: str, fold: str, folds: int) -> DataFrame:
-    """``(model, fold, metrics…)``: one fit per candidate and fold, each a cluster job."""
+def cross_validate(df: DataFrame, candidates: dict[str, list], label: str, fold: str, folds: int, shared: list | None = None) -> DataFrame:
+    """``(model, fold, metrics…)``: one fit per candidate and fold, each a cluster job.
+
+    ``shared`` are stages that all candidates begin with; they are fitted once per fold.
+    """
     out = None
-    for name, stages in candidates.items():
-        for i in range(folds):
-            model = Pipeline(stages=stages).fit(df.where(F.col(fold) != i))
-            row = classification_summary(with_scores(model, df.where(F.col(fold) == i)), label).select(
-                F.lit(name).alias("model"), F.lit(i).alias("fold"), "*"
-            )
+    for i in range(folds):
+        train, held = _fold_parts(df, shared or [], fold, i)
+        for name, stages in candidates.items():
+            scored = with_scores(Pipeline(stages=stages).fit(train), held)
+            row = classification_summary(scored, label).select(F.lit(name).alias("model"), F.lit(i).alias("fold"), "*")
             out = row if out is None else out.unionByName(row)
+        train.unpersist()
+        held.unpersist()
     return out
 
 
+def _fold_parts(df: DataFrame, stages: list, fold: str, i: int) -> tuple[DataFrame, DataFrame]:
+    """Training and held-out rows of a fold through ``stages`` fitted on the training rows; both stay until they are let go."""
+    train, held = df.where(F.col(fold) != i), df.where(F.col(fold) == i)
+    model = Pipeline(stages=stages).fit(train)
+    return model.transform(train).persist(), model.transform(held).persist()
+
+
 def cv_summary(results: DataFrame, metrics: list[str], by: str = "model") -> DataFrame:
     """Mean and population standard deviation over folds."""
     return results.groupBy(by).agg(
@@ -421,22 +434,35 @@ def cv_summary(results: DataFrame, metrics: list[str], by: str = "model") -> Dat
 
 
 def grid_search(df: DataFrame, stages: list, grid: list[dict], evaluator, fold: str, folds: int, parallelism: int = 4):
-    """Cross-validated grid with a fixed fold column; returns the best model and the table."""
+    """Cross-validated grid with a fixed fold column; returns the best model and the table.
+
+    Stages before the first one with a parameter of the grid are the same for all settings and are fitted once per fold.
+    """
     builder = ParamGridBuilder()
     for param, values in grid:
         builder = builder.addGrid(param, values)
     maps = builder.build()
-    cv = CrossValidator(
-        estimator=Pipeline(stages=stages), estimatorParamMaps=maps, evaluator=evaluator, foldCol=fold, numFolds=folds, parallelism=parallelism
-    )
-    fitted = cv.fit(df)
+    owners = {p.parent for m in maps for p in m}
+    first = next((n for n, stage in enumerate(stages) if stage.uid in owners), len(stages))
+    rest, values = Pipeline(stages=stages[first:]), np.zeros((folds, len(maps)))
+    for i in range(folds):
+        train, held = _fold_parts(df, stages[:first], fold, i)
+
+        def measured(m, train=train, held=held) -> float:
+            return evaluator.evaluate(rest.fit(train, m).transform(held, m))
+
+        with ThreadPoolExecutor(min(parallelism, len(maps))) as pool:
+            values[i] = list(pool.map(inheritable_thread_target(df.sparkSession)(measured), maps))
+        train.unpersist()
+        held.unpersist()
+    means, larger = values.mean(axis=0), evaluator.isLargerBetter()
     rows = [
-        (json.dumps({p.name: v for p, v in m.items()}, sort_keys=True), float(a), float(s))
-        for m, a, s in zip(maps, fitted.avgMetrics, fitted.stdMetrics)
+        (json.dumps({p.name: v for p, v in m.items()}, sort_keys=True), float(a), float(s)) for m, a, s in zip(maps, means, values.std(axis=0))
     ]
     table = literal_rows(df.sparkSession, rows, "params string, mean_value double, std_value double")
-    order = F.desc("mean_value") if evaluator.isLargerBetter() else F.asc("mean_value")
-    return fitted.bestModel, top_k(table, len(rows), [order, F.asc("params")], [], "position")
+    order = F.desc("mean_value") if larger else F.asc("mean_value")
+    best_model = Pipeline(stages=stages).fit(df, maps[int(np.argmax(means) if larger else np.argmin(means))])
+    return best_model, top_k(table, len(rows), [order, F.asc("params")], [], "position")
 
 
 def retrain_and_test(train: DataFrame, validation: DataFrame, test: DataFrame, stages: list, label: str) -> DataFrame:

@@ -200,8 +200,8 @@ _LIGHTER = {"random_forest": {"numTrees": 60, "maxDepth": 8}, "gradient_boosting
 @query("M15_cross_validation")
 def _(t):
     folded = customer_folds(t)
-    candidates = {n: _tabular(D.classifier(n, **_LIGHTER.get(n, {}))) for n in ("logistic_regression", "decision_tree", "random_forest", "gradient_boosting")}
-    results = D.cross_validate(folded, candidates, "label", "fold", 5)
+    candidates = {n: [D.classifier(n, **_LIGHTER.get(n, {}))] for n in ("logistic_regression", "decision_tree", "random_forest", "gradient_boosting")}
+    results = D.cross_validate(folded, candidates, "label", "fold", 5, D.tabular_stages(NUMERIC, CATEGORICAL))
     return D.cv_summary(results, ["f1", "roc_auc", "average_precision"])
 
 
