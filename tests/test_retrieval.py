@@ -119,6 +119,39 @@ def test_texts_are_encoded_once_with_bounded_memory(spark):
     assert place.cache_info().maxsize
 
 
+def test_a_filter_on_vectors_does_not_encode_texts_again(spark):
+    """Spark infers a filter from an explode of the vectors; it must not run the model below the model."""
+    docs = spark.createDataFrame([(n, None if n == 3 else f"one word{n} two") for n in range(7)], "d long, text string").coalesce(1)
+
+    def make():
+        made = []
+
+        def predict(texts):
+            made.append(len(texts))
+            return [[1.0, float(len(made)), float(len(texts))] for _ in texts]
+
+        return predict
+
+    encoded = R.encode_texts(docs, "text", "passage", make, 3, batch=2)
+    cells = encoded.select("d", F.posexplode("embedding").alias("b", "x"))
+    assert cells._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    rows = {r["d"]: r["embedding"] for r in encoded.collect()}
+    calls = [round(v[1] / v[0]) for _, v in sorted(rows.items())]
+    assert calls == [1, 1, 2, 2, 3, 3, 4] and [round(v[2] / v[0]) for _, v in sorted(rows.items())] == [2, 2, 2, 2, 2, 2, 1]
+
+
+def test_models_are_made_once_per_worker():
+    from veriloom.functions.workers import KEPT, made_once
+
+    made = []
+    for key in "aab":
+        assert made_once(f"once-{key}", lambda: made.append(key) or len(made)) == len(made)
+    assert made == ["a", "b"]
+    for n in range(KEPT):
+        made_once(f"later-{n}", lambda: n)
+    assert made_once("once-a", lambda: "again") == "again"
+
+
 def test_dense_ties_and_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "d long, v array<float>")
     qs = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 1.0])], "q long, v array<float>")
