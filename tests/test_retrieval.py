@@ -1,4 +1,5 @@
 import math
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,43 @@ def test_texts_are_encoded_once_with_bounded_memory(spark):
     assert place.cache_info().maxsize
 
 
+def test_documents_alike_are_scored_once(spark, tmp_path, monkeypatch):
+    """Copies, also in other word order and from a later batch, enter by id beside the one that is scored."""
+    from veriloom.operators import lexical as L
+
+    texts = ["red hot bolt", "bolt red hot", "red bolt", "cold nut", "red red bolt", "old red gear", "", None]
+    rows = [(n, texts[n * n % 8 if n < 20 else n % 8]) for n in range(160)]
+    docs = spark.createDataFrame(rows, "d long, text string")
+    path = tmp_path.as_uri()
+    R.append_documents(R.write_index(docs.where("d % 3 = 0"), "d", "text", path), docs.where("d % 3 > 0"), "text")
+    q = queries(spark, "red bolt", "nut", "hot gear", "red")
+    plain = R.build_index(docs, "d", "text")
+    bags = {}
+    for n, text in rows:
+        bags.setdefault(tuple(sorted((text or "").split())), []).append(n)
+    assert sorted(map(tuple, plain.copies.collect())) == sorted((same[0], n) for words, same in bags.items() if words for n in same[1:])
+    pairs = L._every_match([L.bm25_scoring(plain, q, "q", "text")], "q", "d")
+    assert pairs.count() <= 4 * 5  # five sets of words and counts, not 120 documents
+    everyone = replace(plain, postings=plain.postings.withColumn("single", F.lit(True)), copies=plain.copies.limit(0))
+    for k, helped, index_ in ((3, True, plain), (50, False, R.open_index(spark, path))):
+        monkeypatch.setattr(L, "_bounds_help", lambda *_: helped)
+        want = sorted(map(tuple, R.search_bm25(everyone, q, "q", "text", k, pad=False).collect()))
+        assert sorted(map(tuple, R.search_bm25(index_, q, "q", "text", k, pad=False).collect())) == want
+
+
+def test_documents_alike_in_one_of_two_indexes(spark):
+    """A rare word is no term of the word index but gives character n-grams."""
+    rows = [(0, "mouse"), (1, "mouse xqzt"), (2, "mouse"), (3, "xqztu red"), (4, "red mouse")]
+    docs, q = spark.createDataFrame(rows, "d long, text string"), queries(spark, "mouse xqzt")
+    word, char = R.build_index(docs, "d", "text"), R.build_index(docs, "d", "text", "char")
+    want = {}
+    for index_, share in ((word, 0.6), (char, 0.4)):
+        for r in R.search_tfidf(index_, q, "q", "text", 9, pad=False).collect():
+            want[r["d"]] = want.get(r["d"], 0) + share * r["score"]
+    got = {r["d"]: r["score"] for r in R.search_combined(word, char, q, "q", "text", 5).collect()}
+    assert got == pytest.approx({d: want.get(d, 0.0) for d in range(5)}, abs=1e-8) and got[1] > got[0] == got[2]
+
+
 def test_a_filter_on_vectors_does_not_encode_texts_again(spark):
     """Spark infers a filter from an explode of the vectors; it must not run the model below the model."""
     docs = spark.createDataFrame([(n, None if n == 3 else f"one word{n} two") for n in range(7)], "d long, text string").coalesce(1)
