@@ -178,6 +178,28 @@ def test_a_filter_on_vectors_does_not_encode_texts_again(spark):
     assert calls == [1, 1, 2, 2, 3, 3, 4] and [round(v[2] / v[0]) for _, v in sorted(rows.items())] == [2, 2, 2, 2, 2, 2, 1]
 
 
+def test_blank_and_null_texts_do_not_stop_the_queries(spark, folder, tmp_path):
+    """Documents without words: their vectors, lists and segments as in SQL."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    odd = [(10**6 + n, text, "en", "src0", 0) for n, text in enumerate(["", "  ", "\n\nx", None, "!!!\nsigns"])]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs.unionByName(spark.createDataFrame(odd, docs.schema)).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    (tmp_path / "benchmark.parquet").symlink_to(f"{folder}/benchmark.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    con.execute(f"create view benchmark as select * from '{folder}/benchmark.parquet'")
+    for name in ("R8_text_encoding", "U3_shared_items"):
+        got = entry.queries()[name](spark, str(tmp_path))
+        want = con.execute(f"select {', '.join(got.columns)} from ({entry.oracle_sql()[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    blank = spark.createDataFrame(odd[:1], docs.schema)
+    with pytest.raises(Exception, match="blank text"):
+        R.encode_texts(blank, "text", "passage", R.hashing_encoder(8), 8).collect()
+
+
 def test_models_are_made_once_per_worker():
     from veriloom.functions.workers import KEPT, made_once
 
