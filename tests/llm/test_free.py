@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import brute
 import numpy as np
@@ -343,3 +344,34 @@ def test_pipeline(spark, folder):
     assert out.columns == [*docs.columns, *sharding.RESULT]
     for s in {r["shard"] for r in rows}:
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+
+
+def test_op7_sorts_postings_in_small_tasks_and_leaves_no_shuffle_files(spark, monkeypatch):
+    from veriloom import session
+    from veriloom.llm import jaccard
+
+    texts = [(n, " ".join(f"w{(n // 4 * 31 + k * k) % 211}" for k in range(40 + n % 4))) for n in range(12)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return session.through_table(df, name)
+
+    monkeypatch.setattr(jaccard, "through_table", kept)
+    monkeypatch.setattr(jaccard, "TASK_SHINGLES", 100)
+    total = sum(r["n_shingles"] for r in jaccard.near_copies(docs).collect())
+    assert f"{-(-total // 100)}), REPARTITION_BY_NUM" in plans["lists"]
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffle_files():
+        files = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles())
+        return {f.getName() for f in files if f.getName().startswith("shuffle_")}
+
+    before = shuffle_files()
+    counted = session.through_table(docs.repartition(3, "text").groupBy("doc_id").count(), "counted")
+    for _ in range(50):
+        if shuffle_files() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffle_files() <= before and counted.count() == 12
